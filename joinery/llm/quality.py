@@ -119,7 +119,7 @@ def _name(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
-def _fit_start(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _fit_start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Median and MAD of each entry from counts by value."""
     centre, spread = np.zeros(DIM), np.array(FLOOR)
     for i in range(DIM):
@@ -137,7 +137,7 @@ def _estimate(key, centre, scatter) -> pd.DataFrame:
 
 
 def _fit_step(share: float, scale: float):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin")
         total = rows["n"].to_numpy()
         if share < 1:
