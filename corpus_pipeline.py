@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from joinery.llm.crf import recognised
+from joinery.llm.packing import packed
 from joinery.llm.quality import passing
 from joinery.llm.simhash import one_of_each
 from joinery.runtime import materialise, table
 
 
+#: A document whose words are split so evenly among languages has none.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the model learns from the stage's own input."""
+    return recognised(docs, LEAST_LANGUAGE_SCORE)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the robust outlier test keep."""
     return passing(docs)
@@ -19,7 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs)
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents packed into sequences: a row for each piece of a document."""
+    return packed(docs)
+
+
+STAGES = [("language ID", language), ("quality rules", quality), ("SimHash near-dedup", near_dedup), ("best-fit packing", packing)]
 
 #: The stages fit models and walk a graph, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
