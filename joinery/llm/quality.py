@@ -27,7 +27,7 @@ from joinery.runtime import materialise
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Entries of the vector, and their least standard deviation.
-FLOOR = (0.12, 0.5, 0.75, 0.75)
+FLOOR = (0.12, 0.35, 0.75, 0.75)
 DIM = len(FLOOR)
 #: Share of a group's rows that a concentration step keeps, and the number of steps.
 KEEP, STEPS = 0.75, 4
