@@ -36,9 +36,10 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        #: Every end of a token: a backward walk stops at the first string that is none.
-        self.ends = {token[i:] for token in ranks for i in range(len(token))}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        #: Every end of a token with the rank that it has itself, or -1: a backward walk stops at the first string that is none.
+        self.ends = dict.fromkeys((token[i:] for token in ranks for i in range(1, len(token))), -1) | ranks
+        #: Verdicts by the pair's ranks, packed into one number.
+        self.compatible: dict[int, bool] = {}
         self.stable: dict[int, bool] = {}
 
     @classmethod
@@ -48,17 +49,22 @@ class Vocabulary:
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE of a short byte string: join the best-ranked neighbours until none can be joined."""
+        rank_of, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
+        joined = [rank_of(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while joined and (least := min(joined)) < none:
+            at = joined.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at < len(joined):
+                joined[at] = rank_of(parts[at] + parts[at + 1], none)
+            if at:
+                joined[at - 1] = rank_of(parts[at - 1] + parts[at], none)
         return [self.ranks[p] for p in parts]
 
     def fits(self, left: int, right: int) -> bool:
         """Whether `right` can follow `left` in an encoding."""
-        pair = left, right
+        pair = left << 32 | right
         known = self.compatible.get(pair)
         if known is None:
             known = self.compatible[pair] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
@@ -71,6 +77,30 @@ class Vocabulary:
             known = self.stable[rank] = self.merged(self.tokens[rank]) == [rank]
         return known
 
+    def extend(self, data: bytes, last: list[int], stop: int) -> None:
+        """Add to `last` (the last tokens of data's first prefixes) those of the prefixes up to `stop` bytes."""
+        rank_of, known = self.ends.get, self.compatible.get
+        for end in range(len(last) + 1, stop + 1):
+            start = end - 1
+            while start >= 0:
+                rank = rank_of(data[start:end])
+                if rank is None:
+                    start = -1
+                    break
+                if rank >= 0:
+                    if not start:
+                        fits = self.whole(rank)
+                    else:
+                        fits = known(last[start - 1] << 32 | rank)
+                        if fits is None:
+                            fits = self.fits(last[start - 1], rank)
+                    if fits:
+                        last.append(rank)
+                        break
+                start -= 1
+            if start < 0:
+                raise ValueError(f"no token ends at byte {end}")
+
 
 @lru_cache(maxsize=4)
 def vocabulary(name: str = VOCABULARY) -> Vocabulary:
@@ -81,46 +111,28 @@ class Prefixes:
     """A byte string with the last token of each of its prefixes."""
 
     def __init__(self, vocab: Vocabulary, data: bytes = b""):
-        self.vocab, self.data, self.last = vocab, bytearray(), []
-        self.append(data)
-
-    def _entry(self, end: int) -> int:
-        ranks, ends, fits, whole = self.vocab.ranks, self.vocab.ends, self.vocab.fits, self.vocab.whole
-        for start in range(end - 1, max(-1, end - 1 - self.vocab.longest), -1):
-            piece = bytes(self.data[start:end])
-            if piece not in ends:
-                break
-            rank = ranks.get(piece)
-            if rank is None:
-                continue
-            if whole(rank) and (start == 0 or fits(self.last[start - 1], rank)):
-                return rank
-        raise ValueError(f"no token ends at byte {end}")
+        self.vocab, self.data, self.last = vocab, data, []
+        vocab.extend(data, self.last, len(data))
 
     def append(self, data: bytes) -> None:
         """Exact append: earlier entries stay."""
-        at = len(self.data)
         self.data += data
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._entry(end))
+        self.vocab.extend(self.data, self.last, len(self.data))
 
     def splice(self, start: int, stop: int, data: bytes) -> int:
         """Replace bytes start..stop by data; the number of entries that were worked out anew."""
-        old = self.last[stop:]
-        tail = self.data[stop:]
-        del self.data[start:], self.last[start:]
-        self.append(data)
-        self.data += tail
-        made, agree = len(data), 0
-        for i in range(len(tail)):
-            entry = self._entry(len(self.last) + 1)
-            self.last.append(entry)
-            made += 1
-            agree = agree + 1 if entry == old[i] else 0
+        old, behind = self.last[stop:], start + len(data)
+        self.data = self.data[:start] + data + self.data[stop:]
+        del self.last[start:]
+        self.vocab.extend(self.data, self.last, behind)
+        agree = 0
+        for i, was in enumerate(old):
+            self.vocab.extend(self.data, self.last, behind + i + 1)
+            agree = agree + 1 if self.last[-1] == was else 0
             if agree >= self.vocab.longest:
                 self.last += old[i + 1 :]
-                break
-        return made
+                return len(data) + i + 1
+        return len(data) + len(old)
 
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the prefix of `end` bytes (default: all)."""
