@@ -105,7 +105,8 @@ def _integer(text: str, what: str) -> int:
     return int(body)
 
 
-def _checked(labels: list[str], bonds: list[tuple[int, int, int]]) -> Graph:
+def checked(labels: list[str], bonds: list[tuple[int, int, int]]) -> Graph:
+    """The graph, if it is a simple one with positive bond labels; FormatError names what is wrong."""
     pairs, degree = set(), Counter()
     for u, v, label in bonds:
         if not (0 <= u < len(labels) and 0 <= v < len(labels)):
@@ -165,7 +166,7 @@ def parse_molfile(content: bytes | str) -> Graph:
             raise FormatError("missing atom symbol")
         labels.append(_decoded(symbol))
     bonds = [(cell(x, 0, "bond endpoint") - 1, cell(x, 3, "bond endpoint") - 1, cell(x, 6, "bond order")) for x in lines[4 + n : 4 + n + m]]
-    return _checked(labels, bonds)
+    return checked(labels, bonds)
 
 
 def parse_native(content: bytes | str) -> Graph:
@@ -193,7 +194,7 @@ def parse_native(content: bytes | str) -> Graph:
     labels = [_integer(x, "bond label") for x in orders]
     if any(not 1 <= x <= LARGEST for x in labels):
         raise FormatError("bond label out of range")
-    return _checked(names, [(u - 1, v - 1, x) for u, v, x in zip(points[::2], points[1::2], labels, strict=True)])
+    return checked(names, [(u - 1, v - 1, x) for u, v, x in zip(points[::2], points[1::2], labels, strict=True)])
 
 
 def is_molfile(path: str) -> bool:
