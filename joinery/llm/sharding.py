@@ -67,7 +67,7 @@ def partition(sizes: np.ndarray, shards: int) -> np.ndarray:
         low, high = max(earliest[i], start), min(latest[i], fits)
         goal = prefix[start] + (prefix[-1] - prefix[start]) / (shards - i)
         at = int(np.searchsorted(prefix, goal))
-        if at > start and goal - prefix[at - 1] <= prefix[min(at, last)] - goal:
+        if at > start + 1 and goal - prefix[at - 1] <= prefix[min(at, last)] - goal:
             at -= 1
         start = min(max(at, low), high)
         cuts.append(start)
