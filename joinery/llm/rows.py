@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from joinery.runtime import ship
 
 #: Arrow batches are worked on in slices of about so many characters, whatever number of rows Spark puts in one.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 6_000_000
 
 
 def packed(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
