@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,8 +132,6 @@ def state_key(parts: Column) -> Column:
 
 def ascii_json(value: Column) -> Column:
     """JSON with all non-ASCII characters as \\uXXXX escapes (surrogate pairs beyond U+FFFF); an Arrow function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def escaped(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: json.dumps(json.loads(t), ensure_ascii=True, separators=(",", ":")), na_action="ignore")
