@@ -34,6 +34,47 @@ def string_index(text, turned):
     return len(text) - 1 - (most((form(text),)) if len(text) > 1 else 0)
 
 
+def full_scan_repair(text, turned):
+    """Expansions of the rules and the residual parts, by looking at all neighbours in every round."""
+    form = lambda s: min(s, s[::-1]) if turned else s
+    parts, known, rules = list(text), set(text), []
+    while True:
+        groups = {}
+        for i in range(len(parts) - 1):
+            groups.setdefault(form(parts[i] + parts[i + 1]), []).append(i)
+        best = (0, 0, None, [])
+        for key, places in groups.items():
+            apart = []
+            for i in places:
+                if not apart or i > apart[-1] + 1:
+                    apart.append(i)
+            rank = (len(apart) - (key not in known), -places[0])
+            if rank[0] > 0 and (best[2] is None or rank > best[:2]):
+                best = (*rank, key, apart)
+        if best[2] is None:
+            return rules, parts
+        if best[2] not in known:
+            known.add(best[2])
+            rules.append(best[2])
+        for i in reversed(best[3]):
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_repair_as_a_full_scan(turned):
+    rng = random.Random(11)
+    words = ["aabbaa", "cbcacaaccbcacbacbccbccbac"] + ["".join(rng.choice("abcdef"[: rng.randrange(1, 7)]) for _ in range(rng.randrange(100))) for _ in range(400)]
+    words += [w + w[::-1] + w for w in words[::10]]
+    for word in words:
+        grammar = string_repair.repair(word, turned)
+        rules, parts = full_scan_repair(word, turned)
+        text = dict(grammar.terminals)
+        for r in grammar.rules:
+            text[r.id] = (text[r.left][::-1] if r.left_reversed else text[r.left]) + (text[r.right][::-1] if r.right_reversed else text[r.right])
+        assert [text[r.id] for r in grammar.rules] == rules
+        assert [word[o : o + n] for _, _, o, n in grammar.residual] == parts
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_all_short_strings(turned):
     words = [w for n in range(8) for w in product("ab", repeat=n)] + [w for n in range(6) for w in product("abc", repeat=n)]
