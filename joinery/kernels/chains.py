@@ -63,3 +63,48 @@ def savings_bound(sizes: Iterable[int], largest: int) -> int:
     """
     sizes = list(sizes)
     return max([0, *(sum(packing_bound(n, k) for n in sizes) - chain_length(k) for k in range(2, largest + 1))])
+
+
+def refined_vector_floor(counts: Iterable[int], work: int = 4000, most: int = 16, enough: int | None = None) -> int:
+    """vector_floor, raised while an exhaustive search rules out chains of that length.
+
+    Only for totals up to `most`; `work` bounds the sums tried, over all depths. A depth that was cut short raises
+    nothing, so any result is a certified floor; it may depend on `work`. enough: no need to go beyond.
+    """
+    goal = tuple(sorted(c for c in counts if c))
+    floor, total = vector_floor(goal), sum(goal)
+    if len(goal) < 2 or total > most:
+        return floor
+    left = [work]
+    units = tuple(tuple(int(i == j) for j in range(len(goal))) for i in range(len(goal)))
+
+    def reaches(chain: tuple, steps: int) -> bool | None:
+        if chain[-1] == goal:
+            return True
+        if not steps:
+            return False
+        cut = False
+        for i, a in enumerate(chain):
+            for b in chain[i:]:
+                left[0] -= 1
+                if left[0] < 0:
+                    return None
+                new = tuple(x + y for x, y in zip(a, b, strict=True))
+                if new in chain or any(x > y for x, y in zip(new, goal, strict=True)):
+                    continue
+                if steps == 1 and new != goal:
+                    continue
+                # sums in an order that never steps back, since the order of independent sums does not matter
+                if len(chain) > len(units) and (sum(new), new) <= (sum(chain[-1]), chain[-1]):
+                    continue
+                found = reaches((*chain, new), steps - 1)
+                if found:
+                    return True
+                cut |= found is None
+        return None if cut else False
+
+    while floor < total - 1 and (enough is None or floor < enough):
+        if reaches(units, floor) is not False:
+            break
+        floor += 1
+    return floor
