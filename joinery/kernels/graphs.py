@@ -71,6 +71,25 @@ class Graph:
         keep = self.repeated_edges()
         return sorted((u, v) for i, (u, v, _) in enumerate(self.edges) if not keep >> i & 1)
 
+    def path_positions(self) -> list[int] | None:
+        """Place of each edge along the graph, if its edges form one path, counted from the lesser end; else None."""
+        near: dict[int, list[int]] = {}
+        for i, (u, v, _) in enumerate(self.edges):
+            near.setdefault(u, []).append(i)
+            near.setdefault(v, []).append(i)
+        ends = sorted(v for v, e in near.items() if len(e) == 1)
+        if len(ends) != 2 or any(len(e) > 2 for e in near.values()):
+            return None
+        at, last, place = ends[0], -1, [-1] * len(self.edges)
+        for step in range(len(self.edges)):
+            ahead = [i for i in near[at] if i != last]
+            if not ahead:
+                return None
+            last = ahead[0]
+            place[last] = step
+            at = sum(self.edges[last][:2]) - at
+        return place
+
     def split(self, mask: int) -> list[int]:
         """Connected pieces of an edge set."""
         out = []

@@ -141,3 +141,43 @@ def undominated(states: DataFrame, stored: DataFrame) -> DataFrame:
     best = states.groupBy("key").agg(F.max("saved").alias("saved"))
     known = stored.groupBy("key").agg(F.max("saved").alias("_known"))
     return best.join(known, "key", "left").where(F.col("_known").isNull() | (F.col("_known") < F.col("saved"))).drop("_known")
+
+
+def children(transitions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Next level of a precomputed enumeration: transitions (graph_id, level, node, child, edge) of the nodes
+    (graph_id, level, node, part) whose added edge lies in the node's part (array of edges)."""
+    return nodes.join(transitions, ["graph_id", "level", "node"]).where(F.expr("array_contains(part, edge)")).select("graph_id", (F.col("level") + 1).alias("level"), F.col("child").alias("node"), "part").distinct()
+
+
+def path_positions(graphs: DataFrame) -> DataFrame:
+    """graph_id, edge_ix, position along the path from its lesser end; only graphs that are one path (labels, edges arrays)."""
+    from pyspark.sql import types as T
+
+    from joinery.kernels.graphs import Graph
+    from joinery.runtime import ship
+
+    ship(graphs.sparkSession)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                found = Graph.of(list(row["labels"]), [(e["src"], e["dst"], e["label"]) for e in row["edges"]]).path_positions()
+                out += [(row["graph_id"], i, p) for i, p in enumerate(found or [])]
+            yield pd.DataFrame(out, columns=["graph_id", "edge_ix", "position"])
+
+    schema = T.StructType([graphs.schema["graph_id"], T.StructField("edge_ix", T.IntegerType()), T.StructField("position", T.IntegerType())])
+    return graphs.select("graph_id", "labels", "edges").mapInPandas(run, schema)
+
+
+def best_of_workers(found: DataFrame, key: str) -> DataFrame:
+    """key, index, pathway, worker: the least index that any worker found; of equal ones the first worker's."""
+    best = F.min(F.struct("index", "worker", "pathway")).alias("b")
+    return found.groupBy(key).agg(best).select(key, "b.index", "b.pathway", "b.worker")
+
+
+def merged_counters(telemetry: DataFrame, keys: list[str], counters: list[str], peaks: list[str]) -> DataFrame:
+    """Counters of all workers added up, high-water marks by their largest."""
+    return telemetry.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters], *[F.max(c).alias(c) for c in peaks])

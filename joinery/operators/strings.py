@@ -141,3 +141,17 @@ def best_digram(strings: DataFrame, accept_reversed: bool = False) -> DataFrame:
     groups = runs.groupBy("id", "canon").agg((F.sum(F.ceil(F.col("n") / 2)) - 1).alias("saving"), F.min("first").alias("first")).where("saving > 0")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("saving"), "first"))
     return groups.withColumn("_rank", rank).where("_rank = 1").select("id", "canon", F.col("saving").cast("bigint").alias("saving"), "first")
+
+
+def pair_blocks(occ: DataFrame) -> DataFrame:
+    """id, canon, left_part, right_part, pairs: how many pairs of a class lie between two parts (in one part: disjoint ones).
+
+    occ: id, canon, part, offset, length. A bound on a block drops all its pairs before any is built.
+    """
+    per = occ.groupBy("id", "canon", "part").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    a, b = per.alias("a"), per.alias("b")
+    blocks = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.canon") == F.col("b.canon")) & (F.col("a.part") <= F.col("b.part")))
+    apart = lambda x: F.size(F.filter("a.places", lambda y: y["offset"] + y["length"] <= x["offset"]))
+    inside = F.aggregate("a.places", F.lit(0), lambda n, x: n + apart(x))
+    pairs = F.when(F.col("a.part") == F.col("b.part"), inside).otherwise(F.size("a.places") * F.size("b.places"))
+    return blocks.select("a.id", "a.canon", F.col("a.part").alias("left_part"), F.col("b.part").alias("right_part"), pairs.cast("bigint").alias("pairs")).where("pairs > 0")

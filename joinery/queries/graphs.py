@@ -213,7 +213,44 @@ def _graph_bounds(spark, sf_dir):
 
 BOUNDS_SQL = f"WITH {_STRIPPED} SELECT graph_id, true AS succeeded, true AS bound_holds, true AS not_above_trivial, count(*) - 1 AS trivial_bound FROM kb GROUP BY graph_id"
 
+def _positions(spark, sf_dir):
+    return ops.path_positions(path_graphs(spark, sf_dir)).select(F.col("graph_id").alias("text"), F.col("edge_ix").cast("bigint").alias("edge_ix"), F.col("position").cast("bigint").alias("position"))
+
+
+def _children(spark, sf_dir):
+    """From single bonds to pairs: transitions of the order graphs, kept where the added bond is one of the first four."""
+    _, bonds = order_graph(spark, sf_dir)
+    near = ops.incident_pairs(bonds)
+    both = near.unionByName(near.select("graph_id", F.col("right_edge").alias("left_edge"), F.col("left_edge").alias("right_edge")))
+    pair = F.least("left_edge", "right_edge") * 100 + F.greatest("left_edge", "right_edge")
+    transitions = both.select("graph_id", F.lit(1).alias("level"), F.col("left_edge").alias("node"), pair.alias("child"), F.col("right_edge").alias("edge"))
+    nodes = bonds.where("edge_ix < 4").select("graph_id", F.lit(1).alias("level"), F.col("edge_ix").alias("node"), F.array(*map(F.lit, range(4))).alias("part"))
+    return ops.children(transitions, nodes).select("graph_id", F.col("level").cast("bigint").alias("level"), F.col("node").cast("bigint").alias("node"))
+
+
+CHILDREN_SQL = f"""WITH {GRAPH_SQL} SELECT DISTINCT a.graph_id, CAST(2 AS BIGINT) AS level, a.edge_ix * 100 + b.edge_ix AS node FROM bonds a JOIN bonds b ON a.graph_id = b.graph_id AND a.edge_ix < b.edge_ix AND b.edge_ix < 4 AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))"""
+
+
+def _workers(spark, sf_dir):
+    """Least value that any event type found for each user."""
+    from joinery.runtime import table
+
+    found = table(spark, sf_dir, "events").select("user_id", F.round("value", 1).alias("index"), F.col("event_type").alias("worker"), F.col("event_id").alias("pathway"))
+    return ops.best_of_workers(found, "user_id").select("user_id", F.col("index").alias("least"), "pathway", "worker")
+
+
+def _counters(spark, sf_dir):
+    from joinery.runtime import table
+
+    rows = table(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") * 100).alias("nodes"), F.floor("value").alias("depth"))
+    return ops.merged_counters(rows, ["event_type"], ["nodes"], ["depth"])
+
+
 QUERIES = {
+    "graph_path_positions": (_positions, f"SELECT text, i AS edge_ix, i AS position FROM ({DISTINCT_SQL}), unnest(range(length(text))) t(i)"),
+    "graph_children": (_children, CHILDREN_SQL),
+    "worker_best": (_workers, "SELECT user_id, round(value, 1) AS least, event_id AS pathway, event_type AS worker FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(value, 1), event_type, event_id) = 1"),
+    "worker_counters": (_counters, "SELECT event_type, CAST(sum(floor(value * 100)) AS BIGINT) AS nodes, CAST(max(floor(value)) AS BIGINT) AS depth FROM events GROUP BY 1"),
     "graph_index_paths": (_paths, index_sql(ORDERS_SQL, True)),
     "graph_index_stars": (_stars, STARS_SQL),
     "graph_read_native": (_native, SHAPE_SQL),

@@ -247,7 +247,24 @@ WITH {_POS}, r AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDE
 SELECT id, CAST(pos AS INTEGER) AS pos FROM r QUALIFY row_number() OVER (PARTITION BY id, g ORDER BY pos) % 2 = 1
 """
 
+def _blocks(spark, sf_dir):
+    occ = _occ(spark, sf_dir).where("length = 2").withColumn("part", F.floor(F.col("offset") / 4).cast("int"))
+    return ops.pair_blocks(occ)
+
+
+BLOCKS_SQL = f"""WITH {_occ_sql()}, p AS (SELECT id, canon, "offset" AS o, CAST("offset" // 4 AS INTEGER) AS part FROM occ WHERE length = 2)
+SELECT a.id, a.canon, a.part AS left_part, b.part AS right_part, count(*) AS pairs FROM p a JOIN p b ON a.id = b.id AND a.canon = b.canon AND (a.part < b.part OR (a.part = b.part AND a.o + 2 <= b.o)) GROUP BY 1, 2, 3, 4"""
+
+
+def _repair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-Pair bounds of whole documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return assembly_of_strings(docs, "text", StringOptions(algorithm="repair")).select("doc_id", "assembly_index", "trivial_bound", "rule_count", "remaining_fragments")
+
+
 QUERIES = {
+    "string_pair_blocks": (_blocks, BLOCKS_SQL),
+    "string_repair_documents": (_repair_documents, None),
     "flagship_index_by_priority": (_flagship, FLAGSHIP_SQL),
     "string_index_orders": (_indices(distinct_order_strings, StringOptions()), index_sql(ORDERS_SQL, False)),
     "string_index_orders_reversed": (_indices(distinct_order_strings, StringOptions(accept_reversed=True)), index_sql(ORDERS_SQL, True)),
