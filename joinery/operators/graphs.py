@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from joinery.functions.scalars import bond_class
-from joinery.runtime import materialise
+from joinery.runtime import materialise, ship
 
 
 def exploded(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,24 +80,52 @@ def component_labels(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     The state is written between rounds; the number of rounds is logarithmic in the longest path for most graphs.
     """
     both = materialise(bonds.select("graph_id", "src", "dst").unionByName(bonds.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
-    state = materialise(atoms.select("graph_id", "atom_ix", F.col("atom_ix").alias("root")), "roots")
+    state, sum_ = materialise(atoms.select("graph_id", "atom_ix", F.col("atom_ix").alias("root")), "roots"), None
     while True:
         near = both.join(state.select("graph_id", F.col("atom_ix").alias("dst"), F.col("root").alias("r")), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("atom_ix")).agg(F.min("r").alias("r"))
         lower = state.join(near, ["graph_id", "atom_ix"], "left").withColumn("root", F.least("root", "r")).drop("r")
         up = lower.select("graph_id", F.col("atom_ix").alias("root"), F.col("root").alias("r"))
-        jumped = lower.join(up, ["graph_id", "root"], "left").select("graph_id", "atom_ix", F.least("root", "r").alias("root"))
-        nxt = materialise(jumped, "roots")
-        moved = nxt.join(state.withColumnRenamed("root", "was"), ["graph_id", "atom_ix"]).where("root <> was").isEmpty()
-        state = nxt
-        if moved:
+        state = materialise(lower.join(up, ["graph_id", "root"], "left").select("graph_id", "atom_ix", F.least("root", "r").alias("root")), "roots")
+        now = state.agg(F.sum(F.col("root").cast("decimal(20,0)"))).first()[0]  # roots only fall
+        if now == sum_:
             return state
+        sum_ = now
 
 
 def component_counts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """graph_id, components (isolated atoms included), bonded_components (only those with a bond)."""
-    labelled = component_labels(atoms, bonds).join(degrees(atoms, bonds), ["graph_id", "atom_ix"])
-    own = F.col("root") == F.col("atom_ix")
-    return labelled.groupBy("graph_id").agg(F.count_if(own).alias("components"), F.count_if(own & (F.col("degree") > 0)).alias("bonded_components"))
+    """graph_id, components (isolated atoms included), bonded_components (only those with a bond).
+
+    A graph is one object of at most 32,767 atoms, so it meets in one row: one shuffle, then a union-find per graph.
+    component_labels does without that bound.
+    """
+    ship(atoms.sparkSession)
+    ends = atoms.select("graph_id", F.col("atom_ix").alias("a"), F.col("atom_ix").alias("b")).unionByName(bonds.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")))
+    rows = ends.groupBy("graph_id").agg(F.collect_list(F.col("a").cast("int")).alias("a"), F.collect_list(F.col("b").cast("int")).alias("b"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [_components(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            every, bonded = zip(*counts, strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("graph_id"), pa.array(every, pa.int64()), pa.array(bonded, pa.int64())], ["graph_id", "components", "bonded_components"])
+
+    return rows.mapInArrow(run, T.StructType([atoms.schema["graph_id"], T.StructField("components", T.LongType()), T.StructField("bonded_components", T.LongType())]))
+
+
+def _components(left: list[int], right: list[int]) -> tuple[int, int]:
+    root = {x: x for x in left}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    bonded = set()
+    for a, b in zip(left, right, strict=True):
+        if a != b:
+            bonded.add(a)
+            root[find(a)] = find(b)
+    return sum(x == r for x, r in root.items()), len({find(x) for x in bonded})
 
 
 def incident_pairs(bonds: DataFrame) -> DataFrame:
@@ -151,10 +183,7 @@ def children(transitions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def path_positions(graphs: DataFrame) -> DataFrame:
     """graph_id, edge_ix, position along the path from its lesser end; only graphs that are one path (labels, edges arrays)."""
-    from pyspark.sql import types as T
-
     from joinery.kernels.graphs import Graph
-    from joinery.runtime import ship
 
     ship(graphs.sparkSession)
 

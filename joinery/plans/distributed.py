@@ -87,8 +87,8 @@ class _GraphProblem:
     def moves(self, state, best: int):
         parts, longest, saved = state
         search, seen = self.search(best, None), set()
-        for k, classes in search.inside(self.levels, parts, longest):
-            for masks in classes:
+        for k, classes in search.start(self.levels, parts):
+            for masks in classes if k <= longest else []:
                 for i, a in enumerate(masks):
                     for b in masks[i + 1 :]:
                         if a & b:
@@ -103,7 +103,8 @@ class _GraphProblem:
     def explore(self, state, best: int, budget_ns: int | None) -> tuple[int, bool]:
         search = self.search(best, budget_ns)
         try:
-            search.run(state[0], search.inside(self.levels, state[0], state[1]), state[2])
+            search.best = min(best, len(self.graph.edges) - 1 - state[2])
+            search.run(state[0], [level for level in search.start(self.levels, state[0]) if level[0] <= state[1]], state[2])
         except OutOfBudget:
             return search.best, False
         return search.best, True

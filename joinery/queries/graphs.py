@@ -144,6 +144,12 @@ SELECT graph_id, count(DISTINCT root) AS components, count(DISTINCT CASE WHEN si
 """
 
 
+def _labels(spark, sf_dir):
+    """Components by propagation alone, counted from the labels."""
+    labels = ops.component_labels(*_stripped(spark, sf_dir))
+    return labels.where("root = atom_ix").groupBy("graph_id").agg(F.count("*").alias("components"))
+
+
 def _incident(spark, sf_dir):
     _, bonds = _stripped(spark, sf_dir)
     return ops.incident_pairs(bonds).select("graph_id", F.col("left_edge").cast("bigint").alias("left_edge"), F.col("right_edge").cast("bigint").alias("right_edge"))
@@ -262,6 +268,7 @@ QUERIES = {
     "graph_unique_bonds": (_unique, UNIQUE_SQL),
     "graph_degrees": (_degrees, DEGREE_SQL),
     "graph_components": (_components, COMPONENTS_SQL),
+    "graph_component_labels": (_labels, f"SELECT graph_id, components FROM ({COMPONENTS_SQL})"),
     "graph_incident_pairs": (_incident, INCIDENT_SQL),
     "graph_connected_subsets": (_subsets, SUBSETS_SQL),
     "graph_checks": (_checks, f"SELECT text, true AS replays, true AS not_below_exact, true AS pathway_replays, true AS renumbering_keeps_class FROM ({DISTINCT_SQL})"),

@@ -364,3 +364,40 @@ def test_native_format():
 def test_broken_native_files(content, what):
     with pytest.raises(FormatError, match=what):
         graphs.parse(content)
+
+
+def vector_chain(goal):
+    """Shortest vector chain by trying all sets of sums."""
+    units = frozenset(tuple(int(i == j) for j in range(len(goal))) for i in range(len(goal)))
+    level, depth = {units}, 0
+    while not any(goal in c for c in level):
+        depth += 1
+        level = {c | {s} for c in level for a in c for b in c if (s := tuple(x + y for x, y in zip(a, b, strict=True))) not in c and all(x <= y for x, y in zip(s, goal, strict=True))}
+    return depth
+
+
+@pytest.mark.parametrize("goal", [(1, 1), (2, 2), (2, 3), (1, 5), (2, 2, 2), (3, 4), (1, 2, 3), (5, 5)])
+def test_refined_floor_is_exact_on_small_vectors(goal):
+    assert chains.refined_vector_floor(goal, work=10**6) == vector_chain(goal)
+    assert chains.vector_floor(goal) <= chains.refined_vector_floor(goal, work=5) <= vector_chain(goal)
+
+
+def test_trails_cover_every_edge_once():
+    from joinery.kernels import trails
+
+    rng = random.Random(6)
+    for _ in range(50):
+        graph = random_graph(rng, 7, 9)
+        paths = trails.trails(graph)
+        assert sorted(i for p in paths for i in p) == list(range(len(graph.edges)))
+        for p in paths:
+            assert all(graph.touching[a] >> b & 1 for a, b in zip(p, p[1:], strict=False))
+        assert trails.baseline(graph) <= len(graph.edges) - 1
+    assert trails.baseline(path(8)) >= chains.chain_length(8) and trails.baseline(Graph([])) == 0
+
+
+def test_path_positions():
+    assert path(4).path_positions() == [0, 1, 2, 3]
+    assert Graph.of(["C"] * 4, [(3, 1, 1), (1, 0, 1), (0, 2, 1)]).path_positions() == [1, 0, 2]
+    assert Graph.of(["C"] * 3, [(0, 1, 1), (1, 2, 1), (0, 2, 1)]).path_positions() is None
+    assert Graph.of(["C"] * 4, [(0, 1, 1), (2, 3, 1)]).path_positions() is None
