@@ -20,6 +20,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinery.runtime import spread
+
 #: Label, keywords (any of which must occur), SPDX words, name after a grant, name by itself.
 NAMES = [
     ("mit", "mit", "mit", "mit(?: licen[sc]e)?", "mit licen[sc]e"),
@@ -138,7 +140,7 @@ SENTENCES = [
     ("public-domain", "public domain", "(?:is|are) (?:hereby )?(?:in )?the public domain"),
     ("wtfpl", "what the", "do what the [^ ]+ you want to public licen[sc]e"),
     ("proprietary", "all rights reserved", "all rights reserved"),
-    ("proprietary", "without prior written", "(?:no part of this [^ ]+ may be reproduced|reproduction is prohibited) (?:[^ ]+ ){0,12}without (?:the )?prior written (?:permission|consent)"),
+    ("proprietary", "prior written", "(?:no part of this [^ ]+ may be reproduced|reproduction is prohibited) (?:[^ ]+ ){0,12}without (?:the )?prior written (?:permission|consent)"),
     ("proprietary", "proprietary and confidential", "proprietary and confidential"),
     ("copyright-notice", "copyright", "copyright (?:c )?(?:[12][0-9]{3})(?: [12][0-9]{3})?"),
 ]
@@ -147,8 +149,11 @@ GRANT = "(?:dual |re)?(?:licen[sc]ed|released|distributed|available|provided|pub
 TAG = "spdx licen[sc]e identifier "
 #: Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Some word of every rule and base phrase, as it stands in a raw text.
-GATE = r"(?i)licen[sc]|copyright|public|reserved|granted|permitted|promote|advertising|warranty|unencumbered|confidential|prohibited|reproduced|spdx|wtfpl|creative|(?<![a-z])(?:cc0?|mit|x11|isc|0?bsd|l?gpl|agpl|mpl|epl|cddl|eupl|zlib|libpng|openssl|postgresql|ms|ofl|etalab|cecill|odbl|apache)(?![a-z])"
+#: Each rule and base phrase holds one of these at the start of a word, as it stands in a raw text.
+GATE = (
+    r"(?i)(?<![a-z0-9])(?:(?:un|re)?licen[sc]|copyright|public|reserved|granted|permitted|promote|advertising|warranty|unencumbered|confidential|prohibited|reproduced|spdx|wtfpl|creative|general|attribution"
+    r"|(?:0?bsd|[la]?gpl|cc0?)(?![a-z])|(?:re)?(?:released|distributed|available|provided|published|shared|offered|covered)[^a-z0-9]+(?:under|by|with)(?![a-z]))"
+)
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -171,9 +176,20 @@ def _rules_column() -> Column:
     return F.from_json(F.lit(json.dumps(groups)), "array<struct<keywords array<string>, rules array<struct<label string, priority int, weight double, number int, pattern string>>>>")
 
 
-def line_of(text: Column) -> Column:
-    """The words of a text between single spaces, with one at either end."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), SEPARATORS, " ")), F.lit(" "))
+def squeezed(text: Column) -> Column:
+    """The words of a text between single spaces, in their own case."""
+    return F.trim(F.regexp_replace(text, SEPARATORS, " "))
+
+
+def line_of(words: Column) -> Column:
+    """The line that rules are matched on, with a space at either end; words as squeezed() gives them."""
+    return F.concat(F.lit(" "), F.translate(words, _UPPER, _LOWER), F.lit(" "))
+
+
+def count_of(words: Column) -> Column:
+    """Number of words in what squeezed() gives."""
+    spaces = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
+    return F.when(words == "", 0).otherwise(spaces + 1).cast("long")
 
 
 def _let(value: Column, use) -> Column:
@@ -223,8 +239,9 @@ def remaining(found: Column) -> Column:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, line (null where the gate is shut) and detections that remain, of each row."""
+    docs = spread(docs.select("doc_id", "text"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    line = F.when(text.rlike(GATE), line_of(text))
-    read = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), line.alias("line"))
+    words = docs.select("doc_id", squeezed(text).alias("words"), text.rlike(GATE).alias("open"))
+    read = words.select("doc_id", count_of(F.col("words")).alias("n_words"), F.when(F.col("open"), line_of(F.col("words"))).alias("line"))
     hits = F.when(F.col("line").isNotNull(), remaining(detections(F.col("line")))).otherwise(F.array().cast(f"array<{_HIT}>"))
     return read.select("doc_id", "n_words", "line", hits.alias("detections"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from joinery.runtime import ship
+from joinery.runtime import ship, spread
 
 #: Arrow batches are worked on in slices of about so many characters, whatever number of rows Spark puts in one.
 SLICE_CHARS = 6_000_000
@@ -52,7 +52,7 @@ def map_texts(rows: DataFrame, added: T.StructType, make: Callable[[], Callable[
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(made[f.name], _arrow(f.dataType)) for f in added.fields], [*names, *(f.name for f in added.fields)])
                 at = end
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -349,3 +349,39 @@ def test_scans_as_brute_force(spark):
     got = {r["doc_id"]: sorted((d["at"], d["stop"], d["label"]) for d in r["detections"]) for r in licenses.scanned(docs).collect()}
     assert got == {i: scan_by_force(t) for i, t in enumerate(texts)}
     assert 200 <= len(licenses.rules())
+
+
+def sample(tree, rng):
+    """A string that a parsed regular expression matches."""
+    out = ""
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op in ("NOT_LITERAL", "ANY"):
+            out += "q"
+        elif op == "IN":
+            kind, what = rng.choice(value)
+            out += {"LITERAL": lambda: chr(what), "RANGE": lambda: chr(what[0]), "NEGATE": lambda: "q"}[str(kind)]()
+        elif op == "MAX_REPEAT":
+            low, high, part = value
+            out += "".join(sample(part, rng) for _ in range(rng.choice([low, min(high, low + 1)])))
+        elif op == "SUBPATTERN":
+            out += sample(value[3], rng)
+        else:
+            assert op == "BRANCH"
+            out += sample(rng.choice(value[1]), rng)
+    return out
+
+
+def test_gates_let_every_rule_through():
+    from re import _parser
+
+    rng = random.Random(15)
+    for rule in licenses.rules():
+        tree = _parser.parse(rule["pattern"])
+        for _ in range(60):
+            text = sample(tree, rng)
+            assert re.fullmatch(rule["pattern"], text)
+            assert re.search(licenses.GATE, f"x {text} y") and any(k in text for k in rule["keyword"].split("|")), (rule, text)
+    assert all(re.search(licenses.GATE, phrase) for phrase in licenses.BASE)
