@@ -15,7 +15,9 @@ doc_id keeps its row and never names a component; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joinery.runtime import materialise, ship
+from joinery.runtime import materialise, ship, spread
 
 SEED = 42
 FANOUT = 8
@@ -33,30 +35,54 @@ SHORT_RUN = 16
 #: Queries that descend the tree together.
 QUERY_BLOCK = 512
 _STEP = 255 * 256
+#: Wide fingerprints, for similarity: bits, the least similarity of shingle sets, and the recall wanted at it.
+WIDE_BITS, SIMILARITY, RECALL = 512, 0.8, 0.95
+#: Bits of a table's key while there are up to 2 ** KEY_ROWS fingerprints; one more for each doubling.
+KEY_BITS, KEY_ROWS = 14, 22
+#: Runs of equal keys up to this length are compared pair by pair, longer ones leader by leader.
+EXACT_RUN = 2048
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of a text's word shingles, each counted as often as it occurs."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    n = max(1, len(words) - width + 1)
+def _shingles(words: list[bytes], width: int) -> list[bytes]:
+    """The space-joined runs of `width` words, or the whole sequence if it is shorter."""
+    line, n = b" ".join(words), max(1, len(words) - width + 1)
     if n == 1:
-        digests = [xxhash.xxh64_digest(line, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends[: n - 1]]
-        digest = xxhash.xxh64_digest
-        digests = [digest(line[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :], strict=True)]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, _STEP):
-        part = np.unpackbits(np.frombuffer(b"".join(digests[at : at + _STEP]), np.uint8)).reshape(-1, 64)
+        return [line]
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return [line[s : e - 1] for s, e in zip([0, *ends[: n - 1]], ends[width - 1 :], strict=True)]
+
+
+def _majority(digests: list[bytes], bits: int) -> bytes:
+    """The bits that are set in over half of the digests."""
+    counts = np.zeros(bits, np.int64)
+    step = _STEP * 64 // bits
+    for at in range(0, len(digests), step):
+        part = np.unpackbits(np.frombuffer(b"".join(digests[at : at + step]), np.uint8)).reshape(-1, bits)
         whole = len(part) // 255 * 255
         if whole:
-            counts += part[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            counts += part[:whole].reshape(-1, 255, bits).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         counts += part[whole:].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return np.packbits(counts * 2 > len(digests)).tobytes()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of a text's word shingles, each counted as often as it occurs."""
+    words = words_of(text)
+    if not words:
+        return 0
+    return int.from_bytes(_majority([xxhash.xxh64_digest(x, SEED) for x in _shingles(words, width)], 64), "big")
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """SimHash of WIDE_BITS bits, whose differing bits measure the similarity of two texts' shingles."""
+    words = words_of(text)
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    return _majority([blake2b(x, digest_size=WIDE_BITS // 8).digest() for x in _shingles(words, width)], WIDE_BITS)
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -214,7 +240,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of each row."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(_fingerprints(width), f"doc_id {kind}, fp long")
+    return spread(docs.select("doc_id", F.col("text").cast("string").alias("_text"))).mapInArrow(_fingerprints(width), f"doc_id {kind}, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -253,21 +279,132 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that its links reach, itself included) of each row."""
     prints = materialise(fingerprints(docs, width), "fingerprints")
+    of = grouped_by_fingerprint(prints, radius)
+    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which the SimHashes of two equally long texts of this shingle similarity differ, on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_differing(similarity: float = SIMILARITY) -> int:
+    """Differing bits of wide fingerprints that still count as similar: the mean and one and a half standard deviations."""
+    p = differing_share(similarity)
+    return int(WIDE_BITS * p + 1.5 * math.sqrt(WIDE_BITS * p * (1 - p)))
+
+
+def tables(count: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+    """The bits of each table's key: as many tables as find a pair with most_differing() bits at this recall."""
+    bits = KEY_BITS + max(0, math.ceil(math.log2(max(1, count))) - KEY_ROWS)
+    same = (1 - most_differing(similarity) / WIDE_BITS) ** bits
+    n = math.ceil(math.log(1 - recall) / math.log(1 - same))
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.permutation(WIDE_BITS)[:bits]) for _ in range(n)]
+
+
+def near_runs(key: np.ndarray, wide: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, node) between rows of equal keys that differ in up to `most` bits; wide: rows of 64-bit words.
+
+    A run's links are reduced to one per row. In runs over EXACT_RUN rows, each row that is not near an earlier
+    leader becomes one, so a dense group of any size costs as much as its leaders.
+    """
+    order = np.argsort(key, kind="stable")
+    key, wide, node = key[order], wide[order], node[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(key)])
+    run = np.repeat(np.arange(len(starts)), sizes)
+    label = np.arange(len(key))
+    short = sizes[run] <= SHORT_RUN if len(run) else np.zeros(0, bool)
+    for lag in range(1, min(SHORT_RUN, len(key))):
+        at = np.flatnonzero((run[lag:] == run[:-lag]) & short[lag:])
+        near = at[np.bitwise_count(wide[at + lag] ^ wide[at]).sum(axis=1, dtype=np.int64) <= most]
+        label = merge(label, near + lag, near)
+    for start, size in zip(starts[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
+        mine = wide[start : start + size]
+        if size <= EXACT_RUN:
+            for i in range(size - 1):
+                near = np.flatnonzero(np.bitwise_count(mine[i + 1 :] ^ mine[i]).sum(axis=1, dtype=np.int64) <= most)
+                if len(near):
+                    label = merge(label, start + i + 1 + near, np.full(len(near), start + i))
+        else:
+            left = np.arange(size)
+            while len(left) > 1:
+                near = np.bitwise_count(mine[left[1:]] ^ mine[left[0]]).sum(axis=1, dtype=np.int64) <= most
+                label = merge(label, start + left[1:][near], np.full(int(near.sum()), start + left[0]))
+                left = left[1:][~near]
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return node[linked], node[label[linked]]
+
+
+def _keyed(cut: list[np.ndarray]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(len(cut[0]), dtype=np.int64)
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8)).reshape(-1, WIDE_BITS)
+            keys = np.stack([bits[:, c] @ weights for c in cut], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(cut)), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("wide"), lists], ["node", "wide", "keys"])
+
+    return run
+
+
+def _near(most: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = [(b.column("key").to_numpy(), b"".join(b.column("wide").to_pylist()), b.column("node").to_numpy()) for b in batches]
+        if mine:
+            key, wide, node = np.concatenate([m[0] for m in mine]), np.frombuffer(b"".join(m[1] for m in mine), np.uint64).reshape(-1, WIDE_BITS // 64), np.concatenate([m[2] for m in mine])
+            u, v = near_runs(key, wide, node, most)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+def _both(width: int, wide: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            prints = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), pa.array([wide_fingerprint(t, wide) for t in texts], pa.binary())], ["doc_id", "fp", "wide"])
+
+    return run
+
+
+def grouped_by_fingerprint(prints: DataFrame, radius: int) -> DataFrame:
+    """fp and component_id of each distinct fp of prints (doc_id, fp)."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialise(grouped.join(named, "root").select("fp", "component_id"), "groups")
-    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    return materialise(grouped.join(named, "root").select("fp", "component_id"), "groups")
+
+
+def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id (long) and group_id, the smallest doc_id that links reach: those of near_duplicates, and links between texts whose
+    shingles of `wide` words are similar by their wide fingerprints. The latter are found at the RECALL of tables()."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    prints = materialise(spread(texts).mapInArrow(_both(width, wide), "doc_id long, fp long, wide binary"), "fingerprints")
+    of = grouped_by_fingerprint(prints, radius)
+    placed = materialise(prints.groupBy("fp", "wide").agg(F.min("doc_id").alias("least")).join(of, "fp").select("wide", "component_id"), "placed")
+    nodes = materialise(placed.groupBy("wide").agg(F.min("component_id").alias("node")), "nodes")
+    cut = tables(nodes.count(), similarity)
+    keyed = nodes.mapInArrow(_keyed(cut), "node long, wide binary, keys array<long>")
+    rows = keyed.select("node", "wide", F.posexplode("keys").alias("t", "k")).select("node", "wide", (F.col("t").cast("long") * (1 << len(cut[0])) + F.col("k")).alias("key"))
+    near = rows.repartition("key").mapInArrow(_near(most_differing(similarity)), "u long, v long")
+    same = placed.join(nodes, "wide").where("component_id <> node").select(F.col("component_id").alias("u"), F.col("node").alias("v"))
+    roots = materialise(components(near.unionByName(same)), "roots")
+    known = of.join(roots, F.col("component_id") == F.col("node"), "left").select("fp", F.coalesce("root", "component_id").alias("group_id"))
+    return prints.join(known, "fp", "left").select("doc_id", "group_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that stay: for each component the row with the smallest doc_id, once if it is repeated.
+    """The rows of docs that stay: for each group of similar_groups the row with the smallest doc_id, once if it is repeated.
 
     Rows without a doc_id cannot be named and stay.
     """
-    groups = near_duplicates(docs.where("doc_id is not null"), width, radius)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    groups = similar_groups(docs.where("doc_id is not null"), width, radius)
+    keep = groups.where("doc_id = group_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -385,3 +385,48 @@ def test_gates_let_every_rule_through():
             assert re.fullmatch(rule["pattern"], text)
             assert re.search(licenses.GATE, f"x {text} y") and any(k in text for k in rule["keyword"].split("|")), (rule, text)
     assert all(re.search(licenses.GATE, phrase) for phrase in licenses.BASE)
+
+
+def test_wide_fingerprints_measure_similarity():
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    near, far = [], []
+    for _ in range(60):
+        words = [word() for _ in range(300)]
+        for changes, out in ((4, near), (30, far)):
+            other = list(words)
+            for i in rng.sample(range(300), changes):
+                other[i] = word()
+            a, b = (int.from_bytes(simhash.wide_fingerprint(" ".join(w))) for w in (words, other))
+            out.append((a ^ b).bit_count())
+    assert sum(d <= simhash.most_differing() for d in near) >= 58 and not any(d <= simhash.most_differing() for d in far)
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" ") == bytes(simhash.WIDE_BITS // 8)
+
+
+def test_tables_find_near_pairs():
+    rng = np.random.default_rng(18)
+    cut = simhash.tables(1000)
+    found = 0
+    for _ in range(400):
+        differ = np.zeros(simhash.WIDE_BITS, bool)
+        differ[rng.permutation(simhash.WIDE_BITS)[: simhash.most_differing()]] = True
+        found += any(not differ[c].any() for c in cut)
+    assert found >= 0.9 * 400
+
+
+def test_runs_are_linked(monkeypatch):
+    rng = np.random.default_rng(19)
+    centre = rng.integers(0, 1 << 62, (3, 8)).astype(np.uint64)
+    which = rng.integers(0, 3, 500)
+    wide = centre[which].copy()
+    for row in wide:
+        row[rng.integers(0, 8)] ^= np.uint64(1 << int(rng.integers(0, 60)))
+    key, node = np.where(np.arange(500) < 40, np.arange(500) % 7, 99), np.arange(500) * 10
+    for exact in (2048, 16):
+        monkeypatch.setattr(simhash, "EXACT_RUN", exact)
+        u, v = simhash.near_runs(key, wide, node, 20)
+        label = simhash.merge(np.arange(500), u // 10, v // 10)
+        for a in range(500):
+            for b in range(a):
+                if key[a] == key[b]:
+                    assert (label[a] == label[b]) == (which[a] == which[b])
