@@ -9,7 +9,7 @@ from joinery.evaluation import stats
 from joinery.plans.options import StringOptions
 from joinery.plans.solve import assembly_of_strings
 from joinery.queries.objects import ORDERS_SQL, distinct_order_strings
-from joinery.queries.strings import index_sql
+from joinery.queries.strings import _all_true, _checked, index_sql
 from joinery.runtime import table
 
 SAMPLES_SQL = """samples AS (SELECT event_type AS suite, CAST(user_id % 12 AS VARCHAR) AS "case", CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS role, CAST((event_id // 2) % 9 AS INTEGER) AS round,
@@ -147,7 +147,16 @@ def _telemetry(spark, sf_dir):
     return metrics(solved).select("objects", "succeeded", "runtime_limited", "enumeration_limited", "bounds_only")
 
 
+def ablation(text: str) -> dict:
+    """Whether the index stays the same with each bound alone and with none; bounds only save work."""
+    from joinery.kernels.strings import BOUNDS, solve
+
+    full = solve(text).index
+    return {f"same_with_{b}": solve(text, bounds=(b,)).index == full for b in BOUNDS} | {"same_with_none": solve(text, bounds=()).index == full}
+
+
 QUERIES = {
+    "bound_ablation": (lambda s, d: _checked(s, d, ablation), _all_true(ablation)),
     "samples_summary": (_summary, SUMMARY_SQL),
     "samples_round_totals": (_totals, f"WITH {SAMPLES_SQL} SELECT suite, role, round, round(sum(wall_seconds), 6) AS total FROM samples GROUP BY 1, 2, 3"),
     "samples_paired_ratios": (_ratios, RATIOS_SQL),
