@@ -135,7 +135,7 @@ def _quality(spark, sf_dir):
 
 QUALITY_SQL = f"""
 WITH x AS (SELECT length(text) AS n, assembly_index AS e, length(text) - 1 AS t FROM ({index_sql(ORDERS_SQL, False)}))
-SELECT n AS symbols, count(*) AS n, 0 AS improved, count(*) AS unchanged, 0 AS worse, count(*) FILTER (t = e) AS tight, round(avg(t - e), 6) AS mean_gap, round(quantile_cont(CAST(t - e AS DOUBLE), 0.5), 6) AS median_gap, CAST(max(t - e) AS INTEGER) AS largest_gap FROM x GROUP BY n
+SELECT n AS symbols, count(*) AS n, CAST(0 AS BIGINT) AS improved, count(*) AS unchanged, CAST(0 AS BIGINT) AS worse, count(*) FILTER (t = e) AS tight, round(avg(t - e), 6) AS mean_gap, round(quantile_cont(CAST(t - e AS DOUBLE), 0.5), 6) AS median_gap, CAST(max(t - e) AS INTEGER) AS largest_gap FROM x GROUP BY n
 """
 
 
@@ -169,5 +169,5 @@ QUERIES = {
     "samples_profiles": (_profiles, PROFILES_SQL),
     "samples_hit_rate": (_hits, f"WITH {SAMPLES_SQL} SELECT suite, round(count(*) FILTER (role = 'baseline') / count(*), 6) AS hit_rate FROM samples GROUP BY 1"),
     "bound_quality": (_quality, QUALITY_SQL),
-    "solver_metrics": (_telemetry, f"SELECT count(DISTINCT text) AS objects, count(DISTINCT text) AS succeeded, 0 AS runtime_limited, 0 AS enumeration_limited, 0 AS bounds_only FROM ({ORDERS_SQL})"),
+    "solver_metrics": (_telemetry, f"SELECT count(DISTINCT text) AS objects, count(DISTINCT text) AS succeeded, CAST(0 AS BIGINT) AS runtime_limited, CAST(0 AS BIGINT) AS enumeration_limited, CAST(0 AS BIGINT) AS bounds_only FROM ({ORDERS_SQL})"),
 }
