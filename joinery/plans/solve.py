@@ -93,7 +93,7 @@ def solve_graph(graph: Graph, options: GraphOptions) -> dict:
         out = Outcome(index=grammar.bound, upper_bound_only=True)
         document = grammar.certificate() if options.with_pathway else None
     else:
-        out = graph_search.solve(graph, options.compensate_disjoint, options.cpu_budget_ns, options.enumeration_limit)
+        out = graph_search.solve(graph, options.compensate_disjoint, options.cpu_budget_ns, options.enumeration_limit, want_steps=options.with_pathway)
         more = {"trivial_bound": len(graph.edges) - 1}
         document = graph_search.pathway(graph, out.steps) if options.with_pathway else None
     if not options.with_history:
