@@ -195,8 +195,8 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two disjoint copies of each short path, plain and compensated: one join less per component after the first."""
-    rows = path_graphs(spark, sf_dir).where(F.size("edges").between(2, 6))
+    """Two disjoint copies of each path, plain and compensated: one join less per component after the first."""
+    rows = path_graphs(spark, sf_dir)
     rows, n = rows.withColumn("shift", F.size("labels")), F.col("shift")
     both = rows.select("graph_id", F.concat("labels", "labels").alias("labels"), F.concat("edges", F.transform("edges", lambda e: F.struct((e["src"] + n).alias("src"), (e["dst"] + n).alias("dst"), e["label"].alias("label")))).alias("edges"))
     plain = assembly_of_graphs(both).select("graph_id", F.col("assembly_index").alias("plain"))
@@ -204,7 +204,7 @@ def _doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.join(less, "graph_id").select(F.col("graph_id").alias("text"), (F.col("plain") - F.col("compensated")).alias("difference"), (F.col("compensated") >= 0).alias("not_negative"))
 
 
-DOUBLED_SQL = f"SELECT text, CAST(1 AS INTEGER) AS difference, true AS not_negative FROM ({DISTINCT_SQL}) WHERE length(text) BETWEEN 2 AND 6"
+DOUBLED_SQL = f"SELECT text, CAST(1 AS INTEGER) AS difference, true AS not_negative FROM ({DISTINCT_SQL})"
 
 
 def _graph_bounds(spark, sf_dir):
@@ -224,17 +224,19 @@ def _positions(spark, sf_dir):
 
 
 def _children(spark, sf_dir):
-    """From single bonds to pairs: transitions of the order graphs, kept where the added bond is one of the first four."""
+    """From single bonds to pairs: transitions of the order graphs inside the part that single bonds leave."""
     _, bonds = order_graph(spark, sf_dir)
     near = ops.incident_pairs(bonds)
     both = near.unionByName(near.select("graph_id", F.col("right_edge").alias("left_edge"), F.col("left_edge").alias("right_edge")))
     pair = F.least("left_edge", "right_edge") * 100 + F.greatest("left_edge", "right_edge")
     transitions = both.select("graph_id", F.lit(1).alias("level"), F.col("left_edge").alias("node"), pair.alias("child"), F.col("right_edge").alias("edge"))
-    nodes = bonds.where("edge_ix < 4").select("graph_id", F.lit(1).alias("level"), F.col("edge_ix").alias("node"), F.array(*map(F.lit, range(4))).alias("part"))
+    left = bonds.where("label <> 1")
+    parts = left.groupBy("graph_id").agg(F.array_sort(F.collect_list("edge_ix")).alias("part"))
+    nodes = left.join(parts, "graph_id").select("graph_id", F.lit(1).alias("level"), F.col("edge_ix").alias("node"), "part")
     return ops.children(transitions, nodes).select("graph_id", F.col("level").cast("bigint").alias("level"), F.col("node").cast("bigint").alias("node"))
 
 
-CHILDREN_SQL = f"""WITH {GRAPH_SQL} SELECT DISTINCT a.graph_id, CAST(2 AS BIGINT) AS level, a.edge_ix * 100 + b.edge_ix AS node FROM bonds a JOIN bonds b ON a.graph_id = b.graph_id AND a.edge_ix < b.edge_ix AND b.edge_ix < 4 AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))"""
+CHILDREN_SQL = f"""WITH {GRAPH_SQL} SELECT DISTINCT a.graph_id, CAST(2 AS BIGINT) AS level, a.edge_ix * 100 + b.edge_ix AS node FROM bonds a JOIN bonds b ON a.graph_id = b.graph_id AND a.edge_ix < b.edge_ix AND a.label <> 1 AND b.label <> 1 AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))"""
 
 
 def _workers(spark, sf_dir):

@@ -128,7 +128,7 @@ SELECT id, CAST(min(p) AS INTEGER) AS "offset", CAST(count(*) AS INTEGER) AS len
 
 def _containing(spark, sf_dir):
     strings = distinct_order_strings(spark, sf_dir).select("id", "text")
-    return ops.containing(ops.repeated_runs(strings), ops.occurrences(strings, longest=2))
+    return ops.containing(ops.repeated_runs(strings), ops.occurrences(strings))
 
 
 CONTAINING_SQL = f"""
@@ -136,7 +136,7 @@ WITH {_occ_sql()}, sym AS (SELECT id, p, substr(text, p + 1, 1) AS symbol FROM (
 kept AS (SELECT *, count(*) OVER (PARTITION BY id, symbol) AS n FROM sym QUALIFY n >= 2),
 isl AS (SELECT id, p, p - row_number() OVER (PARTITION BY id ORDER BY p) AS g FROM kept),
 runs AS (SELECT id, CAST(min(p) AS INTEGER) AS ro, CAST(count(*) AS INTEGER) AS rn FROM isl GROUP BY id, g HAVING count(*) > 1)
-SELECT o.id, o."offset", o.length, ro AS part_offset, rn AS part_length FROM (SELECT * FROM occ WHERE length = 2) o LEFT JOIN runs r ON r.id = o.id AND ro <= "offset" AND ro + rn >= "offset" + length
+SELECT o.id, o."offset", o.length, ro AS part_offset, rn AS part_length FROM occ o LEFT JOIN runs r ON r.id = o.id AND ro <= "offset" AND ro + rn >= "offset" + length
 """
 
 
@@ -248,12 +248,12 @@ SELECT id, CAST(pos AS INTEGER) AS pos FROM r QUALIFY row_number() OVER (PARTITI
 """
 
 def _blocks(spark, sf_dir):
-    occ = _occ(spark, sf_dir).where("length = 2").withColumn("part", F.floor(F.col("offset") / 4).cast("int"))
+    occ = _occ(spark, sf_dir).withColumn("part", F.floor(F.col("offset") / 4).cast("int"))
     return ops.pair_blocks(occ)
 
 
-BLOCKS_SQL = f"""WITH {_occ_sql()}, p AS (SELECT id, canon, "offset" AS o, CAST("offset" // 4 AS INTEGER) AS part FROM occ WHERE length = 2)
-SELECT a.id, a.canon, a.part AS left_part, b.part AS right_part, count(*) AS pairs FROM p a JOIN p b ON a.id = b.id AND a.canon = b.canon AND (a.part < b.part OR (a.part = b.part AND a.o + 2 <= b.o)) GROUP BY 1, 2, 3, 4"""
+BLOCKS_SQL = f"""WITH {_occ_sql()}, p AS (SELECT id, canon, "offset" AS o, length AS k, CAST("offset" // 4 AS INTEGER) AS part FROM occ)
+SELECT a.id, a.canon, a.part AS left_part, b.part AS right_part, count(*) AS pairs FROM p a JOIN p b ON a.id = b.id AND a.canon = b.canon AND (a.part < b.part OR (a.part = b.part AND a.o + a.k <= b.o)) GROUP BY 1, 2, 3, 4"""
 
 
 def _repair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
