@@ -10,7 +10,7 @@ with a partial top-k before the shuffle.
 
 Pivots are picked from a sample of SAMPLE rows, each farthest from those before; they decide the speed, not the result.
 
-Defined results: vectors that are null, empty of a row id, or hold null or non-finite entries take no part; shorter
+Defined results: rows without an id, and vectors that are null or hold null or non-finite entries, take no part; shorter
 vectors count as filled up with zeros; equal rows are answered and found once; rows of the same id as the query are
 not its candidates; ties go to the smaller id.
 """
@@ -93,7 +93,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, query_ids: n
     return (*map(np.concatenate, zip(*found, strict=True)), looked)
 
 
-def _tabled(pivots: np.ndarray, dim: int, largest: float, k: int, every: int):
+def _tabled(pivots: np.ndarray, dim: int, largest: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _matrix(batch.column("v"), dim)
@@ -150,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(-(-stats[0][0] // BLOCK_ROWS), min(wide, stats[0][0] // 512), 1)
     asked = max(-(-stats[1][0] // BLOCK_QUERIES), 1)
-    laid = [t.mapInArrow(_tabled(pivots, dim, largest, k, 0), "vec_id long, _key long, v binary, t binary") for t in keyed]
+    laid = [t.mapInArrow(_tabled(pivots, dim, largest), "vec_id long, _key long, v binary, t binary") for t in keyed]
     block, ask = F.pmod("_key", F.lit(blocks)).cast("int"), F.pmod("_key", F.lit(asked)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = laid[0].select("vec_id", "_key", "v", "t", block.alias("b"), each(asked).alias("a"))
