@@ -22,7 +22,7 @@ import regex
 from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
 
-from joinery.llm.rows import added, map_texts
+from joinery.llm.rows import added, map_texts, packed
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Distinct pieces whose ids a worker remembers; when full, it forgets all and starts anew.
@@ -212,8 +212,6 @@ def _ids(name: str):
 
 def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """`_row` (all columns of docs) and ids: array<int>, the tokens of column text."""
-    from joinery.llm.rows import packed
-
     return map_texts(packed(docs), added("ids array<int>"), _ids(name))
 
 

@@ -92,3 +92,12 @@ def test_embeddings_edges(spark, saved):
     assert sorted(got[0]) == [(1, 1, 65536), (2, 2, 65536), (3, 7, 32768), (4, 50, 0), (5, 100, 0)]
     assert [v for _, v, _ in sorted(got[100])] == [0, 1, 2, 7, 50]
     assert op01_pivots.query(spark, saved(embeddings=table.limit(0))).count() == 0
+
+
+def test_encoded_ids_travel_with_rows(spark, edge_docs):
+    from joinery.llm import bpe
+
+    rows = bpe.encode(edge_docs).collect()
+    coder = bpe.encoder()
+    assert len(rows) == edge_docs.count()
+    assert all(coder.decode(r["ids"]) == (r["_row"]["text"] or "").encode() for r in rows)
