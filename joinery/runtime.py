@@ -9,21 +9,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "joinery.shipped"
+#: Applications that have the code already.
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers import it from anywhere."""
     context = spark.sparkContext
-    if context.getLocalProperty(_SHIPPED) == context.applicationId:
+    if context.applicationId in _SHIPPED:
         return
+    _SHIPPED.add(context.applicationId)
     package = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="joinery-code-")
     stage = os.path.join(folder, "stage")
     shutil.copytree(package, os.path.join(stage, "joinery"), ignore=shutil.ignore_patterns("__pycache__"))
-    context.addPyFile(shutil.make_archive(os.path.join(folder, "joinery"), "zip", stage))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, f"joinery-{uuid.uuid4().hex}"), "zip", stage))
     shutil.rmtree(stage)
-    context.setLocalProperty(_SHIPPED, context.applicationId)
 
 
 def scratch_dir(spark: SparkSession) -> str:
