@@ -5,20 +5,26 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Applications that have the code already.
 _SHIPPED: set[str] = set()
+_LOCK = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers import it from anywhere."""
     context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
+    with _LOCK:
+        if context.applicationId not in _SHIPPED:
+            _ship(context)
+            _SHIPPED.add(context.applicationId)
+
+
+def _ship(context) -> None:
     package = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="joinery-code-")
     stage = os.path.join(folder, "stage")
