@@ -21,6 +21,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-DATA = "/root/testdata/sf0.001"
