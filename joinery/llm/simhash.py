@@ -39,8 +39,10 @@ _STEP = 255 * 256
 WIDE_BITS, SIMILARITY, RECALL = 512, 0.8, 0.95
 #: Bits of a table's key while there are up to 2 ** KEY_ROWS fingerprints; one more for each doubling.
 KEY_BITS, KEY_ROWS = 14, 22
-#: Runs of equal keys up to this length are compared pair by pair, longer ones leader by leader.
+#: Runs of equal keys up to this length are compared pair by pair, longer ones by groups around leaders; the links join the same rows.
 EXACT_RUN = 2048
+#: Pairs of rows whose bits are compared at a time.
+PAIRS_TOGETHER = 1 << 17
 
 
 def _shingles(words: list[bytes], width: int) -> list[bytes]:
@@ -304,11 +306,58 @@ def tables(count: int, similarity: float = SIMILARITY, recall: float = RECALL) -
     return [np.sort(rng.permutation(WIDE_BITS)[:bits]) for _ in range(n)]
 
 
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words."""
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+
+
+def _meet(left: np.ndarray, right: np.ndarray, most: int) -> tuple[int, int] | None:
+    """Positions of some row of left and some row of right that differ in up to `most` bits."""
+    step = max(1, PAIRS_TOGETHER // max(1, len(right)))
+    for at in range(0, len(left), step):
+        for by in range(0, len(right), PAIRS_TOGETHER):
+            near = np.argwhere(differing(left[at : at + step, None], right[None, by : by + PAIRS_TOGETHER]) <= most)
+            if len(near):
+                return at + int(near[0, 0]), by + int(near[0, 1])
+    return None
+
+
+def long_run(wide: np.ndarray, most: int) -> np.ndarray:
+    """Labels as of merge() that join all rows within `most` bits, without all pairs where rows are dense.
+
+    A row near a leader joins its group, any other becomes a leader. Two groups can only have near rows if their
+    leaders differ in no more than `most` and both radii; then the rows that the triangle inequality does not rule
+    out are compared, until a pair is near. Groups that are joined already are not compared.
+    """
+    label, left, leaders, groups, radii = np.arange(len(wide)), np.arange(len(wide)), [], [], []
+    while len(left):
+        far = differing(wide[left], wide[left[0]])
+        near = far <= most
+        leaders.append(left[0])
+        groups.append(left[near])
+        radii.append(far[near].max())
+        label[left[near]] = left[0]
+        left = left[~near]
+    leaders, radii = np.array(leaders, np.int64), np.array(radii, np.int64)
+    owner = np.arange(len(leaders))
+    for g in range(len(leaders) - 1):
+        apart = differing(wide[leaders[g + 1 :]], wide[leaders[g]])
+        for h in (g + 1 + np.flatnonzero(apart <= most + radii[g] + radii[g + 1 :])).tolist():
+            if owner[g] == owner[h]:
+                continue
+            mine = groups[g][differing(wide[groups[g]], wide[leaders[h]]) <= most + radii[h]]
+            other = groups[h][differing(wide[groups[h]], wide[leaders[g]]) <= most + radii[g]]
+            if _meet(wide[mine], wide[other], most):
+                owner = merge(owner, np.array([g]), np.array([h]))
+    place = np.zeros(len(wide), np.int64)
+    place[leaders] = np.arange(len(leaders))
+    return leaders[owner[place[label]]]
+
+
 def near_runs(key: np.ndarray, wide: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, node) between rows of equal keys that differ in up to `most` bits; wide: rows of 64-bit words.
 
-    A run's links are reduced to one per row. In runs over EXACT_RUN rows, each row that is not near an earlier
-    leader becomes one, so a dense group of any size costs as much as its leaders.
+    A run's links are reduced to one per row; they join all rows within `most` bits, however long the run is.
     """
     order = np.argsort(key, kind="stable")
     key, wide, node = key[order], wide[order], node[order]
@@ -319,21 +368,17 @@ def near_runs(key: np.ndarray, wide: np.ndarray, node: np.ndarray, most: int) ->
     short = sizes[run] <= SHORT_RUN if len(run) else np.zeros(0, bool)
     for lag in range(1, min(SHORT_RUN, len(key))):
         at = np.flatnonzero((run[lag:] == run[:-lag]) & short[lag:])
-        near = at[np.bitwise_count(wide[at + lag] ^ wide[at]).sum(axis=1, dtype=np.int64) <= most]
+        near = at[differing(wide[at + lag], wide[at]) <= most]
         label = merge(label, near + lag, near)
     for start, size in zip(starts[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
         mine = wide[start : start + size]
         if size <= EXACT_RUN:
             for i in range(size - 1):
-                near = np.flatnonzero(np.bitwise_count(mine[i + 1 :] ^ mine[i]).sum(axis=1, dtype=np.int64) <= most)
+                near = np.flatnonzero(differing(mine[i + 1 :], mine[i]) <= most)
                 if len(near):
                     label = merge(label, start + i + 1 + near, np.full(len(near), start + i))
         else:
-            left = np.arange(size)
-            while len(left) > 1:
-                near = np.bitwise_count(mine[left[1:]] ^ mine[left[0]]).sum(axis=1, dtype=np.int64) <= most
-                label = merge(label, start + left[1:][near], np.full(int(near.sum()), start + left[0]))
-                left = left[1:][~near]
+            label[start : start + size] = start + long_run(mine, most)
     linked = np.flatnonzero(label != np.arange(len(label)))
     return node[linked], node[label[linked]]
 

@@ -430,3 +430,26 @@ def test_runs_are_linked(monkeypatch):
             for b in range(a):
                 if key[a] == key[b]:
                     assert (label[a] == label[b]) == (which[a] == which[b])
+
+
+def test_long_runs_link_chains():
+    """Rows that are near a leader still link what only they are near to; as all pairs do."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for c in range(12):  # chains of steps of 60 bits, whose ends are far beyond the limit of 89, with dense copies around
+        bits = rng.integers(0, 2, simhash.WIDE_BITS).astype(np.uint8)
+        where = rng.permutation(simhash.WIDE_BITS)
+        for step in range(1 + c % 5):
+            bits = bits.copy()
+            bits[where[60 * step : 60 * (step + 1)]] ^= 1
+            for _ in range(60):
+                row = bits.copy()
+                row[rng.integers(0, simhash.WIDE_BITS, 3)] ^= 1
+                rows.append(row)
+    wide = np.packbits(np.array(rows)[rng.permutation(len(rows))], axis=1).view(np.uint64)
+    wide = np.concatenate([wide, rng.integers(0, 1 << 63, (simhash.EXACT_RUN, 8)).astype(np.uint64)])
+    u, v = simhash.near_runs(np.zeros(len(wide), np.int64), wide, np.arange(len(wide)), 89)
+    got = simhash.merge(np.arange(len(wide)), u, v)
+    a, b = zip(*[(np.full(len(near), i), i + 1 + near) for i in range(len(wide)) if len(near := np.flatnonzero(np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1) <= 89))], strict=True)
+    want = simhash.merge(np.arange(len(wide)), np.concatenate(a), np.concatenate(b))
+    assert (got == want).all()
