@@ -21,6 +21,7 @@ from hashlib import blake2b
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,12 @@ WIDE_BITS, SIMILARITY, RECALL = 512, 0.8, 0.95
 KEY_BITS, KEY_ROWS = 14, 22
 #: Runs of equal keys up to this length are compared pair by pair, longer ones by groups around leaders; the links join the same rows.
 EXACT_RUN = 2048
+#: Wide fingerprints that differ in up to the mean and this many standard deviations are candidates, decided by the shingles.
+CANDIDATE_SD = 3.5
+#: Distinct texts and shingles of a block of candidates, at most about; each two blocks of a group of candidates meet in one task.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Candidates that are broadcast to find their texts; more are joined by key.
+BROADCAST_ROWS = 1 << 16
 #: Pairs of rows whose bits are compared at a time.
 PAIRS_TOGETHER = 1 << 17
 
@@ -291,16 +298,16 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def most_differing(similarity: float = SIMILARITY) -> int:
+def most_differing(similarity: float = SIMILARITY, deviations: float = 1.5) -> int:
     """Differing bits of wide fingerprints that still count as similar: the mean and one and a half standard deviations."""
     p = differing_share(similarity)
-    return int(WIDE_BITS * p + 1.5 * math.sqrt(WIDE_BITS * p * (1 - p)))
+    return int(WIDE_BITS * p + deviations * math.sqrt(WIDE_BITS * p * (1 - p)))
 
 
-def tables(count: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+def tables(count: int, similarity: float = SIMILARITY, recall: float = RECALL, deviations: float = 1.5) -> list[np.ndarray]:
     """The bits of each table's key: as many tables as find a pair with most_differing() bits at this recall."""
     bits = KEY_BITS + max(0, math.ceil(math.log2(max(1, count))) - KEY_ROWS)
-    same = (1 - most_differing(similarity) / WIDE_BITS) ** bits
+    same = (1 - most_differing(similarity, deviations) / WIDE_BITS) ** bits
     n = math.ceil(math.log(1 - recall) / math.log(1 - same))
     rng = np.random.default_rng(SEED)
     return [np.sort(rng.permutation(WIDE_BITS)[:bits]) for _ in range(n)]
@@ -395,13 +402,61 @@ def _keyed(cut: list[np.ndarray]):
     return run
 
 
-def _near(most: int):
+def _near(most: int, candidates: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = [(b.column("key").to_numpy(), b"".join(b.column("wide").to_pylist()), b.column("node").to_numpy()) for b in batches]
         if mine:
             key, wide, node = np.concatenate([m[0] for m in mine]), np.frombuffer(b"".join(m[1] for m in mine), np.uint64).reshape(-1, WIDE_BITS // 64), np.concatenate([m[2] for m in mine])
-            u, v = near_runs(key, wide, node, most)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            for limit in (most, candidates):
+                u, v = near_runs(key, wide, node, limit)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), limit == most))], ["u", "v", "near"])
+
+    return run
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct word shingles of a text as rising 64-bit hashes; none for a text without words."""
+    words = words_of(text)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in _shingles(words, width)), np.uint64)) if words else np.zeros(0, np.uint64)
+
+
+def similar_links(group: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (group, group) that join all groups with sets whose intersection is this share of their union, or more."""
+    names, first = np.unique(group, return_inverse=True)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    first, sizes = first[order], sizes[order]
+    _, token = np.unique(np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in order]]), return_inverse=True)
+    ends = np.r_[0, np.cumsum(sizes)]
+    held = np.zeros(len(token) + 1, bool)
+    label = np.arange(len(names))
+    for i in range(len(order) - 1):
+        last = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-9, "right"))
+        if last <= i + 1 or (label[first[i + 1 : last]] == label[first[i]]).all():
+            continue
+        held[token[ends[i] : ends[i + 1]]] = True
+        shared = np.add.reduceat(held[token[ends[i + 1] : ends[last]]], ends[i + 1 : last] - ends[i + 1], dtype=np.int64)
+        held[token[ends[i] : ends[i + 1]]] = False
+        near = i + 1 + np.flatnonzero(shared >= similarity * (sizes[i] + sizes[i + 1 : last] - shared) - 1e-9)
+        label = merge(label, first[near], np.full(len(near), first[i]))
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return names[linked], names[label[linked]]
+
+
+def _similar(similarity: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = similar_links(rows["group"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], similarity)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t, width).tobytes() for t in batch.column("_text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("group"), batch.column("hash"), batch.column("blocks"), sets], ["cell", "group", "hash", "blocks", "shingles"])
 
     return run
 
@@ -411,7 +466,18 @@ def _both(width: int, wide: int):
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             prints = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), pa.array([wide_fingerprint(t, wide) for t in texts], pa.binary())], ["doc_id", "fp", "wide"])
+            wides, names, sizes = [], [], []
+            for text in texts:
+                words = words_of(text)
+                digests = [blake2b(x, digest_size=WIDE_BITS // 8).digest() for x in _shingles(words, wide)] if words else []
+                wides.append(_majority(digests, WIDE_BITS) if words else bytes(WIDE_BITS // 8))
+                distinct = sorted({d[:8] for d in digests})
+                names.append(xxhash.xxh64_intdigest(b"".join(distinct), SEED))
+                sizes.append(len(distinct))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("hash"), pa.array(prints.view(np.int64)), pa.array(wides, pa.binary()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())],
+                ["doc_id", "hash", "fp", "wide", "set", "size"],
+            )
 
     return run
 
@@ -425,23 +491,51 @@ def grouped_by_fingerprint(prints: DataFrame, radius: int) -> DataFrame:
     return materialise(grouped.join(named, "root").select("fp", "component_id"), "groups")
 
 
-def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id (long) and group_id, the smallest doc_id that links reach: those of near_duplicates, and links between texts whose
-    shingles of `wide` words are similar by their wide fingerprints. The latter are found at the RECALL of tables()."""
+def verified(texts: DataFrame, units: DataFrame, cells: DataFrame, wide: int, similarity: float) -> DataFrame:
+    """Links (u, v) between groups of one cell that have texts whose shingle sets are similar.
+
+    texts: doc_id, hash, _text. units: a row for each distinct shingle set, with group, size and row (doc_id and hash of one
+    such text). cells: group and cell. Large cells are cut into blocks, and each two blocks meet once.
+    """
+    mine = materialise(units.join(cells, "group"), "candidates")
+    shape = mine.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    asked = mine.join(shape, "cell").select("cell", "group", "blocks", F.col("row.doc_id").alias("doc_id"), F.col("row.hash").alias("hash"))
+    asked = F.broadcast(asked) if mine.count() <= BROADCAST_ROWS else asked
+    held = asked.join(texts, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "group"])
+    sets = held.select("cell", "group", "hash", "blocks", "_text").mapInArrow(_sets(wide), "cell long, group long, hash long, blocks int, shingles binary")
+    block = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
+    met = sets.withColumn("b", block).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.groupBy("cell", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j")).applyInPandas(_similar(similarity), "u long, v long")
+
+
+def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int = 5, similarity: float = SIMILARITY, estimate: bool = True) -> DataFrame:
+    """doc_id (long), hash (of the text) and group (a number) of each row: the links of near_duplicates, and links between texts whose
+    sets of shingles of `wide` words are similar.
+
+    The latter are decided by the sets. Candidates are wide fingerprints of up to CANDIDATE_SD differing bits, found at the
+    RECALL of tables() or better. estimate: fingerprints of up to most_differing() bits are linked without a look at the sets.
+    """
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
-    prints = materialise(spread(texts).mapInArrow(_both(width, wide), "doc_id long, fp long, wide binary"), "fingerprints")
-    of = grouped_by_fingerprint(prints, radius)
-    placed = materialise(prints.groupBy("fp", "wide").agg(F.min("doc_id").alias("least")).join(of, "fp").select("wide", "component_id"), "placed")
-    nodes = materialise(placed.groupBy("wide").agg(F.min("component_id").alias("node")), "nodes")
-    cut = tables(nodes.count(), similarity)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text")).withColumn("hash", F.xxhash64("_text"))
+    prints = materialise(spread(texts).mapInArrow(_both(width, wide), "doc_id long, hash long, fp long, wide binary, set long, size long"), "fingerprints")
+    distinct = materialise(prints.select("fp").distinct(), "distinct")
+    of = distinct.join(components(links(distinct, radius)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("of"))
+    placed = materialise(prints.groupBy("fp", "wide", "set", "size").agg(F.min(F.struct("doc_id", "hash")).alias("row")).join(of, "fp"), "placed")
+    nodes = materialise(placed.groupBy("wide").agg(F.min("of").alias("node")), "nodes")
+    cut = tables(nodes.count(), similarity, deviations=CANDIDATE_SD)
     keyed = nodes.mapInArrow(_keyed(cut), "node long, wide binary, keys array<long>")
     rows = keyed.select("node", "wide", F.posexplode("keys").alias("t", "k")).select("node", "wide", (F.col("t").cast("long") * (1 << len(cut[0])) + F.col("k")).alias("key"))
-    near = rows.repartition("key").mapInArrow(_near(most_differing(similarity)), "u long, v long")
-    same = placed.join(nodes, "wide").where("component_id <> node").select(F.col("component_id").alias("u"), F.col("node").alias("v"))
-    roots = materialise(components(near.unionByName(same)), "roots")
-    known = of.join(roots, F.col("component_id") == F.col("node"), "left").select("fp", F.coalesce("root", "component_id").alias("group_id"))
-    return prints.join(known, "fp", "left").select("doc_id", "group_id")
+    pairs = rows.repartition("key").mapInArrow(_near(most_differing(similarity), most_differing(similarity, CANDIDATE_SD)), "u long, v long, near boolean")
+    same = placed.join(nodes, "wide").where("of <> node").select(F.col("of").alias("u"), F.col("node").alias("v"), F.lit(True).alias("near"))
+    found = materialise(pairs.unionByName(same).where("u <> v").distinct(), "found")
+    roots = materialise(components(found.where(F.col("near") & F.lit(estimate)).select("u", "v")), "roots")
+    group = lambda rows, name: rows.join(roots.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("root", name)).drop("root")
+    across = group(group(found.select("u", "v"), "u"), "v")
+    cells = components(across).select(F.explode(F.array("node", "root")).alias("group"), F.col("root").alias("cell")).distinct()
+    units = group(placed.withColumn("group", F.col("of")), "group").groupBy("group", "wide", "set", "size").agg(F.min("row").alias("row"))
+    joined = materialise(components(verified(texts, units, cells, wide, similarity)), "joined")
+    known = group(placed.select("fp", F.col("of").alias("group")).distinct(), "group").join(joined, F.col("group") == F.col("node"), "left").select("fp", F.coalesce("root", "group").alias("group"))
+    return prints.join(known, "fp", "left").select("doc_id", "hash", "group")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -450,7 +544,7 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     Rows without a doc_id cannot be named and stay.
     """
     groups = similar_groups(docs.where("doc_id is not null"), width, radius)
-    keep = groups.where("doc_id = group_id").select("doc_id").distinct()
+    keep = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -453,3 +453,50 @@ def test_long_runs_link_chains():
     a, b = zip(*[(np.full(len(near), i), i + 1 + near) for i in range(len(wide)) if len(near := np.flatnonzero(np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1) <= 89))], strict=True)
     want = simhash.merge(np.arange(len(wide)), np.concatenate(a), np.concatenate(b))
     assert (got == want).all()
+
+
+def changed(rng, words, share):
+    """Words with runs of new ones, so that about this share of the five-word shingles stays common to both."""
+    words, n = list(words), round(len(words) * (1 - share) / (1 + share))
+    at = rng.randrange(len(words) - n)
+    return words[:at] + ["".join(rng.choice("klmnop") for _ in range(6)) for _ in range(n)] + words[at + n :]
+
+
+def test_similar_sets_are_linked_as_by_brute_force(monkeypatch):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(12):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randrange(20, 90))]
+        texts += [" ".join(words), *[" ".join(changed(rng, words, s)) for s in (0.9, 0.82, 0.79, 0.7)]]
+    sets = [simhash.shingle_set(t) for t in [*texts, "", None, "word"]]
+    group = np.arange(len(sets)) * 7
+    u, v = simhash.similar_links(group, sets, 0.8)
+    got = simhash.merge(np.arange(len(sets)), u // 7, v // 7)
+    plain = [set(simhash._shingles(simhash.words_of(t), 5)) for t in texts]
+    a, b = zip(*[(i, j) for i in range(len(plain)) for j in range(i) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])], strict=True)
+    want = simhash.merge(np.arange(len(sets)), np.array(a), np.array(b))
+    assert (got == want).all() and len(set(want.tolist())) < len(sets)
+
+
+def far_pairs(count):
+    """Pairs of texts similar at 0.8 or more whose wide fingerprints differ in more bits than most_differing()."""
+    rng, out = random.Random(32), []
+    while len(out) < count:
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+        other = changed(rng, words, 0.87)
+        x, y = (set(simhash._shingles([w.encode() for w in p], 5)) for p in (words, other))
+        a, b = (int.from_bytes(simhash.wide_fingerprint(" ".join(p))) for p in (words, other))
+        if 5 * len(x & y) >= 4 * len(x | y) and simhash.most_differing() < (a ^ b).bit_count() <= simhash.most_differing(deviations=simhash.CANDIDATE_SD):
+            out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_similar_texts_of_far_fingerprints_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    pairs = far_pairs(12)
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert kept == list(range(0, 24, 2))
+    groups = {r["doc_id"]: r["group"] for r in simhash.similar_groups(docs, estimate=False).collect()}
+    assert len(set(groups.values())) == 12 and all(groups[2 * i] == groups[2 * i + 1] for i in range(12))
