@@ -541,11 +541,12 @@ def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int =
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs that stay: for each group of similar_groups the row with the smallest doc_id, once if it is repeated.
 
-    Rows without a doc_id cannot be named and stay.
+    Rows of one doc_id and different texts are different rows. Rows without a doc_id cannot be named and stay.
     """
     groups = similar_groups(docs.where("doc_id is not null"), width, radius)
-    keep = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = groups.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("row")).select(F.col("row.doc_id").alias("_doc"), F.col("row.hash").alias("_hash"))
+    mine = docs.where("doc_id is not null").withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = mine.join(keep, ["_doc", "_hash"], "left_semi").dropDuplicates(["_doc", "_hash"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -500,3 +500,10 @@ def test_similar_texts_of_far_fingerprints_are_linked(spark, monkeypatch, block)
     assert kept == list(range(0, 24, 2))
     groups = {r["doc_id"]: r["group"] for r in simhash.similar_groups(docs, estimate=False).collect()}
     assert len(set(groups.values())) == 12 and all(groups[2 * i] == groups[2 * i + 1] for i in range(12))
+
+
+def test_clashing_doc_ids_keep_their_texts(spark):
+    text = lambda seed: " ".join(str(random.Random(seed + i).random()) for i in range(40))
+    rows = [(1, text(100)), (5, text(100)), (5, text(200)), (5, text(200)), (6, text(300)), (6, text(400)), (7, text(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == sorted({(1, text(100)), (5, text(200)), (6, text(300)), (6, text(400))})
