@@ -297,6 +297,10 @@ def test_graph_limits():
     assert none.index == len(graph.edges) - 1 and none.runtime_limit_reached
 
 
+def test_enumeration_goes_as_far_as_the_reference():
+    assert graph_search.ENUMERATION_LIMIT == 50_000_000
+
+
 def test_unique_classes_and_pathway():
     graph = Graph.of(["C", "C", "C", "N", "C"], [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 2)])
     assert graph.unique_edges() == [(2, 3), (3, 4)] and graphs.bits(graph.repeated_edges()) == [0, 1]
