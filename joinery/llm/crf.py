@@ -8,8 +8,8 @@ probabilities given the whole text; a text's language is the one with the larges
 that sum's share.
 
 The model is fitted on the driver on a bounded sample: up to ROWS labelled documents per language (drawn by a hash of
-doc_id), of at most ROW_CHARS characters each, in at most LANGUAGES languages (the most frequent ones). Prediction
-reads whole texts.
+doc_id), in at most LANGUAGES languages (the most frequent ones); of a text over ROW_CHARS characters it is fitted on a
+window of that length, placed by a hash of doc_id. Prediction reads whole texts.
 
 Defined results: `und` with score 0 for null texts, texts without letters, and if there are no labelled rows at all;
 ties go to the language first in the alphabet; repeated rows are judged one by one.
@@ -225,7 +225,8 @@ def train(docs: DataFrame) -> Model:
     range_ = 1 << 30
     wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(range_, ROWS * range_ // r["n"]))])
     drawn = mine.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(range_)) < F.element_at(wanted, F.col("lang")))
-    rows = drawn.where(F.length("text") <= ROW_CHARS).select("text", "lang").limit(2 * ROWS * len(counts)).collect()
+    at = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.greatest(F.length("text") - ROW_CHARS + 1, F.lit(1))) + 1
+    rows = drawn.select(F.col("text").substr(at.cast("int"), F.lit(ROW_CHARS)).alias("text"), "lang").limit(2 * ROWS * len(counts)).collect()
     return fit([(r["text"], r["lang"]) for r in rows])
 
 

@@ -507,3 +507,14 @@ def test_clashing_doc_ids_keep_their_texts(spark):
     rows = [(1, text(100)), (5, text(100)), (5, text(200)), (5, text(200)), (6, text(300)), (6, text(400)), (7, text(400))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == sorted({(1, text(100)), (5, text(200)), (6, text(300)), (6, text(400))})
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rng = random.Random(33)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(i, text("abcdefg", 40), "aa") for i in range(40)] + [(100 + i, text("uvwxyz", 8000), "uu") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(r[1]) for r in rows[40:]) > crf.ROW_CHARS
+    model = crf.train(docs)
+    assert sorted(model.labels) == ["aa", "uu"]
+    assert crf.Labeller(model).label([text("uvwxyz", 30), text("abcdefg", 30)])[0] == ["uu", "aa"]
