@@ -25,7 +25,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id",
         "n_words",
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_base"),
+        F.when(F.col("places").isNotNull(), F.size("places")).otherwise(0).cast("long").alias("n_base"),
         (spaces(first) - 1).cast("long").alias("first_word"),
         (F.col("n_words") - behind).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
