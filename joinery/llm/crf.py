@@ -7,12 +7,13 @@ runs of words of documents in different languages. At prediction, forward-backwa
 probabilities given the whole text; a text's language is the one with the largest sum over its words, the score is
 that sum's share.
 
-The model is fitted on the driver on a bounded sample: up to ROWS labelled documents per language (drawn by a hash of
-doc_id), in at most LANGUAGES languages (the most frequent ones); of a text over ROW_CHARS characters it is fitted on a
-window of that length, placed by a hash of doc_id. Prediction reads whole texts.
+The model is fitted on the driver on a bounded sample: the ROWS labelled documents of each language that come first by a
+hash of doc_id and text; of a text over ROW_CHARS characters it is fitted on a window of that length, placed by that hash.
+Every language of the labelled rows is learned. Prediction reads whole texts; texts of many words go through
+forward-backward in blocks, so that a task's memory does not grow with the length of a text.
 
-Defined results: `und` with score 0 for null texts, texts without letters, and if there are no labelled rows at all;
-ties go to the language first in the alphabet; repeated rows are judged one by one.
+Defined results: letters are Unicode's categories L*; `und` with score 0 for null texts, texts without letters, and if
+there are no labelled rows at all; ties go to the language first in the alphabet; repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from joinery.llm.rows import added, map_texts, packed, unpacked
 
-ROWS, ROW_CHARS, LANGUAGES = 300, 50_000, 200
+ROWS, ROW_CHARS = 300, 50_000
 #: Feature weights, training sequences, runs in a sequence, words in a run.
 SPACE, SEQUENCES, RUNS, RUN_WORDS = 1 << 16, 2400, 4, (4, 40)
 LEXICON = 1500
@@ -36,7 +39,11 @@ EPOCHS, BATCH, RATE, DECAY = 3, 48, 0.25, 1e-6
 SEED = 20240229
 #: Distinct words whose scores a worker remembers; when full, it forgets all and starts anew.
 REMEMBERED = 400_000
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: Words times languages that go through forward-backward together, about; longer texts go by themselves, in blocks of so many.
+TOGETHER = 1 << 22
+#: What counts as a word character elsewhere, but is a numeral and no letter: one half, Roman eight.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
@@ -102,6 +109,34 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np
     return each, (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
+def long_shares(emit: Callable[[slice], np.ndarray], total: int, move: np.ndarray, start: np.ndarray, block: int) -> np.ndarray:
+    """Sum over the words of one sequence of their label probabilities, with the states of one block of words at a time.
+
+    A first pass forward keeps the state at each block's start; then blocks are gone through from the last to the first.
+    """
+    starts = range(0, total, block)
+    heads, state = [], start.astype(np.float64)
+    for at in starts:
+        heads.append(state)
+        for row in emit(slice(at, min(total, at + block))):
+            state = (state * row) @ move
+            state /= state.sum()
+    after, out = np.ones(len(start)), np.zeros(len(start))
+    for at, state in zip(reversed(starts), reversed(heads), strict=True):
+        rows = emit(slice(at, min(total, at + block)))
+        before = np.empty((len(rows), len(start)))
+        for i, row in enumerate(rows):
+            before[i] = state
+            state = (state * row) @ move
+            state /= state.sum()
+        for i in range(len(rows) - 1, -1, -1):
+            each = before[i] * rows[i] * after
+            out += each / each.sum()
+            after = move @ (rows[i] * after)
+            after /= after.sum()
+    return out
+
+
 def fit(samples: list[tuple[str, str]]) -> Model:
     """samples: (text, language)."""
     by: dict[str, list[list[str]]] = {}
@@ -201,15 +236,30 @@ class Labeller:
         if not self.model.labels:
             return langs, scores
         ids = self._ids(texts)
-        full = [i for i, x in enumerate(ids) if len(x)]
-        if full:
-            lengths = np.array([len(ids[i]) for i in full])
-            each = marginals(self.emit[np.concatenate([ids[i] for i in full])], lengths, self.move, self.start)
-            share = np.add.reduceat(each, np.cumsum(lengths) - lengths, axis=0, dtype=np.float64) / lengths[:, None]
-            for i, best, row in zip(full, share.argmax(axis=1), share, strict=True):
-                langs[i], scores[i] = self.model.labels[best], float(min(1.0, row[best]))
+        block = max(1, TOGETHER // len(self.start))
+        part: list[int] = []
+        for i in sorted((i for i, x in enumerate(ids) if len(x)), key=lambda i: len(ids[i])):
+            if part and sum(len(ids[j]) for j in part) + len(ids[i]) > block:
+                self._judge(part, self._shares([ids[j] for j in part]), langs, scores)
+                part = []
+            if len(ids[i]) > block:
+                share = long_shares(lambda s, mine=ids[i]: self.emit[mine[s]], len(ids[i]), self.move, self.start, block) / len(ids[i])
+                self._judge([i], share[None], langs, scores)
+            else:
+                part.append(i)
+        if part:
+            self._judge(part, self._shares([ids[j] for j in part]), langs, scores)
         return langs, scores
 
+    def _shares(self, ids: list[np.ndarray]) -> np.ndarray:
+        lengths = np.array([len(x) for x in ids])
+        each = marginals(self.emit[np.concatenate(ids)], lengths, self.move, self.start)
+        return np.add.reduceat(each, np.cumsum(lengths) - lengths, axis=0, dtype=np.float64) / lengths[:, None]
+
+    def _judge(self, which: list[int], share: np.ndarray, langs: list[str], scores: list[float]) -> None:
+        for i, best, row in zip(which, share.argmax(axis=1), share, strict=True):
+            langs[i], scores[i] = self.model.labels[best], float(min(1.0, row[best]))
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from."""
@@ -217,16 +267,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Model from the labelled rows of docs (columns doc_id, text, lang) that are not held out."""
+    """Model from the labelled rows of docs (columns doc_id, text, lang) that are not held out.
+
+    A first pass counts the languages; the second one lets through by hash about twice the rows that are wanted of each
+    language, so that only those are ranked.
+    """
     mine = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    counts = [r.asDict() for r in mine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    counts = mine.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return Model([], {})
     range_ = 1 << 30
-    wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(range_, ROWS * range_ // r["n"]))])
-    drawn = mine.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(range_)) < F.element_at(wanted, F.col("lang")))
-    at = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.greatest(F.length("text") - ROW_CHARS + 1, F.lit(1))) + 1
-    rows = drawn.select(F.col("text").substr(at.cast("int"), F.lit(ROW_CHARS)).alias("text"), "lang").limit(2 * ROWS * len(counts)).collect()
+    wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(range_, 2 * ROWS * range_ // r["n"]))])
+    hashed = mine.withColumn("_at", F.xxhash64(F.lit(SEED), "doc_id", "text"))
+    drawn = hashed.where(F.pmod("_at", F.lit(range_)) < F.element_at(wanted, F.col("lang")))
+    place = F.pmod(F.shiftright("_at", 20), F.greatest(F.length("text") - ROW_CHARS + 1, F.lit(1))) + 1
+    short = drawn.select(F.col("text").substr(place.cast("int"), F.lit(ROW_CHARS)).alias("text"), "lang", F.pmod("_at", F.lit(range_)).alias("_rank"), "_at")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_rank", "_at", "text"))
+    rows = short.withColumn("_n", rank).where(F.col("_n") <= ROWS).select("text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in rows])
 
 
@@ -249,7 +306,13 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least_score: float) -> DataFrame:
-    """The rows of docs with a language, at a score of least_score or more; unchanged and never shuffled."""
-    rows = identify(packed(docs), train(docs.select("doc_id", "text", "lang")))
+    """The rows of docs with a language, at a score of least_score or more; unchanged and never shuffled.
+
+    Without any labelled row there is no model: then only rows without letters go.
+    """
+    model = train(docs.select("doc_id", "text", "lang"))
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = identify(packed(docs), model)
     kept = rows.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least_score))
     return kept.select(*unpacked(kept))
