@@ -5,8 +5,9 @@ its front have been popped, and each link knows how many tokens that pops. Readi
 where there is none, failure links; the sum of the popped counts is the number of tokens of the greedy
 longest-match-first split. A word with a symbol that no token covers counts as one unknown token.
 
-Word ends are a symbol of their own (end marker), and inner pieces can have a prefix (continuation), so both common
-forms of such vocabularies work.
+In a vocabulary with word ends, a word's last byte is a symbol of its own (the byte with the end mark), as the
+vocabulary's first 512 tokens have it: each byte as an inner one and as a last one. So every word has a greedy split
+into tokens of the vocabulary, and none is made up. Continuation prefixes work too (`inner`).
 
 Defined results: a null or empty text has no words and no tokens.
 """
@@ -106,6 +107,11 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def marked(data: bytes) -> tuple[int, ...]:
+    """A word's symbols: its bytes, the last one with the end mark."""
+    return (*data[:-1], 256 + data[-1])
+
+
 class Counter:
     """Token counts of whole texts by a vocabulary file with word ends over byte symbols."""
 
@@ -118,15 +124,15 @@ class Counter:
         for token in model["model"]["vocab"]:
             if token not in special:
                 body = token.removesuffix(suffix)
-                words.append((*map(symbol.__getitem__, body), *([256] if body != token else [])))
-        # an end marker by itself, for words whose last symbol has no form with it
-        self.automaton = LongestMatch([*words, (256,)])
+                found = bytes(map(symbol.__getitem__, body))
+                words.append(marked(found) if body != token else tuple(found))
+        self.automaton = LongestMatch(words)
         pattern = next(p["pattern"]["Regex"] for p in model["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        found = self.automaton.count((*word.encode("utf-8", "surrogatepass"), 256))
+        found = self.automaton.count(marked(word.encode("utf-8", "surrogatepass")))
         return 1 if found is None else found
 
     def counts(self, text: str | None) -> tuple[int, int]:
