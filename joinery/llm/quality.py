@@ -1,15 +1,19 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates per language and source.
 
-Each text gives counts; the counts give a transformed statistic vector. For each (language, source) group the
-estimate starts at the medians and MADs of the vector's entries and takes concentration steps: rank all rows of
-the group by Mahalanobis distance, keep the nearest share, estimate mean and covariance from those, repeat.
-Each step is one aggregate by group and distance bin with map-side sums, so a group of any size never meets in a
-task, and the kept share is the fewest bins that reach it. A last step reweights by the chi-square 0.975 bound.
-A document is an outlier if its squared distance exceeds `CUTOFF`.
+Each text gives counts; the counts give a transformed statistic vector. A (language, source) group's rows are summed up
+in cells of a fixed grid over the vector's range (at most CELLS of them, whatever the group's size), with the exact
+sums and products of their rows, so a group is a bounded table and its estimate takes one task. Concentration steps
+run on it: rank the cells by Mahalanobis distance, keep the nearest share, estimate mean and covariance from the sums
+of what is kept, and repeat until the determinant stops falling. They start at the medians and MADs of the entries and
+at STARTS seeded subsets; all take FIRST steps, the BEST of them go on to the end, and the least determinant stands.
+Reweighting by the chi-square 0.975 bound gives the estimate. A document is an outlier if its squared distance exceeds
+CUTOFF, a chi-square quantile.
+
+Statistics that are zero in most documents have no variance in the kept share, and then any other value would be
+infinitely far. Only against that FLOOR is added to the covariance; floor_share() tells how much of an estimate it is.
 
 Groups with fewer than MIN_ROWS usable rows are judged by their language's estimate, then by the whole corpus's;
-with fewer rows than that in all, no document is an outlier. Covariances get a floor (FLOOR), else statistics
-that are zero in most documents would make every other value an outlier.
+with fewer rows than that in all, no document is an outlier.
 
 Defined results: a null text counts as having no word, and fails the base rule; null languages and sources are
 groups of their own; repeated rows count as often as they occur.
@@ -26,11 +30,17 @@ from joinery.llm.rows import added, map_texts, unpacked
 from joinery.runtime import materialise
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: Entries of the vector, and their least standard deviation.
-FLOOR = (0.12, 0.35, 0.75, 0.75)
+#: Entries of the vector, and the standard deviation that stands in where one has none: word length varies in any group of
+#: texts, the others are zero throughout in most.
+FLOOR = (0.005, 0.2, 0.75, 0.75)
 DIM = len(FLOOR)
-#: Share of a group's rows that a concentration step keeps, and the number of steps.
-KEEP, STEPS = 0.75, 4
+#: Cells of the grid: per unit and dimension, and the last cell's number in it; each one's rows keep their exact sums.
+GRID, LAST = (64, 4, 4, 4), (255, 18, 18, 18)
+CELLS = int(np.prod([x + 1 for x in LAST]))
+#: Share of a group's rows that a concentration step keeps, and the most steps of a start.
+KEEP, STEPS = 0.75, 30
+#: Seeded starts beside the medians and MADs, steps that each of them takes, and how many go on.
+STARTS, FIRST, BEST, SEED = 24, 2, 4, 20240611
 MIN_ROWS = 50
 #: Chi-square quantiles for DIM = 4 degrees of freedom: 0.75, 0.975 and 0.99999.
 CHI_KEEP, CHI_REWEIGHT, CUTOFF = 5.385, 11.143, 28.473
@@ -119,40 +129,91 @@ def _name(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
-def _fit_start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Median and MAD of each entry from counts by value."""
-    centre, spread = np.zeros(DIM), np.array(FLOOR)
-    for i in range(DIM):
-        mine = rows[rows["dim"] == i].sort_values("cell")
-        value, weight = mine["cell"].to_numpy() / 32, mine["n"].to_numpy()
-        centre[i] = value[np.searchsorted(np.cumsum(weight), weight.sum() / 2)]
-        order = np.argsort(np.abs(value - centre[i]), kind="stable")
-        spread[i] = max(FLOOR[i], 1.4826 * np.abs(value - centre[i])[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
-    return _estimate(key, centre, np.diag(spread**2))
-
-
-def _estimate(key, centre, scatter) -> pd.DataFrame:
-    inverse = np.linalg.inv(scatter)
-    return pd.DataFrame({"g": [key[0]], "mu": [centre.tolist()], "inv": [inverse.ravel().tolist()]})
-
-
-def _fit_step(share: float, scale: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bin")
-        total = rows["n"].to_numpy()
-        if share < 1:
-            rows = rows[: 1 + np.searchsorted(np.cumsum(total), share * total.sum())]
-        n = rows["n"].sum()
-        centre = np.array([rows[f"s{i}"].sum() / n for i in range(DIM)])
+class Cells:
+    """A group's cells: number of rows n, their sums and the sums of their entries' products."""
+
+    def __init__(self, n: np.ndarray, sums: np.ndarray, products: np.ndarray):
+        self.n, self.sums, self.products = n.astype(float), sums, products
+        self.mean = sums / self.n[:, None]
+        self.total = self.n.sum()
+
+    def moments(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[kept].sum()
+        centre = self.sums[kept].sum(axis=0) / n
+        upper = self.products[kept].sum(axis=0) / n
         scatter = np.zeros((DIM, DIM))
+        scatter[np.triu_indices(DIM)] = upper
+        scatter = scatter + np.triu(scatter, 1).T - np.outer(centre, centre)
+        return centre, scatter
+
+    def distances(self, centre: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+        off = self.mean - centre
+        return np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off)
+
+    def nearest(self, distance: np.ndarray) -> np.ndarray:
+        """The fewest cells in order of distance that hold the share KEEP of the rows."""
+        order = np.argsort(distance, kind="stable")
+        return order[: 1 + np.searchsorted(np.cumsum(self.n[order]), KEEP * self.total)]
+
+    def middle(self) -> tuple[np.ndarray, np.ndarray]:
+        """Median and MAD of each entry, by the cells' means."""
+        centre, spread = np.zeros(DIM), np.array(FLOOR)
         for i in range(DIM):
-            for j in range(i, DIM):
-                scatter[i, j] = scatter[j, i] = rows[f"p{i}{j}"].sum() / n - centre[i] * centre[j]
-        return _estimate(key, centre, scatter * scale + np.diag(np.square(FLOOR)))
+            centre[i] = self._median(self.mean[:, i])
+            spread[i] = max(FLOOR[i], 1.4826 * self._median(np.abs(self.mean[:, i] - centre[i])))
+        return centre, np.diag(spread**2)
+
+    def _median(self, values: np.ndarray) -> float:
+        order = np.argsort(values, kind="stable")
+        return values[order][np.searchsorted(np.cumsum(self.n[order]), self.total / 2)]
+
+
+def _floored(scatter: np.ndarray, scale: float) -> np.ndarray:
+    return scatter * scale + np.diag(np.square(FLOOR))
+
+
+def concentrate(cells: Cells, centre: np.ndarray, scatter: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Determinant, mean and covariance after up to `steps` concentration steps; they end when the determinant stops falling."""
+    least = np.inf
+    for _ in range(steps):
+        mean, found = cells.moments(cells.nearest(cells.distances(centre, scatter)))
+        found = _floored(found, SCALE_KEEP)
+        size = np.linalg.det(found)
+        if not size < least * (1 - 1e-12):
+            break
+        least, centre, scatter = size, mean, found
+    return least, centre, scatter
+
+
+def minimum_determinant(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the share KEEP of least determinant over all starts, reweighted."""
+    random = np.random.default_rng(SEED)
+    starts = [cells.middle()]
+    for _ in range(STARTS):
+        some = random.choice(len(cells.n), size=DIM + 1, p=cells.n / cells.total)
+        starts.append((cells.mean[some].mean(axis=0), _floored(np.cov(cells.mean[some].T, bias=True), 1.0)))
+    tried = sorted((concentrate(cells, *start, FIRST) for start in starts), key=lambda x: x[0])
+    _, centre, scatter = min((concentrate(cells, c, s, STEPS) for _, c, s in tried[:BEST]), key=lambda x: x[0])
+    near = np.flatnonzero(cells.distances(centre, scatter) <= CHI_REWEIGHT)
+    if len(near):
+        centre, scatter = cells.moments(near)
+        scatter = _floored(scatter, SCALE_REWEIGHT)
+    return centre, scatter
+
+
+def floor_share(scatter: np.ndarray) -> np.ndarray:
+    """The share of each variance of an estimate that the floor makes up."""
+    return np.square(FLOOR) / np.diag(scatter)
+
 
-    return run
+def _fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(_CELL, kind="stable")
+    centre, scatter = minimum_determinant(Cells(rows["n"].to_numpy(), rows[_SUMS].to_numpy(), rows[_PRODUCTS].to_numpy()))
+    return pd.DataFrame({"g": [key[0]], "mu": [centre.tolist()], "inv": [np.linalg.inv(scatter).ravel().tolist()]})
 
 
+_CELL, _SUMS = [f"c{i}" for i in range(DIM)], [f"s{i}" for i in range(DIM)]
+_PRODUCTS = [f"p{i}{j}" for i in range(DIM) for j in range(i, DIM)]
 _ESTIMATE = "g string, mu array<double>, inv array<double>"
 
 
@@ -175,31 +236,25 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
 
     stats: rows with _lang, _source (see _name), x and _base_failed.
     """
-    usable = stats.where(~F.col("_base_failed"))
-    sizes = materialise(stats.groupBy("_lang", "_source").agg(F.count_if(~F.col("_base_failed")).alias("n")), "sizes")
-    groups = sizes.count()
+    cell = [F.greatest(F.lit(0), F.least(F.lit(LAST[i]), F.floor(F.col("x")[i] * GRID[i]).cast("int"))).alias(_CELL[i]) for i in range(DIM)]
+    usable = (~F.col("_base_failed")).cast("int")
+    sums = [F.sum(F.col("x")[i] * usable).alias(_SUMS[i]) for i in range(DIM)]
+    sums += [F.sum(F.col("x")[i] * F.col("x")[j] * usable).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)]
+    cells = materialise(stats.groupBy("_lang", "_source", *cell).agg(F.sum(usable).alias("n"), *sums), "cells")
+    sizes = cells.groupBy("_lang", "_source").agg(F.sum("n").alias("n"))
     by_lang = sizes.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
     level = F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\x00", "_lang", "_source")).when(F.col("n_lang") >= MIN_ROWS, F.col("_lang")).otherwise("*")
     named = materialise(sizes.join(by_lang, "_lang").select("_lang", "_source", level.alias("g")), "named")
-    own = F.concat_ws("\x00", "_lang", "_source")
-    pooled = named.where(~F.col("g").contains("\x00")).select("g").distinct()
-    rows = usable.select("x", own.alias("g"))
-    if not pooled.isEmpty():  # then each row also counts for its language and the corpus
-        wider = usable.select("x", F.explode(F.array("_lang", F.lit("*"))).alias("g"))
-        rows = rows.unionByName(wider.join(F.broadcast(pooled) if groups <= BROADCAST_GROUPS else pooled, "g", "left_semi"))
-    cells = rows.select("g", F.posexplode("x").alias("dim", "value")).groupBy("g", "dim", F.round(F.col("value") * 32).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    estimate = materialise(cells.groupBy("g").applyInPandas(_fit_start, _ESTIMATE), "estimate")
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIM)]
-    sums += [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)]
-    for step in range(STEPS + 1):
-        last = step == STEPS
-        measured = _joined(rows, estimate, "g", groups).withColumn("d", distance())
-        if last:
-            measured = measured.where(F.col("d") <= CHI_REWEIGHT)
-        bins = measured.groupBy("g", F.floor(16 * F.log1p("d")).cast("int").alias("bin")).agg(F.count("*").alias("n"), *sums)
-        how = _fit_step(1.0, SCALE_REWEIGHT) if last else _fit_step(KEEP, SCALE_KEEP)
-        estimate = materialise(bins.groupBy("g").applyInPandas(how, _ESTIMATE), "estimate")
-    return materialise(named.join(estimate, "g", "left").select("_lang", "_source", "mu", "inv"), "estimates"), groups
+    groups = named.count()
+    # a cell also counts for its language and the corpus, if those judge some group
+    levels = cells.where("n > 0").withColumn("g", F.explode(F.array(F.concat_ws("\x00", "_lang", "_source"), F.col("_lang"), F.lit("*"))))
+    judging = named.select("g").distinct()
+    asked = levels.join(F.broadcast(judging) if groups <= BROADCAST_GROUPS else judging, "g", "left_semi")
+    summed = asked.groupBy("g", *_CELL).agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS, *_PRODUCTS)])
+    enough = summed.groupBy("g").applyInPandas(_fit, _ESTIMATE)
+    few = sizes.agg(F.sum("n")).first()[0] or 0
+    estimate = enough if few >= MIN_ROWS else enough.where(F.lit(False))
+    return materialise(named.join(F.broadcast(estimate) if groups <= BROADCAST_GROUPS else estimate, "g", "left").select("_lang", "_source", "mu", "inv"), "estimates"), groups
 
 
 def statistics(docs: DataFrame, keep: list[str], texts: bool = False) -> DataFrame:
