@@ -1,9 +1,10 @@
 """SimHash near-duplicate groups by a Gray-order hierarchical index.
 
 Each text gets a 64-bit SimHash. Equal fingerprints are merged first, so a group of copies of any size is
-one row. Fingerprints within the radius of each other agree on at least (blocks - radius) of `blocks` bit
-blocks; each is sent once to every such combination of blocks, so both ends of every link meet in a bucket.
-Inside a bucket the fingerprints are sorted by Gray rank and put under a tree whose nodes hold the bits that
+one row. Fingerprints within the radius of each other agree on at least one of radius + 1 bit blocks; the
+first bits of each block, as many as give buckets of about BUCKET_ROWS, name a bucket, so both ends of every
+link meet in one. Buckets of more than PIECE_ROWS are cut into pieces by hash, and each two pieces meet once.
+In each meeting the fingerprints are sorted by Gray rank and put under a tree whose nodes hold the bits that
 all members share and that no ancestor holds; a search adds up the differing bits on the way down and drops
 a whole group once the sum passes the radius. A group whose members cannot differ from the query by more
 than the radius is linked by one member, so dense groups do not yield all their pairs. Components come from
@@ -27,11 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinery.llm.rows import packed, unpacked
 from joinery.runtime import materialise, ship, spread
 
 SEED = 42
 FANOUT = 8
-#: Runs up to this many fingerprints are compared position by position; the tree would not save anything.
+#: Fingerprints of a bucket on average, up to twice as many, and the most in a piece of one.
+BUCKET_ROWS, PIECE_ROWS = 4096, 16_384
+#: Wide runs up to this many rows are compared position by position.
 SHORT_RUN = 16
 #: Queries that descend the tree together.
 QUERY_BLOCK = 512
@@ -40,6 +44,12 @@ _STEP = 255 * 256
 WIDE_BITS, SIMILARITY, RECALL = 512, 0.8, 0.95
 #: Bits of a table's key while there are up to 2 ** KEY_ROWS fingerprints; one more for each doubling.
 KEY_BITS, KEY_ROWS = 14, 22
+#: Keys of a text: BANDS of them, each over the least values of BAND_ROWS permutations of its shingles.
+BANDS, BAND_ROWS = 24, 3
+#: Rows of a piece of a bucket of texts with equal keys; each two pieces of a larger bucket meet once.
+MEETING_ROWS = 4096
+#: Dropped rows that are broadcast to filter the texts; more are joined by key.
+BROADCAST_DROPPED = 1 << 19
 #: Runs of equal keys up to this length are compared pair by pair, longer ones by groups around leaders; the links join the same rows.
 EXACT_RUN = 2048
 #: Wide fingerprints that differ in up to the mean and this many standard deviations are candidates, decided by the shingles.
@@ -123,6 +133,8 @@ class GrayIndex:
             self.levels.append((own, pattern & own, 64 - np.bitwise_count(mask).astype(np.int64)))
             above = mask
         self.leaf_mask = ~np.repeat(above, fanout)[: len(self.values)]
+        #: Fingerprints that searches compared one by one; all others were dropped or linked as parts of a group.
+        self.compared = 0
 
     def _children(self, query, node, spent, size):
         child = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
@@ -152,6 +164,7 @@ class GrayIndex:
                 found_v.append(node[whole] * span)
                 query, node, spent = query[~whole], node[~whole], spent[~whole]
         query, leaf, spent = self._children(query, node, spent, len(self.values))
+        self.compared += len(leaf)
         spent = spent + np.bitwise_count((queries[query] ^ self.values[leaf]) & self.leaf_mask[leaf])
         keep = spent <= radius
         if before is not None:
@@ -196,30 +209,6 @@ def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def bucket_links(key: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints with equal keys that join everything within the radius."""
-    order = np.lexsort((gray_rank(value), key))
-    key, value = key[order], value[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(key)])
-    run = np.repeat(np.arange(len(starts)), sizes)
-    short = sizes[run] <= SHORT_RUN if len(run) else np.zeros(0, bool)
-    left, right = [], []
-    for lag in range(1, min(SHORT_RUN, len(key))):
-        near = (run[lag:] == run[:-lag]) & short[lag:]
-        near &= np.bitwise_count(value[lag:] ^ value[:-lag]) <= radius
-        at = np.flatnonzero(near)
-        left.append(value[at + lag])
-        right.append(value[at])
-    for start, size in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-        mine = value[start : start + size]
-        a, b = GrayIndex(mine).links(radius)
-        left.append(mine[a[a != b]])
-        right.append(mine[b[a != b]])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
 def _fingerprints(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,17 +219,11 @@ def _fingerprints(width: int):
 
 
 def _linked(radius: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = [(b.column("combo").to_numpy(), b.column("part").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not mine:
-            return
-        combo, part, value = map(np.concatenate, zip(*mine, strict=True))
-        left, right = [], []
-        for c in np.unique(combo):
-            a, b = bucket_links(part[combo == c].view(np.uint64), value[combo == c].view(np.uint64), radius)
-            left.append(a.view(np.int64))
-            right.append(b.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["u", "v"])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows["fp"].to_numpy().view(np.uint64)
+        a, b = GrayIndex(values).links(radius)
+        values = rows["fp"].to_numpy()
+        return pd.DataFrame({"u": values[a[a != b]], "v": values[b[a != b]]})
 
     return run
 
@@ -252,19 +235,23 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return spread(docs.select("doc_id", F.col("text").cast("string").alias("_text"))).mapInArrow(_fingerprints(width), f"doc_id {kind}, fp long")
 
 
-def masks(radius: int) -> list[int]:
-    """Bit masks such that two words within the radius agree on at least one of them: radius + 2 blocks, two kept."""
-    blocks = radius + 2
+def masks(radius: int, bits: int = 64) -> list[int]:
+    """Bit masks such that two words within the radius agree on at least one of them: up to `bits` bits of each of radius + 1 blocks."""
+    blocks = radius + 1
     cut = [64 * i // blocks for i in range(blocks + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in zip(cut, cut[1:], strict=False)]
-    return [sum(block[i] for i in kept) for kept in combinations(range(blocks), 2)]
+    return list(dict.fromkeys(((1 << min(bits, b - a)) - 1) << a for a, b in zip(cut, cut[1:], strict=False)))
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Links (u, v) between distinct fingerprints `fp` that connect everything within the radius."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("combo", "part"))
-    return keyed.repartition("combo", "part").mapInArrow(_linked(radius), "u long, v long")
+    bits = max(0, (distinct.count() // BUCKET_ROWS).bit_length() - 1)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, bits)]
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
+    large = materialise(keyed.groupBy("t", "key").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces")).where("pieces > 1"), "large")
+    pieces = keyed.join(large, ["t", "key"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+    met = pieces.withColumn("b", piece).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return met.groupBy("t", "key", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j")).applyInPandas(_linked(radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,7 +292,10 @@ def most_differing(similarity: float = SIMILARITY, deviations: float = 1.5) -> i
 
 
 def tables(count: int, similarity: float = SIMILARITY, recall: float = RECALL, deviations: float = 1.5) -> list[np.ndarray]:
-    """The bits of each table's key: as many tables as find a pair with most_differing() bits at this recall."""
+    """The bits of each table's key: as many tables as find a pair with most_differing() bits at this recall.
+
+    For callers that hold wide fingerprints without their shingles; similar_groups has the shingles and takes band_keys().
+    """
     bits = KEY_BITS + max(0, math.ceil(math.log2(max(1, count))) - KEY_ROWS)
     same = (1 - most_differing(similarity, deviations) / WIDE_BITS) ** bits
     n = math.ceil(math.log(1 - recall) / math.log(1 - same))
@@ -390,28 +380,47 @@ def near_runs(key: np.ndarray, wide: np.ndarray, node: np.ndarray, most: int) ->
     return node[linked], node[label[linked]]
 
 
-def _keyed(cut: list[np.ndarray]):
+def _near(most: int, candidates: int):
+    """Streams rows sorted by run; a task holds the rows of one batch and of one run."""
+
+    def links(key, wide, node) -> Iterator[pa.RecordBatch]:
+        for limit in (most, candidates):
+            u, v = near_runs(key, wide, node, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), limit == most))], ["u", "v", "near"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(len(cut[0]), dtype=np.int64)
+        held = [np.zeros(0, np.int64), np.zeros((0, WIDE_BITS // 64), np.uint64), np.zeros(0, np.int64)]
         for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8)).reshape(-1, WIDE_BITS)
-            keys = np.stack([bits[:, c] @ weights for c in cut], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(cut)), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("wide"), lists], ["node", "wide", "keys"])
+            new = [batch.column("run").to_numpy(), np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64), batch.column("node").to_numpy()]
+            held = [np.concatenate(pair) for pair in zip(held, new, strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if done:
+                yield from links(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+        if len(held[0]):
+            yield from links(*held)
 
     return run
 
 
-def _near(most: int, candidates: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = [(b.column("key").to_numpy(), b"".join(b.column("wide").to_pylist()), b.column("node").to_numpy()) for b in batches]
-        if mine:
-            key, wide, node = np.concatenate([m[0] for m in mine]), np.frombuffer(b"".join(m[1] for m in mine), np.uint64).reshape(-1, WIDE_BITS // 64), np.concatenate([m[2] for m in mine])
-            for limit in (most, candidates):
-                u, v = near_runs(key, wide, node, limit)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), limit == most))], ["u", "v", "near"])
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes: equal for both of two sets in each band with their similarity to the power BAND_ROWS.
 
-    return run
+    All of 24 keys of 3 permutations differ for a share of 1e-7 of pairs at 0.8, and of 0.3 % at 0.6, whatever the corpus.
+    """
+    rng = np.random.default_rng(SEED)
+    flip, odd = rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 8192):
+        part = shingles[at : at + 8192]
+        for i in range(len(least)):
+            mixed = (part ^ flip[i]) * (odd[i] | np.uint64(1))
+            least[i] = min(least[i], (mixed ^ (mixed >> np.uint64(31))).min())
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -466,17 +475,19 @@ def _both(width: int, wide: int):
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             prints = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
-            wides, names, sizes = [], [], []
+            wides, names, sizes, keys = [], [], [], []
             for text in texts:
                 words = words_of(text)
                 digests = [blake2b(x, digest_size=WIDE_BITS // 8).digest() for x in _shingles(words, wide)] if words else []
                 wides.append(_majority(digests, WIDE_BITS) if words else bytes(WIDE_BITS // 8))
-                distinct = sorted({d[:8] for d in digests})
-                names.append(xxhash.xxh64_intdigest(b"".join(distinct), SEED))
-                sizes.append(len(distinct))
+                distinct = b"".join(sorted({d[:8] for d in digests}))
+                names.append(xxhash.xxh64_intdigest(distinct, SEED))
+                sizes.append(len(distinct) // 8)
+                keys.append(band_keys(np.frombuffer(distinct, np.uint64)) if words else np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("hash"), pa.array(prints.view(np.int64)), pa.array(wides, pa.binary()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())],
-                ["doc_id", "hash", "fp", "wide", "set", "size"],
+                [batch.column("doc_id"), batch.column("hash"), pa.array(prints.view(np.int64)), pa.array(wides, pa.binary()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
+                ["doc_id", "hash", "fp", "wide", "set", "size", "keys"],
             )
 
     return run
@@ -512,20 +523,25 @@ def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int =
     """doc_id (long), hash (of the text) and group (a number) of each row: the links of near_duplicates, and links between texts whose
     sets of shingles of `wide` words are similar.
 
-    The latter are decided by the sets. Candidates are wide fingerprints of up to CANDIDATE_SD differing bits, found at the
-    RECALL of tables() or better. estimate: fingerprints of up to most_differing() bits are linked without a look at the sets.
+    The latter are decided by the sets. Candidates share one of BANDS keys and have wide fingerprints of up to CANDIDATE_SD
+    differing bits. First only keys travel; wide fingerprints follow for those keys that two texts share. estimate:
+    fingerprints of up to most_differing() bits are linked without a look at the sets.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text")).withColumn("hash", F.xxhash64("_text"))
-    prints = materialise(spread(texts).mapInArrow(_both(width, wide), "doc_id long, hash long, fp long, wide binary, set long, size long"), "fingerprints")
+    prints = materialise(spread(texts).mapInArrow(_both(width, wide), "doc_id long, hash long, fp long, wide binary, set long, size long, keys array<long>"), "fingerprints")
     distinct = materialise(prints.select("fp").distinct(), "distinct")
     of = distinct.join(components(links(distinct, radius)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("of"))
-    placed = materialise(prints.groupBy("fp", "wide", "set", "size").agg(F.min(F.struct("doc_id", "hash")).alias("row")).join(of, "fp"), "placed")
-    nodes = materialise(placed.groupBy("wide").agg(F.min("of").alias("node")), "nodes")
-    cut = tables(nodes.count(), similarity, deviations=CANDIDATE_SD)
-    keyed = nodes.mapInArrow(_keyed(cut), "node long, wide binary, keys array<long>")
-    rows = keyed.select("node", "wide", F.posexplode("keys").alias("t", "k")).select("node", "wide", (F.col("t").cast("long") * (1 << len(cut[0])) + F.col("k")).alias("key"))
-    pairs = rows.repartition("key").mapInArrow(_near(most_differing(similarity), most_differing(similarity, CANDIDATE_SD)), "u long, v long, near boolean")
+    different = prints.groupBy("fp", "wide", "set", "size").agg(F.min(F.struct("doc_id", "hash")).alias("row"), F.first("keys").alias("keys"))
+    placed = materialise(different.join(of, "fp").withColumn("id", F.monotonically_increasing_id()), "placed")
+    nodes = placed.groupBy("wide").agg(F.min("of").alias("node"))
+    keyed = materialise(placed.select("id", F.explode("keys").alias("key")), "keys")
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    cut = keyed.join(shared, "key").withColumn("pieces", F.ceil(F.col("n") / MEETING_ROWS).cast("int"))
+    met = cut.withColumn("b", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    meeting = met.select("id", F.when(F.col("pieces") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("b", "k"), F.greatest("b", "k"))).alias("run"))
+    rows = meeting.join(placed.select("id", "wide", F.col("of").alias("node")), "id").select("run", "wide", "node")
+    pairs = rows.repartition("run").sortWithinPartitions("run").mapInArrow(_near(most_differing(similarity), most_differing(similarity, CANDIDATE_SD)), "u long, v long, near boolean")
     same = placed.join(nodes, "wide").where("of <> node").select(F.col("of").alias("u"), F.col("node").alias("v"), F.lit(True).alias("near"))
     found = materialise(pairs.unionByName(same).where("u <> v").distinct(), "found")
     roots = materialise(components(found.where(F.col("near") & F.lit(estimate)).select("u", "v")), "roots")
@@ -541,13 +557,24 @@ def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int =
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs that stay: for each group of similar_groups the row with the smallest doc_id, once if it is repeated.
 
+    The decisions are narrow tables; texts are filtered by the ids of the rows that go.
+
     Rows of one doc_id and different texts are different rows. Rows without a doc_id cannot be named and stay.
     """
-    groups = similar_groups(docs.where("doc_id is not null"), width, radius)
-    keep = groups.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("row")).select(F.col("row.doc_id").alias("_doc"), F.col("row.hash").alias("_hash"))
-    mine = docs.where("doc_id is not null").withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = mine.join(keep, ["_doc", "_hash"], "left_semi").dropDuplicates(["_doc", "_hash"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    mine = packed(docs.where("doc_id is not null")).withColumns({"_doc": F.col("_row.doc_id").cast("long"), "_hash": F.xxhash64(F.col("_row.text").cast("string"))})
+    groups = similar_groups(docs.where("doc_id is not null"), width, radius).withColumnsRenamed({"doc_id": "_doc", "hash": "_hash"})
+    ids = materialise(groups.groupBy("group", "_doc", "_hash").agg(F.count("*").alias("n")), "ids")
+    stays = ids.groupBy("group").agg(F.min(F.struct("_doc", "_hash")).alias("row"))
+    first = (F.col("row._doc") == F.col("_doc")) & (F.col("row._hash") == F.col("_hash"))
+    dealt = ids.join(stays, "group").select("_doc", "_hash", "n", first.alias("first"))
+    dropped = materialise(dealt.where("not first").select("_doc", "_hash"), "dropped")
+    repeated = materialise(dealt.where("first and n > 1").select("_doc", "_hash"), "repeated")
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_DROPPED else t
+    kept = mine.join(small(dropped), ["_doc", "_hash"], "left_anti")
+    if not repeated.isEmpty():  # only rows that are repeated are compared with each other
+        twice = small(repeated)
+        kept = kept.join(twice, ["_doc", "_hash"], "left_anti").unionByName(kept.join(twice, ["_doc", "_hash"], "left_semi").dropDuplicates(["_doc", "_hash"]))
+    return kept.select(*unpacked(kept)).unionByName(docs.where("doc_id is null"))
 
 
 def hex16(value: Column) -> Column:
