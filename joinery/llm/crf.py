@@ -41,13 +41,16 @@ SEED = 20240229
 REMEMBERED = 400_000
 #: Words times languages that go through forward-backward together, about; longer texts go by themselves, in blocks of so many.
 TOGETHER = 1 << 22
-#: What counts as a word character elsewhere, but is a numeral and no letter: one half, Roman eight.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
+_WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS((text or "").lower())
+    """The runs of letters of a text, in lower case."""
+    words = _WORDS((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # numerals that are no digits, as one half or Roman eight, count as word characters, but not as letters
+    return [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
@@ -238,10 +241,12 @@ class Labeller:
         ids = self._ids(texts)
         block = max(1, TOGETHER // len(self.start))
         part: list[int] = []
+        held = 0
         for i in sorted((i for i, x in enumerate(ids) if len(x)), key=lambda i: len(ids[i])):
-            if part and sum(len(ids[j]) for j in part) + len(ids[i]) > block:
+            held += len(ids[i])
+            if part and held > block:
                 self._judge(part, self._shares([ids[j] for j in part]), langs, scores)
-                part = []
+                part, held = [], len(ids[i])
             if len(ids[i]) > block:
                 share = long_shares(lambda s, mine=ids[i]: self.emit[mine[s]], len(ids[i]), self.move, self.start, block) / len(ids[i])
                 self._judge([i], share[None], langs, scores)
