@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,8 @@ RESULT = T.StructType(
         T.StructField("history", T.ArrayType(T.StructType([T.StructField("cpu_ns", _LONG), T.StructField("index", _INT)]))),
     ]
 )
+#: Column with the digest of an object.
+_KEY = "__object"
 #: Rows whose estimated cost is alike share a task; there are so many tasks per shuffle partition.
 TASKS_PER_PARTITION = 4
 
@@ -125,19 +127,27 @@ def _mapped(solve: Callable[[pd.Series], dict], keep: list[str]):
     return run
 
 
-def _dealt(distinct: DataFrame, cost) -> DataFrame:
-    """Objects in many tasks, so that one hard object holds up few others."""
-    spark: SparkSession = distinct.sparkSession
+def _once(df: DataFrame, key: Column, columns: list[Column], cost: Column, solve: Callable[[dict], dict]) -> DataFrame:
+    """df with the columns of RESULT: each object solved once, wherever it occurs.
+
+    Objects are known by a digest; neither the solved rows nor the join carry the objects themselves. They are dealt
+    over many tasks, so that one hard object holds up few others.
+    """
+    spark: SparkSession = df.sparkSession
+    ship(spark)
     tasks = TASKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.repartition(tasks, F.xxhash64(*distinct.columns)).sortWithinPartitions(cost.desc())
+    keyed = df.withColumn(_KEY, key)
+    each = keyed.where(F.col(_KEY).isNotNull()).select(_KEY, *columns).dropDuplicates([_KEY])
+    dealt = each.repartition(tasks, _KEY).sortWithinPartitions(cost.desc())
+    solved = dealt.mapInPandas(_mapped(solve, [_KEY]), T.StructType([T.StructField(_KEY, T.StringType()), *RESULT.fields]))
+    return keyed.join(solved, _KEY, "left").select(*[keyed[c] for c in df.columns], *[solved[f.name] for f in RESULT.fields])
 
 
 def assembly_of_strings(df: DataFrame, column: str, options: StringOptions = StringOptions()) -> DataFrame:
     """df with the columns of RESULT for its string column."""
-    ship(df.sparkSession)
-    distinct = df.select(F.col(column).alias("_text")).distinct()
-    solved = _dealt(distinct, F.length("_text")).mapInPandas(_mapped(lambda r: solve_string(r["_text"], options), ["_text"]), T.StructType([T.StructField("_text", T.StringType()), *RESULT.fields]))
-    return df.join(solved, df[column].eqNullSafe(F.col("_text")), "left").drop("_text")
+    text = F.col(column)
+    key = F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null"))
+    return _once(df, key, [text.alias("_text")], F.length("_text"), lambda r: solve_string(r["_text"], options))
 
 
 def _solve_row(row: dict, options: GraphOptions) -> dict:
@@ -150,12 +160,9 @@ def _solve_row(row: dict, options: GraphOptions) -> dict:
 
 def assembly_of_graphs(df: DataFrame, options: GraphOptions = GraphOptions(), labels: str = "labels", edges: str = "edges") -> DataFrame:
     """df with the columns of RESULT for its graphs (labels array<string>, edges array<struct<src,dst,label>>)."""
-    ship(df.sparkSession)
-    distinct = df.select(F.col(labels).alias("_labels"), F.col(edges).alias("_edges")).where("_labels is not null and _edges is not null").distinct()
-    schema = T.StructType([*distinct.schema.fields, *RESULT.fields])
-    solved = _dealt(distinct, F.size("_edges")).mapInPandas(_mapped(lambda r: _solve_row(r, options), ["_labels", "_edges"]), schema)
-    both = df[labels].eqNullSafe(F.col("_labels")) & df[edges].eqNullSafe(F.col("_edges"))
-    return df.join(solved, both, "left").drop("_labels", "_edges")
+    both = F.col(labels).isNotNull() & F.col(edges).isNotNull()
+    key = F.when(both, F.sha2(F.to_json(F.struct(F.col(labels).alias("a"), F.col(edges).alias("b"))).cast("binary"), 256))
+    return _once(df, key, [F.col(labels).alias("_labels"), F.col(edges).alias("_edges")], F.size("_edges"), lambda r: _solve_row(r, options))
 
 
 def register(spark: SparkSession) -> None:

@@ -38,8 +38,8 @@ def read_strings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_graph_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, content of graph files."""
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
+    """path, content of graph files; a path without a known suffix also stands for the same with .mol."""
+    return spark.read.format("binaryFile").load(resolved(spark, [paths] if isinstance(paths, str) else list(paths))).select("path", "content")
 
 
 def resolve(path: str, exists) -> str:
@@ -47,6 +47,16 @@ def resolve(path: str, exists) -> str:
     return path if exists(path) or kernel.is_molfile(path) or not exists(f"{path}.mol") else f"{path}.mol"
 
 
+def resolved(spark: SparkSession, paths: list[str]) -> list[str]:
+    """resolve() of each path by what its file system holds; patterns stay as they are."""
+
+    def exists(path: str) -> bool:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+    return [p if set(p) & set("*?[]{}") else resolve(p, exists) for p in paths]
+
+
 def _parsed(remove_hydrogens: bool, path: str | None):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

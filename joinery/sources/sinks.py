@@ -23,14 +23,36 @@ def check_outputs(inputs: list[str], outputs: list[str]) -> None:
                 raise OutputError(f"output {out} would touch input {given}")
 
 
-def result_line(name: Column, kind: str = "graph") -> Column:
-    """The text line of a result row."""
+def _head(name: Column) -> Column:
     bound = F.when(F.col("upper_bound_only"), F.lit(" has assembly upper bound: ")).otherwise(F.lit(" has assembly index: "))
-    status = F.when(F.col("error").isNotNull(), F.concat(F.lit(" (error: "), "error", F.lit(")")))
-    status = status.when(F.col("upper_bound_only"), " (heuristic upper bound, minimum not proven)")
+    return F.concat(name, bound, F.col("assembly_index").cast("string"))
+
+
+def result_line(name: Column) -> Column:
+    """The text line of a result row; a failed row's line has its error."""
+    status = F.when(F.col("upper_bound_only"), " (heuristic upper bound, minimum not proven)")
     status = status.when(F.col("runtime_limit_reached"), " (runtime limit reached, best found)")
     status = status.when(F.col("enumeration_limit_reached"), " (enumeration limit reached, best found)").otherwise("")
-    return F.concat(name, bound, F.col("assembly_index").cast("string"), status)
+    failed = F.concat(name, F.lit(" failed: "), F.coalesce("error", F.lit("no index")))
+    return F.when(F.col("error").isNotNull() | F.col("assembly_index").isNull(), failed).otherwise(F.concat(_head(name), status))
+
+
+def result_block(name: Column, kind: str = "graph") -> Column:
+    """The lines of a result row as in an Out file: index or bound, status lines, counts of a bound, CPU time; kind: graph or string."""
+    said = lambda label, column: F.concat(F.lit(f"{label}: "), F.col(column).cast("string"))
+    bound = F.col("upper_bound_only")
+    lines = F.concat_ws(
+        "\n",
+        _head(name),
+        F.when(bound, "status: heuristic upper bound (minimum not proven)"),
+        F.when(bound, said("trivial upper bound", "trivial_bound")),
+        F.when(bound, said(f"{kind}-repair rules", "rule_count")),
+        F.when(bound, said("remaining fragments", "remaining_fragments")),
+        F.when(F.col("runtime_limit_reached"), "status: runtime limit reached"),
+        F.when(F.col("enumeration_limit_reached"), "status: enumeration limit reached"),
+        said("time elapsed", "cpu_ns"),
+    )
+    return F.when(F.col("error").isNotNull() | F.col("assembly_index").isNull(), result_line(name)).otherwise(lines)
 
 
 def write_lines(results: DataFrame, name: str, path: str) -> None:
