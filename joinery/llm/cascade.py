@@ -3,11 +3,12 @@
 The cascade holds a list of keys exactly, as far as the corpus's own keys (the universe) go. Level 1 encodes the
 listed keys; the unlisted keys that it wrongly accepts are encoded by level 2, the listed keys that this accepts by
 level 3, and so on until a level accepts none. A key's membership is the parity of the first level that rejects it.
-So rows need no join with the list, and for every key of the universe the answer is exact.
+The universe is an aggregate over the union of both sides' keys, so nothing is joined with the list, neither here nor
+when rows are tested, and for every key of the universe the answer is exact.
 
-Keys are spread over shards by hash, each with a cascade of its own, so that no filter grows with the corpus. While
-all cascades together stay under BROADCAST_BYTES they are broadcast; beyond, rows go to their shard's cascade by a
-cogrouped map, with hot keys counted once: the distinct keys travel, not the rows.
+Keys are spread over shards by hash, each with a cascade of its own, so that no filter grows with the corpus. Rows are
+tested in passes: each takes as many shards' cascades as stay under BROADCAST_BYTES to the rows of those shards, which
+are not shuffled. A pass is written before the next one's cascades reach the driver.
 
 Defined results: a null url, or one without "://", has an empty host and path; an empty host is a key like any
 other; repeated rows stay repeated.
@@ -16,7 +17,7 @@ other; repeated rows stay repeated.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -141,11 +142,11 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def cascades(keys: DataFrame, shards: int) -> DataFrame:
     """shard and its packed cascade. keys: distinct `key` and whether it is `listed`; this is the whole universe."""
     ship(keys.sparkSession)
-    return keys.select("key", "listed", shard_of(F.col("key"), shards)).groupBy("shard").applyInPandas(_build, "shard int, cascade binary")
+    return keys.select("key", "listed", shard_of(F.col("key"), shards).alias("shard")).groupBy("shard").applyInPandas(_build, "shard int, cascade binary")
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
 def _tested(packed: dict[int, bytes], names: list[str]):
@@ -165,30 +166,39 @@ def _tested(packed: dict[int, bytes], names: list[str]):
     return run
 
 
-def _tested_group(key: tuple, filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    known = Cascade.unpack(filters["cascade"].iloc[0]) if len(filters) else Cascade([])
-    return pd.DataFrame({"_key": rows["_key"], "listed": known.test(rows["_key"].tolist())})
+def passes(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Shards (given with their bytes) in runs of up to `most` bytes; a larger shard is a run of its own."""
+    runs: list[list[int]] = []
+    held = most + 1
+    for shard, size in sorted(sizes):
+        if held + size > most:
+            runs.append([])
+            held = 0
+        runs[-1].append(shard)
+        held += size
+    return runs
 
 
-def with_membership(rows: DataFrame, key: Column, listed: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    """rows with `listed`: whether their key is among `listed` (column key), by cascades over the keys of rows.
-
-    universe: distinct `key` of rows with `listed`, if known already.
-    """
+def with_membership(rows: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
+    """rows with `listed`: whether their key is among `listed` (column key), by cascades over the keys of rows."""
     ship(rows.sparkSession)
-    if universe is None:
-        mine = rows.select(key.alias("key")).distinct()
-        universe = mine.join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    mine = rows.select(key.alias("key"), F.lit(True).alias("mine"), F.lit(False).alias("listed"))
+    both = mine.unionByName(listed.select("key", F.lit(False).alias("mine"), F.lit(True).alias("listed")))
+    universe = both.groupBy("key").agg(F.max("mine").alias("mine"), F.max("listed").alias("listed")).where("mine").drop("mine")
     universe = materialise(universe, "universe")
     shards = max(1, -(-universe.count() // SHARD_KEYS))
     filters = materialise(cascades(universe, shards), "cascades")
-    size = filters.agg(F.sum(F.octet_length("cascade"))).first()[0] or 0
+    sizes = [(r["shard"], r["bytes"]) for r in filters.select("shard", F.octet_length("cascade").alias("bytes")).collect()]
     names = rows.columns
-    keyed = rows.withColumns({"_key": key, "_shard": shard_of(key, shards)})
-    if size <= BROADCAST_BYTES:
-        packed = {r["shard"]: bytes(r["cascade"]) for r in filters.collect()}
-        schema = type(rows.schema)([*rows.schema.fields]).add("listed", "boolean")
-        return keyed.mapInArrow(_tested(packed, names), schema)
-    asked = keyed.select("_key", "_shard").distinct()
-    told = filters.groupBy("shard").cogroup(asked.groupBy("_shard")).applyInPandas(_tested_group, "_key string, listed boolean")
-    return keyed.join(told, "_key", "left").select(*names, "listed")
+    keyed = rows.select(*names, key.alias("_key"), shard_of(key, shards).alias("_shard"))
+    schema = type(rows.schema)([*rows.schema.fields]).add("listed", "boolean")
+
+    def tested(run: list[int]) -> DataFrame:
+        packed = {r["shard"]: bytes(r["cascade"]) for r in filters.where(F.col("shard").isin(run)).collect()}
+        return keyed.where(F.col("_shard").isin(run)).mapInArrow(_tested(packed, names), schema)
+
+    runs = passes(sizes, BROADCAST_BYTES)
+    if len(runs) < 2:
+        return tested(runs[0]) if runs else rows.withColumn("listed", F.lit(False)).limit(0)
+    done = [materialise(tested(run), "tested") for run in runs]
+    return reduce(DataFrame.unionByName, done)

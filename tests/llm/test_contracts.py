@@ -169,3 +169,23 @@ def test_word_length_is_judged_by_its_own_variance(spark):
 def test_few_rows_have_no_outliers(spark):
     docs = spark.createDataFrame([(i, "some words " * 2 + "of a short text that goes on " + "#" * (300 * (i == 3)), "en", "a") for i in range(20)], "doc_id long, text string, lang string, source string")
     assert all(r["_kept"] and r["_distance"] is None for r in quality.judged(docs, ["doc_id"]).collect())
+
+
+def test_passes_hold_all_shards():
+    from joinery.llm import cascade
+
+    for most in (0, 5, 12, 1000):
+        runs = cascade.passes([(i, 1 + i % 7) for i in range(50)], most)
+        assert sorted(s for r in runs for s in r) == list(range(50))
+        assert all(len(r) == 1 or sum(1 + s % 7 for s in r) <= most for r in runs)
+
+
+def test_membership_joins_nothing(spark, saved):
+    """Lists with keys that no row has, null-free plans without any join, at one pass and at many."""
+    from joinery.llm import cascade
+
+    rows = spark.createDataFrame([(i, f"h{i % 90}", "x") for i in range(900)], "page long, host string, listed_before string")
+    listed = spark.createDataFrame([(f"h{i}",) for i in range(0, 300, 7)] * 2, "key string")
+    made = cascade.with_membership(rows, F.col("host"), listed)
+    assert "Join" not in made._jdf.queryExecution().toString()
+    assert {r["page"]: r["listed"] for r in made.collect()} == {i: i % 90 % 7 == 0 for i in range(900)}
