@@ -4,8 +4,8 @@ Every vector gets one more entry that brings its length to the largest length M;
 inner product falls as the Euclidean distance grows: d^2 = |q|^2 + M^2 - 2 q.x, and distances obey the triangle
 inequality. The table holds each candidate's distances to PIVOTS pivots, worked out once; the largest of
 |d(q, p) - d(x, p)| over the pivots is a lower bound of the distance, so an upper bound of the score. In each block
-of candidates a query takes them in order of that bound and stops exactly when the next bound is below its k-th
-score. Blocks of candidates meet blocks of queries in tasks of bounded size; a query's best of all blocks are merged
+of candidates a query takes them in stages of falling bounds; after each stage all candidates with a bound below its
+k-th score are eliminated, and it stops exactly when none is left. Blocks of candidates meet blocks of queries in tasks of bounded size; a query's best of all blocks are merged
 with a partial top-k before the shuffle.
 
 Pivots are picked from a sample of SAMPLE rows, each farthest from those before; they decide the speed, not the result.
@@ -29,7 +29,9 @@ from pyspark.sql.window import Window
 from joinery.runtime import materialise, ship
 
 PIVOTS, SAMPLE = 32, 1024
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 32_768
+#: Candidates that a query takes at a time, of the largest bounds; then it takes all that are left.
+STAGES = (64, 1024)
 #: Queries whose bounds are held at a time.
 _TOGETHER = 128
 #: Below this, sums of products in doubles are exact.
@@ -70,23 +72,30 @@ def search(ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, query_ids: n
         bound = np.floor((square[:, None] + largest - bound**2) / 2 + slack)
         for i in range(len(bound)):
             q, mine = queries[at + i], bound[i]
-            order = np.argsort(-mine, kind="stable")
             best_id, best_score = np.zeros(0, np.int64), np.zeros(0)
-            done, step = 0, 64
-            while done < len(order):
-                if len(best_score) >= k and mine[order[done]] < best_score[k - 1]:
+            left = np.arange(len(mine))
+            for size in (*STAGES, len(mine)):
+                if len(best_score) >= k:  # exact: no bound below the k-th score so far can hold a better one
+                    left = left[mine[left] >= best_score[k - 1]]
+                if not len(left):
                     break
-                now = order[done : done + step]
-                if len(best_score) >= k:
-                    now = now[: np.searchsorted(-mine[now], -best_score[k - 1], "right")]
-                done += len(now)
+                if size < len(left):
+                    order = np.argpartition(-mine[left], size)
+                    now, left = left[order[:size]], left[order[size:]]
+                else:
+                    now, left = left, left[:0]
                 looked += len(now)
                 now = now[ids[now] != query_ids[at + i]]
-                score = vectors[now] @ q if exact else np.array([float(sum(int(a) * int(b) for a, b in zip(vectors[n], q, strict=True))) for n in now])
+                if not exact:
+                    score = np.array([float(sum(int(a) * int(b) for a, b in zip(vectors[n], q, strict=True))) for n in now])
+                else:  # most rows: one product over the block as it lies, without copying them out
+                    score = (vectors @ q)[now] if 2 * len(now) > len(vectors) else vectors[now] @ q
+                if len(best_score) >= k:
+                    beats = score >= best_score[k - 1]
+                    now, score = now[beats], score[beats]
                 best_id, best_score = np.r_[best_id, now], np.r_[best_score, score]
                 keep = np.lexsort((best_id, -best_score))[:k]
                 best_id, best_score = best_id[keep], best_score[keep]
-                step *= 2
             found.append((np.full(len(best_id), at + i), best_id, best_score))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
