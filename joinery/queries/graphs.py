@@ -224,19 +224,21 @@ def _positions(spark, sf_dir):
 
 
 def _children(spark, sf_dir):
-    """From single bonds to pairs: transitions of the order graphs inside the part that single bonds leave."""
+    """From single bonds to pairs: transitions of the order graphs, each inside the three parts that the bonds of one label leave."""
     _, bonds = order_graph(spark, sf_dir)
     near = ops.incident_pairs(bonds)
     both = near.unionByName(near.select("graph_id", F.col("right_edge").alias("left_edge"), F.col("left_edge").alias("right_edge")))
     pair = F.least("left_edge", "right_edge") * 100 + F.greatest("left_edge", "right_edge")
+    each = F.explode(F.array(*map(F.lit, range(3)))).alias("without")
+    both, bonds = (t.select("*", each).withColumn("graph_id", F.col("graph_id") * 3 + F.col("without")) for t in (both, bonds))
     transitions = both.select("graph_id", F.lit(1).alias("level"), F.col("left_edge").alias("node"), pair.alias("child"), F.col("right_edge").alias("edge"))
-    left = bonds.where("label <> 1")
+    left = bonds.where("label <> without")
     parts = left.groupBy("graph_id").agg(F.array_sort(F.collect_list("edge_ix")).alias("part"))
     nodes = left.join(parts, "graph_id").select("graph_id", F.lit(1).alias("level"), F.col("edge_ix").alias("node"), "part")
     return ops.children(transitions, nodes).select("graph_id", F.col("level").cast("bigint").alias("level"), F.col("node").cast("bigint").alias("node"))
 
 
-CHILDREN_SQL = f"""WITH {GRAPH_SQL} SELECT DISTINCT a.graph_id, CAST(2 AS BIGINT) AS level, a.edge_ix * 100 + b.edge_ix AS node FROM bonds a JOIN bonds b ON a.graph_id = b.graph_id AND a.edge_ix < b.edge_ix AND a.label <> 1 AND b.label <> 1 AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))"""
+CHILDREN_SQL = f"""WITH {GRAPH_SQL} SELECT DISTINCT a.graph_id * 3 + w AS graph_id, CAST(2 AS BIGINT) AS level, a.edge_ix * 100 + b.edge_ix AS node FROM unnest(range(3)) t(w), bonds a JOIN bonds b ON a.graph_id = b.graph_id AND a.edge_ix < b.edge_ix AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst)) WHERE a.label <> w AND b.label <> w"""
 
 
 def _workers(spark, sf_dir):

@@ -153,12 +153,12 @@ FIRST_SEEN_SQL = f"WITH {_OCC} SELECT graph_id, canon, row_number() OVER (PARTIT
 def _dominance(spark, sf_dir):
     """Orders' lines as states (part modulo 500 as key): those of later lines against those of first lines."""
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("key"), F.col("l_quantity").cast("int").alias("saved"), "l_linenumber")
-    return graph_ops.undominated(lines.where("l_linenumber > 1"), lines.where("l_linenumber = 1 and saved < 30"))
+    return graph_ops.undominated(lines.where("l_linenumber > 1"), lines.where("l_linenumber = 1"))
 
 
 DOMINANCE_SQL = """
 WITH l AS (SELECT l_partkey % 500 AS key, CAST(trunc(l_quantity) AS INTEGER) AS saved, l_linenumber AS n FROM lineitem)
-SELECT a.key, a.saved FROM (SELECT key, max(saved) AS saved FROM l WHERE n > 1 GROUP BY key) a LEFT JOIN (SELECT key, max(saved) AS known FROM l WHERE n = 1 AND saved < 30 GROUP BY key) b USING (key) WHERE known IS NULL OR known < a.saved
+SELECT a.key, a.saved FROM (SELECT key, max(saved) AS saved FROM l WHERE n > 1 GROUP BY key) a LEFT JOIN (SELECT key, max(saved) AS known FROM l WHERE n = 1 GROUP BY key) b USING (key) WHERE known IS NULL OR known < a.saved
 """
 
 

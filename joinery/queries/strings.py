@@ -238,12 +238,12 @@ def _repair_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leftmost(spark, sf_dir):
-    at = order_strings(spark, sf_dir).select("id", F.posexplode(F.split("text", "")).alias("pos", "symbol")).where("symbol = 'R'")
-    return ops.leftmost_apart(at.select("id", "pos"))
+    at = order_strings(spark, sf_dir).select("id", F.posexplode(F.split("text", "")).alias("pos", "symbol"))
+    return ops.leftmost_apart(at.select(F.concat_ws(" ", "id", "symbol").alias("id"), "pos"))
 
 
 LEFTMOST_SQL = f"""
-WITH {_POS}, r AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS g FROM sym WHERE symbol = 'R')
+WITH {_POS}, r AS (SELECT concat_ws(' ', id, symbol) AS id, pos, pos - row_number() OVER (PARTITION BY id, symbol ORDER BY pos) AS g FROM sym)
 SELECT id, CAST(pos AS INTEGER) AS pos FROM r QUALIFY row_number() OVER (PARTITION BY id, g ORDER BY pos) % 2 = 1
 """
 
