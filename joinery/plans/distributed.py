@@ -3,7 +3,8 @@
 The driver prepares the object and a Re-Pair bound. Jobs go out in rounds, those with the best bound first; after each
 round the best index is collected, and jobs whose bound cannot beat it are dropped. Bounds only prune, so a round that
 starts from an old index is still right. Jobs that spent their round's budget are cut into their own first moves and
-queued again, so that no task holds a large part of the search alone.
+queued again, so that no task holds a large part of the search alone. A state carries the moves that lead to it, so
+the best index comes with a pathway that replays.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ class Distributed:
     rounds: int = 0
     jobs: int = 0
     proven: bool = True
+    #: Moves (kept, copy) that prove the index; None where it comes from a Re-Pair bound alone.
+    steps: list | None = None
     best_by_round: list[int] = field(default_factory=list)
 
 
@@ -43,14 +46,15 @@ class _StringProblem:
 
     def root(self):
         parts = tuple(strings.repeated_runs(self.text))
-        return parts, max((n for _, n in parts), default=0), 0
+        return parts, max((n for _, n in parts), default=0), 0, ()
 
-    def seed(self) -> int:
-        return string_repair.repair(self.text, self.reversed).bound
+    def seed(self) -> tuple[int, list | None]:
+        grammar = string_repair.repair(self.text, self.reversed)
+        return grammar.bound, grammar.witness()
 
     def moves(self, state, best: int):
         """States after each first move, with the least index that they may reach; equivalent states once."""
-        parts, longest, saved = state
+        parts, longest, saved, path = state
         search, seen = self.search(best, None), set()
         for k, a, b in search.moves(parts, longest):
             child = strings.cut(parts, a, b)
@@ -58,15 +62,17 @@ class _StringProblem:
             if key not in seen:
                 seen.add(key)
                 gain = saved + k - 1
-                yield (child, k, gain), len(self.text) - 1 - gain - savings_bound([n for _, n in child], k)
+                yield (child, k, gain, (*path, (a, b))), len(self.text) - 1 - gain - savings_bound([n for _, n in child], k)
 
-    def explore(self, state, best: int, budget_ns: int | None) -> tuple[int, bool]:
+    def explore(self, state, best: int, budget_ns: int | None) -> tuple[int, list | None, bool]:
+        """Best index, the moves to it if it is better than `best`, and whether the search came to its end."""
         search = self.search(best, budget_ns)
+        search.path = list(state[3])
         try:
             search.run(state[0], state[1], state[2])
         except OutOfBudget:
-            return search.best, False
-        return search.best, True
+            return search.best, search.found, False
+        return search.best, search.found, True
 
 
 class _GraphProblem:
@@ -79,13 +85,14 @@ class _GraphProblem:
         return graph_search.Search(self.graph, self.canon, Budget(budget_ns), best)
 
     def root(self):
-        return tuple(p for p in self.graph.split(self.graph.repeated_edges()) if p & (p - 1)), len(self.graph.edges), 0
+        return tuple(p for p in self.graph.split(self.graph.repeated_edges()) if p & (p - 1)), len(self.graph.edges), 0, ()
 
-    def seed(self) -> int:
-        return graph_repair(self.graph, canonizer=self.canon).bound
+    def seed(self) -> tuple[int, list | None]:
+        bound = graph_repair(self.graph, canonizer=self.canon).bound
+        return bound, [] if bound == len(self.graph.edges) - 1 else None
 
     def moves(self, state, best: int):
-        parts, longest, saved = state
+        parts, longest, saved, path = state
         search, seen = self.search(best, None), set()
         for k, classes in search.start(self.levels, parts):
             for masks in classes if k <= longest else []:
@@ -98,16 +105,18 @@ class _GraphProblem:
                         if key not in seen:
                             seen.add(key)
                             gain = saved + k - 1
-                            yield (child, k, gain), len(self.graph.edges) - 1 - gain - savings_bound([p.bit_count() for p in child], k)
+                            yield (child, k, gain, (*path, (a, b))), len(self.graph.edges) - 1 - gain - savings_bound([p.bit_count() for p in child], k)
 
-    def explore(self, state, best: int, budget_ns: int | None) -> tuple[int, bool]:
+    def explore(self, state, best: int, budget_ns: int | None) -> tuple[int, list | None, bool]:
         search = self.search(best, budget_ns)
+        search.path = list(state[3])
+        if search.trivial - state[2] < best:
+            search.best, search.found = search.trivial - state[2], list(state[3])
         try:
-            search.best = min(best, len(self.graph.edges) - 1 - state[2])
             search.run(state[0], [level for level in search.start(self.levels, state[0]) if level[0] <= state[1]], state[2])
         except OutOfBudget:
-            return search.best, False
-        return search.best, True
+            return search.best, search.found, False
+        return search.best, search.found, True
 
 
 def _explored(problem, best: int, budget_ns: int):
@@ -116,10 +125,10 @@ def _explored(problem, best: int, budget_ns: int):
         for batch in batches:
             out = []
             for job, state in zip(batch["job"], batch["state"], strict=True):
-                found, done = problem.explore(_unpacked(state), mine, budget_ns)
+                found, steps, done = problem.explore(_unpacked(state), mine, budget_ns)
                 mine = min(mine, found)
-                out.append((job, found, done))
-            yield pd.DataFrame(out, columns=["job", "found", "done"])
+                out.append((job, found, None if steps is None else repr(steps), done))
+            yield pd.DataFrame(out, columns=["job", "found", "steps", "done"])
 
     return run
 
@@ -130,17 +139,26 @@ def _unpacked(text: str):
     return ast.literal_eval(text)
 
 
-def search(spark: SparkSession, problem, slots: int | None = None, mode: str = "auto", max_rounds: int | None = None) -> Distributed:
-    """mode: local searches on the driver; auto does so until LOCAL_ROUND_NS are spent, then goes out; distributed goes out at once."""
-    best = problem.seed()
-    out = Distributed(best)
+def search(spark: SparkSession, problem, slots: int | None = None, mode: str = "auto", max_rounds: int | None = None, with_pathway: bool = False) -> Distributed:
+    """mode: local searches on the driver; auto does so until LOCAL_ROUND_NS are spent, then goes out; distributed goes out at once.
+
+    with_pathway: where the Re-Pair bound has no moves of its own, go on until moves prove as good an index.
+    """
+    seed, steps = problem.seed()
+    best = seed + (with_pathway and steps is None)
+    out = Distributed(seed, steps=steps)
+
+    def better(found: int, steps: list | None) -> None:
+        nonlocal best
+        if steps is not None and found < best:
+            best, out.index, out.steps = found, found, steps
+
     if mode != "distributed":
-        found, done = problem.explore(problem.root(), best, None if mode == "local" else LOCAL_ROUND_NS)
-        out.index = min(best, found)
+        found, steps, done = problem.explore(problem.root(), best, None if mode == "local" else LOCAL_ROUND_NS)
+        better(found, steps)
         if done:
             return out
     ship(spark)
-    best = out.index
     slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
     queue = sorted(problem.moves(problem.root(), best), key=lambda j: j[1])
     budget = LOCAL_ROUND_NS
@@ -153,29 +171,29 @@ def search(spark: SparkSession, problem, slots: int | None = None, mode: str = "
             out.proven = False
             break
         jobs = spark.createDataFrame([(i, repr(s)) for i, (s, _) in enumerate(now)], "job int, state string").repartition(min(len(now), 4 * slots), "job")
-        told = jobs.mapInPandas(_explored(problem, best, budget), "job int, found int, done boolean").collect()
-        best = min([best, *(r["found"] for r in told)])
+        told = jobs.mapInPandas(_explored(problem, best, budget), "job int, found int, steps string, done boolean").collect()
+        for r in told:
+            better(r["found"], r["steps"] and _unpacked(r["steps"]))
         out.rounds, out.jobs = out.rounds + 1, out.jobs + len(now)
-        out.best_by_round.append(best)
+        out.best_by_round.append(out.index)
         for r in told:
             if not r["done"]:
                 queue += list(problem.moves(now[r["job"]][0], best))
         queue.sort(key=lambda j: j[1])
         budget *= 2
-    out.index = best
     return out
 
 
 def search_string(spark: SparkSession, text: str, accept_reversed: bool = False, **how) -> Distributed:
     if len(text) < 2:
-        return Distributed(len(text) - 1)
+        return Distributed(len(text) - 1, steps=[])
     return search(spark, _StringProblem(text, accept_reversed), **how)
 
 
 def search_graph(spark: SparkSession, graph: Graph, compensate: bool = False, **how) -> Distributed:
     less = graph_search.compensation(graph, compensate)
     if len(graph.edges) < 2:
-        return Distributed(len(graph.edges) - 1 - less)
+        return Distributed(len(graph.edges) - 1 - less, steps=[])
     problem = _GraphProblem(graph)
     out = search(spark, problem, **how)
     out.index -= less

@@ -79,6 +79,20 @@ def test_jobs_that_run_out_are_cut_again(spark, monkeypatch):
     assert not stopped.proven or stopped.rounds == 0
 
 
+@pytest.mark.parametrize("mode", ["local", "distributed"])
+def test_distributed_pathways_replay(spark, monkeypatch, mode):
+    if mode == "distributed":
+        monkeypatch.setattr(distributed, "LOCAL_ROUND_NS", 2_000_000)
+    for text, turned in (("abracadabraabracadabra", False), ("abcabdabcabdacabca", False), ("aabbabaabbbbaa", True), ("xyz", False), ("x", False)):
+        out = distributed.search_string(spark, text, turned, mode=mode)
+        assert strings.replay(text, out.steps, turned) == out.index == strings.solve(text, turned).index
+    ladder = Graph.of(["C"] * 8, [(i, i + 1, 1) for i in range(3)] + [(i + 4, i + 5, 1) for i in range(3)] + [(i, i + 4, 1) for i in range(4)])
+    ring = Graph.of(["C", "N"] * 3, [(i, (i + 1) % 6, 1 + i % 2) for i in range(6)])
+    for graph in (ladder, ring, Graph.of(["C", "N", "O"], [(0, 1, 1), (1, 2, 2)])):
+        out = distributed.search_graph(spark, graph, mode=mode, with_pathway=True)
+        assert out.index == graph_search.solve(graph).index and graph_search.replay(graph, out.steps) == out.index
+
+
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT string_assembly('abab', false).assembly_index AS i, string_repair('abba', true).assembly_index AS b").first() == (2, 2)
