@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import pairwise
 
 EXACT_UP_TO = 256
 
@@ -17,22 +18,34 @@ def chain_length(n: int) -> int:
     """Length of the shortest addition chain for n (exact up to EXACT_UP_TO, ceil(log2 n) beyond)."""
     if n < 1:
         raise ValueError("addition chains start at 1")
-    if n > EXACT_UP_TO:
-        return ceil_log2(n)
+    return ceil_log2(n) if n > EXACT_UP_TO else len(shortest_chain(n)) - 1
+
+
+@lru_cache(maxsize=None)
+def shortest_chain(n: int) -> tuple[int, ...]:
+    """A shortest addition chain for n up to EXACT_UP_TO that adds its last entry in every step."""
     depth = ceil_log2(n)
-    while not _reachable((1,), n, depth):
+    while not (chain := _reaching((1,), n, depth)):
         depth += 1
-    return depth
+    return chain
 
 
-def _reachable(chain: tuple[int, ...], goal: int, steps: int) -> bool:
-    """Whether `steps` more sums reach goal; below 12509 some shortest chain adds its last entry in every step."""
+def _reaching(chain: tuple[int, ...], goal: int, steps: int) -> tuple[int, ...] | None:
+    """The chain with up to `steps` more sums to goal; below 12509 some shortest chain adds its last entry in every step."""
     last = chain[-1]
     if last == goal:
-        return True
+        return chain
     if not steps or last << steps < goal:
-        return False
-    return any(_reachable((*chain, last + x), goal, steps - 1) for x in reversed(chain) if last + x <= goal)
+        return None
+    return next(filter(None, (_reaching((*chain, last + x), goal, steps - 1) for x in reversed(chain) if last + x <= goal)), None)
+
+
+def uniform_moves(n: int) -> list[tuple[int, int]]:
+    """(size, place) of the copies that build n equal units in a row in chain_length(n) joins, longest first.
+
+    Each is a copy of the first `size` units: every entry of the chain is a front piece, the next one adds a shorter front piece.
+    """
+    return sorted(((b - a, a) for a, b in pairwise(shortest_chain(n)) if b - a > 1), reverse=True)
 
 
 def vector_floor(counts: Iterable[int]) -> int:

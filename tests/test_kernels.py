@@ -276,6 +276,30 @@ def test_uniform_paths_and_stars_are_addition_chains(n):
         assert graph_search.solve(star).index == chains.chain_length(n)
 
 
+@pytest.mark.parametrize("n", [2, 3, 31, 63, 64, 71, 127, 129, 191, 256])
+def test_long_uniform_objects_have_their_chain(n):
+    rng = random.Random(n)
+    place = rng.sample(range(n + 3), n + 1)  # vertices and edges in any order, and two isolated atoms
+    bonds = [(place[i], place[i + 1], 2) for i in range(n)]
+    rng.shuffle(bonds)
+    graph = Graph.of(["C"] * (n + 3), bonds)
+    out = graph_search.solve(graph)
+    assert out.index == chains.chain_length(n) == graph_search.replay(graph, out.steps)
+    assert graph_search.solve(graph, compensate=True).index == out.index - 2
+    for turned in (False, True):
+        found = strings.solve("a" * n, turned)
+        assert found.index == out.index == strings.replay("a" * n, found.steps, turned)
+
+
+def test_uniform_paths_are_told_from_other_graphs():
+    path = [(i, i + 1, 1) for i in range(5)]
+    assert graph_search.uniform_path(Graph.of(["C"] * 6, path)) in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0])
+    others = [(["C"] * 5 + ["N"], path), (["C"] * 6, [*path[:4], (4, 5, 2)]), (["C"] * 6, [*path, (5, 0, 1)]), (["C"] * 7, [*path, (2, 6, 1)])]
+    others += [(["C"] * 6, path[:2] + path[3:]), (["C"] * 9, [*path, (6, 7, 1), (7, 8, 1), (6, 8, 1)])]
+    for labels, bonds in others:
+        assert graph_search.uniform_path(Graph.of(labels, bonds)) is None
+
+
 def test_components_and_compensation():
     triangles = Graph.of(["C"] * 6, [(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1)])
     assert graph_search.solve(triangles).index == 3 and graph_search.solve(triangles, compensate=True).index == 2
