@@ -34,12 +34,14 @@ def _ship(context) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset on a single machine, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = os.path.join(tempfile.gettempdir(), f"joinery-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared:
+        return shared
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), f"joinery-{spark.sparkContext.applicationId}")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
