@@ -11,6 +11,8 @@ CASES = "name string, input string, expected_assembly_index string, expectation
 WEIGHTS = "case string, repetitions string"
 #: Fixed values of the case manifest.
 SUITES = ("quick", "full", "profile", "scaling")
+EXPECTATIONS = ("reviewed", "provisional")
+CASE_NAME = "^[A-Za-z0-9][A-Za-z0-9_.-]*$"
 SAMPLES = "suite string, case string, role string, round int, wall_seconds double, clock_ticks bigint, workers int"
 
 
@@ -45,13 +47,20 @@ def check_pathways(rows: DataFrame, regression: DataFrame) -> DataFrame:
     return rows
 
 
-def check_cases(rows: DataFrame) -> DataFrame:
-    """One row per case and suite: name, input, expected int, expectation, suite, workload."""
+def check_cases(rows: DataFrame, expectations: tuple[str, ...] = ()) -> DataFrame:
+    """One row per case and suite: name, input, expected int, expectation, suite, workload.
+
+    expectations: the values allowed there, EXPECTATIONS for the case manifest; any if none are given.
+    """
     _none(rows.groupBy("name").count().where("count > 1"), "repeated case")
-    _none(rows.where("name is null or input is null or suites is null"), "malformed case")
+    _none(rows.where(~F.coalesce(F.col("name").rlike(CASE_NAME), F.lit(False))), "malformed name")
+    _none(rows.where("name is null or input is null or suites is null or workload is null or trim(workload) = ''"), "malformed case")
+    if expectations:
+        _none(rows.where(~F.coalesce(F.col("expectation").isin(*expectations), F.lit(False))), "unknown expectation")
     _none(rows.where("not coalesce(expected_assembly_index rlike '^-?[0-9]+$', false)"), "not an integer")
     out = rows.select("name", "input", F.col("expected_assembly_index").cast("int").alias("expected"), "expectation", F.explode(F.split("suites", ",")).alias("suite"), "workload")
     _none(out.where(~F.col("suite").isin(*SUITES)), "unknown suite")
+    _none(out.groupBy("name", "suite").count().where("count > 1"), "suite given twice")
     return out
 
 

@@ -135,6 +135,12 @@ def test_manifests(spark, tmp_path):
     assert manifests.check_cases(make([case], manifests.CASES)).count() == 2
     with pytest.raises(manifests.ManifestError, match="suite"):
         manifests.check_cases(make([case[:4] + ("odd", "w")], manifests.CASES))
+    for bad in (case[:5] + (" ",), case[:4] + ("quick,quick", "w"), (None,) + case[1:]):
+        with pytest.raises(manifests.ManifestError):
+            manifests.check_cases(make([bad], manifests.CASES))
+    assert manifests.check_cases(make([case[:3] + ("reviewed",) + case[4:]], manifests.CASES), manifests.EXPECTATIONS).count() == 2
+    with pytest.raises(manifests.ManifestError, match="expectation"):
+        manifests.check_cases(make([case], manifests.CASES), manifests.EXPECTATIONS)
     with pytest.raises(manifests.ManifestError):
         manifests.check_weights(make([("c", "0")], manifests.WEIGHTS))
 
