@@ -1,8 +1,8 @@
 """Queries over the driver's tables, and the same as DuckDB SQL."""
 
-from joinery.queries import bounds, evaluation, graphs, scalars, strings
+from joinery.queries import bounds, documents, evaluation, graphs, scalars, strings
 
-_MODULES = (strings, graphs, bounds, scalars, evaluation)
+_MODULES = (strings, graphs, bounds, documents, scalars, evaluation)
 
 
 def queries() -> dict:
