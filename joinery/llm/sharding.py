@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from joinery.runtime import materialise
+
 #: A power of two; the list of cell sizes on the driver has at most so many entries.
 CELLS = 1 << 16
 ROW_BYTES = 16
@@ -82,11 +84,11 @@ def numbered(rows: DataFrame, total: int) -> DataFrame:
     """rows with `slot`, gapless from 0 in each `shard`."""
     columns = rows.columns
     parts = max(1, min(MAX_PARTS, total // PART_ROWS))
-    counted = rows.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    counted = counted.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int"))
+    part = F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int").alias("_part")
+    counted = rows.groupBy(*columns).agg(F.count("*").alias("_copies")).select(*columns, "_copies", part)
     before = F.sum("_copies").over(Window.partitionBy("shard", "_part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0))
     inside = counted.withColumn("_before", before - F.col("_copies"))
-    sizes = counted.groupBy("shard", "_part").agg(F.sum("_copies").alias("_n"))
+    sizes = rows.select("shard", part).groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     up_to = F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
     first = sizes.select("shard", "_part", (up_to - F.col("_n")).alias("_first"))
     placed = inside.join(first, ["shard", "_part"])
@@ -95,9 +97,10 @@ def numbered(rows: DataFrame, total: int) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each row."""
+    """doc_id, size, text_crc32, shard and slot of each row; texts are read once, all else works on a narrow table."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), cell_of(text).alias("cell"))
+    narrow = materialise(narrow, "sizes")
     cells = narrow.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("cell").toPandas()
     cuts = partition(cells["bytes"].to_numpy(np.int64), shards)
     starts = [int(cells["cell"].iloc[c]) if c < len(cells) else CELLS for c in cuts]
