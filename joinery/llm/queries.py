@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joinery.llm import op01_pivots, op02_licenses, op03_langid, op04_bpe, op05_counts, op06_quality, op07_shards, op08_simhash, op09_packing, op10_urls
+from joinery.llm import op01_pivots, op02_licenses, op03_langid, op04_bpe, op05_counts, op06_quality, op07_shards, op08_simhash, op09_packing, op10_urls, op11_exact, op12_sources, op13_resampling
 
-_MODULES = (op01_pivots, op02_licenses, op03_langid, op04_bpe, op05_counts, op06_quality, op07_shards, op08_simhash, op09_packing, op10_urls)
+_MODULES = (op01_pivots, op02_licenses, op03_langid, op04_bpe, op05_counts, op06_quality, op07_shards, op08_simhash, op09_packing, op10_urls, op11_exact, op12_sources, op13_resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
