@@ -169,7 +169,8 @@ def resampled(docs: DataFrame, target: DataFrame, seed: int, percent: int, longe
     text = F.col("text").cast("string").alias("_text")
     rows = docs.select("doc_id", text)
     gain = gains(bucket_counts(rows.select("_text"), longest, buckets), bucket_counts(target.select(text), longest, buckets))
-    scored = weighed(rows, gain, longest)
+    # written once, since splitters are sampled in a pass of their own
+    scored = materialise(weighed(rows, gain, longest), "weights")
     scored = scored.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
     order = [F.desc("score"), F.col("doc_id").asc_nulls_last()]
     return ranked(scored, order, lambda n: percent * n // 100, F.col("n_words") >= least_words)
