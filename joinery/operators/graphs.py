@@ -182,23 +182,46 @@ def children(transitions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def path_positions(graphs: DataFrame) -> DataFrame:
-    """graph_id, edge_ix, position along the path from its lesser end; only graphs that are one path (labels, edges arrays)."""
-    from joinery.kernels.graphs import Graph
+    """graph_id, edge_ix, position along the path from its lesser end; only graphs that are one path (labels, edges arrays).
 
-    ship(graphs.sparkSession)
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                found = Graph.of(list(row["labels"]), [(e["src"], e["dst"], e["label"]) for e in row["edges"]]).path_positions()
-                out += [(row["graph_id"], i, p) for i, p in enumerate(found or [])]
-            yield pd.DataFrame(out, columns=["graph_id", "edge_ix", "position"])
-
-    schema = T.StructType([graphs.schema["graph_id"], T.StructField("edge_ix", T.IntegerType()), T.StructField("position", T.IntegerType())])
-    return graphs.select("graph_id", "labels", "edges").mapInPandas(run, schema)
+    List ranking by pointer jumping: each bond is two darts, a dart's successor goes on at its far end, and in each round
+    successors skip as far again. The rounds are logarithmic in the longest path, and a path's darts are spread over all tasks.
+    """
+    _, bonds = exploded(graphs)
+    side = lambda a, b: bonds.select("graph_id", "edge_ix", F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("edge_ix") * 2 + (F.col(a) > F.col(b)).cast("int")).cast("long").alias("dart"))
+    darts = side("src", "dst").unionByName(side("dst", "src"))
+    degree = darts.groupBy("graph_id", "src").agg(F.count("*").alias("n"))
+    shape = degree.groupBy("graph_id").agg(F.max("n").alias("most"), F.sum((F.col("n") == 1).cast("int")).alias("ends"), (F.sum("n") / 2).cast("long").alias("bonds"), F.max(F.when(F.col("n") == 1, F.col("src"))).alias("last"))
+    darts = darts.join(shape.where("most <= 2 AND ends = 2").select("graph_id", "bonds", "last"), "graph_id")
+    a, b = darts.alias("a"), darts.alias("b")
+    follows = (F.col("a.graph_id") == F.col("b.graph_id")) & (F.col("a.dst") == F.col("b.src")) & (F.col("a.edge_ix") != F.col("b.edge_ix"))
+    jump = F.coalesce("b.dart", "a.dart").alias("jump")
+    state = a.join(b, follows, "left").select("a.graph_id", "a.edge_ix", "a.dart", "a.bonds", jump, F.col("b.dart").isNotNull().cast("long").alias("steps"), (F.col("b.dart").isNull() & (F.col("a.dst") == F.col("a.last"))).alias("final"))
+    state = materialise(state, "darts")
+    reach, most = 1, state.agg(F.max("bonds")).first()[0] or 0
+    while reach < most:
+        to = state.select("graph_id", F.col("dart").alias("jump"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"))
+        state = materialise(state.join(to, ["graph_id", "jump"]).select("graph_id", "edge_ix", "dart", "bonds", F.col("_jump").alias("jump"), (F.col("steps") + F.col("_steps")).alias("steps"), "final"), "darts")
+        reach *= 2
+    goal = state.where("final").select("graph_id", F.col("dart").alias("jump"))
+    found = state.join(goal, ["graph_id", "jump"])
+    # bonds of a ring beside the path never reach its end
+    whole = found.groupBy("graph_id").agg(F.count("*").alias("n"))
+    found = found.join(whole, "graph_id").where("n = bonds")
+    return found.select("graph_id", F.col("edge_ix").cast("int").alias("edge_ix"), (F.col("bonds") - 1 - F.col("steps")).cast("int").alias("position"))
+
+
+def path_strings(graphs: DataFrame) -> DataFrame:
+    """graph_id, text: a symbol for each bond label along the path, of graphs that are one path with equal atoms.
+
+    A part of such a graph and its mirror image are isomorphic, so its index is that of the text when parts equal their reversals.
+    """
+    alike = graphs.where(F.size(F.array_distinct("labels")) == 1)
+    _, bonds = exploded(alike)
+    # labels are 1 to 32767, so the symbols lie between U+3401 and U+B3FF
+    symbol = F.decode(F.unhex(F.lpad(F.hex(F.col("label") + 0x3400), 4, "0")), "UTF-16BE")
+    placed = path_positions(alike).join(bonds.select("graph_id", "edge_ix", symbol.alias("symbol")), ["graph_id", "edge_ix"])
+    return placed.groupBy("graph_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "symbol"))), lambda x: x["symbol"]), "").alias("text"))
 
 
 def best_of_workers(found: DataFrame, key: str) -> DataFrame:

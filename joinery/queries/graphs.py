@@ -9,6 +9,7 @@ from joinery.kernels import graph_repair, graph_search
 from joinery.kernels.canon import Canonizer
 from joinery.kernels.graphs import Graph
 from joinery.operators import graphs as ops
+from joinery.operators.frontier import assembly_frontier
 from joinery.plans.options import GraphOptions
 from joinery.plans.solve import assembly_of_graphs
 from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, ORDERS_SQL, distinct_order_strings, order_graph, path_graphs
@@ -18,8 +19,9 @@ from joinery.sources.files import parse_graphs
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index of edge-labelled paths: the index of their strings when a part equals its reversal."""
-    return assembly_of_graphs(path_graphs(spark, sf_dir)).select(F.col("graph_id").alias("text"), "assembly_index")
+    """Index of edge-labelled paths, from the frontier of their strings' states."""
+    strings = ops.path_strings(path_graphs(spark, sf_dir)).select(F.col("graph_id").alias("id"), "text")
+    return assembly_frontier(strings, accept_reversed=True).select(F.col("id").alias("text"), "assembly_index")
 
 
 def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from joinery.kernels import string_repair, strings as kernel
 from joinery.operators import strings as ops
+from joinery.operators.frontier import assembly_frontier
 from joinery.plans.options import StringOptions
 from joinery.plans.solve import assembly_of_strings
 from joinery.queries.objects import DISTINCT_SQL, NAMES_SQL, ORDERS_SQL, USERS_SQL, distinct_order_strings, names, order_strings, user_strings
@@ -43,6 +44,16 @@ def _indices(source, options: StringOptions):
     return query
 
 
+def _frontier(source, reverse: bool):
+    """Indices from the frontier of all texts' states."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = source(spark, sf_dir).select("text").distinct().select(F.col("text").alias("id"), "text")
+        return assembly_frontier(texts, reverse).select(F.col("id").alias("text"), "assembly_index")
+
+    return query
+
+
 def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and largest index of the orders of each priority."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
@@ -57,6 +68,10 @@ FROM strings JOIN solved USING (text) JOIN orders ON o_orderkey = id GROUP BY 1
 """
 
 
+def _order_strings_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_order_strings(spark, sf_dir).select("text").unionByName(names(spark, sf_dir))
+
+
 def _symbols(spark, sf_dir):
     return ops.symbol_counts(user_strings(spark, sf_dir))
 
@@ -266,9 +281,10 @@ QUERIES = {
     "string_pair_blocks": (_blocks, BLOCKS_SQL),
     "string_repair_documents": (_repair_documents, None),
     "flagship_index_by_priority": (_flagship, FLAGSHIP_SQL),
-    "string_index_orders": (_indices(distinct_order_strings, StringOptions()), index_sql(ORDERS_SQL, False)),
-    "string_index_orders_reversed": (_indices(distinct_order_strings, StringOptions(accept_reversed=True)), index_sql(ORDERS_SQL, True)),
-    "string_index_names": (_indices(names, StringOptions()), index_sql(NAMES_SQL, False)),
+    "string_index_orders": (_frontier(distinct_order_strings, False), index_sql(ORDERS_SQL, False)),
+    "string_index_orders_reversed": (_frontier(distinct_order_strings, True), index_sql(ORDERS_SQL, True)),
+    "string_index_names": (_frontier(names, False), index_sql(NAMES_SQL, False)),
+    "string_index_searched": (_indices(_order_strings_and_names, StringOptions()), index_sql(f"SELECT text FROM ({ORDERS_SQL}) UNION SELECT text FROM ({NAMES_SQL})", False)),
     "string_index_zero_budget": (
         lambda s, d: assembly_of_strings(distinct_order_strings(s, d), "text", StringOptions(cpu_budget_ns=0)).select("text", "assembly_index", "runtime_limit_reached"),
         f"SELECT text, CAST(length(text) - 1 AS INTEGER) AS assembly_index, length(text) > 1 AS runtime_limit_reached FROM ({DISTINCT_SQL})",
