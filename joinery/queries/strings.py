@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinery.kernels import string_repair, strings as kernel
-from joinery.operators import strings as ops
+from joinery.operators import ranks, strings as ops
 from joinery.operators.frontier import assembly_frontier
 from joinery.plans.options import StringOptions
 from joinery.plans.solve import assembly_of_strings
@@ -116,6 +116,31 @@ PAIRS_SQL = f"""WITH {_occ_sql()} SELECT a.id, a.canon, a.length, a."offset" AS
 PAIRABLE_SQL = f"""WITH {_occ_sql(True)} SELECT * FROM occ a WHERE EXISTS (SELECT 1 FROM occ b WHERE a.id = b.id AND a.canon = b.canon AND a.length = b.length AND abs(a."offset" - b."offset") >= a.length)"""
 
 
+def _document_classes(reverse: bool):
+    """How many classes of duplicates whole documents have at each size 2, 4, 8, ..., of how many places, the latest first place and the longest reach."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+        found = ranks.duplicate_classes(docs, reverse)
+        counts = [F.count("*").alias("classes"), F.sum("n").alias("places"), F.sum(F.col("valid").cast("long")).alias("valid_classes"), F.max("first").alias("latest_first"), F.max(F.col("last") - F.col("first")).alias("longest_reach")]
+        return found.groupBy(F.col("id").alias("doc_id"), "length").agg(*counts)
+
+    return query
+
+
+def document_classes_sql(reverse: bool, sizes: int = 16) -> str:
+    """The same by spelling out the substrings of places that recur at half the size; 2^16 symbols are more than any table's text has twice."""
+    canon = "least(s, reverse(s))" if reverse else "s"
+    own = "OR s = reverse(s)" if reverse else ""
+    level = lambda k, source: f"""l{k} AS (
+    SELECT doc_id, o, {canon} AS s, count(*) OVER (PARTITION BY doc_id, {canon}) AS n
+    FROM (SELECT doc_id, o, substr(text, o + 1, {2**k}) AS s FROM {source} JOIN documents USING (doc_id) WHERE length(text) >= o + {2**k}) QUALIFY n > 1 {own})"""
+    levels = ", ".join([level(1, "(SELECT doc_id, unnest(range(length(text))) AS o FROM documents)"), *(level(k, f"l{k - 1}") for k in range(2, sizes + 1))])
+    classes = " UNION ALL ".join(f"SELECT doc_id, {2**k} AS length, s, count(*) AS n, min(o) AS f, max(o) AS l FROM l{k} WHERE n > 1 GROUP BY 1, 2, 3" for k in range(1, sizes + 1))
+    return f"""WITH {levels}, classes AS ({classes})
+SELECT doc_id, length, count(*) AS classes, CAST(sum(n) AS BIGINT) AS places, count(*) FILTER (l - f >= length) AS valid_classes, max(f) AS latest_first, max(l - f) AS longest_reach FROM classes GROUP BY 1, 2"""
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals per order: from the line's part number modulo 60, as long as its quantity modulo 9 plus 1."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 60).cast("int").alias("offset"), (F.col("l_quantity").cast("int") % 9 + 1).alias("length"))
@@ -294,6 +319,8 @@ QUERIES = {
     "string_repeated_runs": (lambda s, d: ops.repeated_runs(order_strings(s, d)), RUNS_SQL),
     "string_classes": (_classes(False), _classes_sql(False)),
     "string_classes_reversed": (_classes(True), _classes_sql(True)),
+    "string_duplicate_classes": (_document_classes(False), document_classes_sql(False)),
+    "string_duplicate_classes_reversed": (_document_classes(True), document_classes_sql(True)),
     "string_disjoint_pairs": (_pairs, PAIRS_SQL),
     "string_pairable": (lambda s, d: ops.pairable(_occ(s, d, True)), PAIRABLE_SQL),
     "interval_union": (lambda s, d: ops.interval_union(_lines(s, d)), UNION_SQL),
