@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinery.evaluation import stats
+from joinery.operators.grammar import repair_bounds
 from joinery.plans.options import GraphOptions, StringOptions
 from joinery.plans.solve import assembly_of_graphs, assembly_of_strings
-from joinery.queries.objects import NAMES_SQL, ORDERS_SQL, distinct_order_strings, names, path_graphs
+from joinery.queries.objects import NAMES_SQL, ORDERS_SQL, USERS_SQL, distinct_order_strings, names, path_graphs, user_strings
 
 
 def repair_sql(source: str, reverse: bool) -> str:
@@ -85,6 +86,16 @@ def _bounds(source, reverse: bool):
     return query
 
 
+def _grammars(source, reverse: bool):
+    """Re-Pair of all texts in rounds over the table."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = source(spark, sf_dir).select("text").where("text <> ''").distinct().select(F.col("text").alias("id"), "text")
+        return repair_bounds(texts, reverse).withColumnRenamed("id", "text")
+
+    return query
+
+
 def _path_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph Re-Pair on paths: what string Re-Pair with reversal gives for the bonds' symbols."""
     solved = assembly_of_graphs(path_graphs(spark, sf_dir), GraphOptions(algorithm="repair"))
@@ -118,10 +129,16 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_order_strings(spark, sf_dir).select("text").unionByName(names(spark, sf_dir))
 
 
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_strings(spark, sf_dir).select("text")
+
+
 QUERIES = {
     "graph_ring_index": (_rings, ring_sql(ORDERS_SQL)),
     "graph_repair_bounds": (_path_bounds, _apart(repair_sql(ORDERS_SQL, True))),
-    "string_repair_bounds": (_bounds(_both, False), _apart(repair_sql(_BOTH_SQL, False))),
-    "string_repair_bounds_reversed": (_bounds(_both, True), _apart(repair_sql(_BOTH_SQL, True))),
+    "string_repair_bounds": (_grammars(_both, False), _apart(repair_sql(_BOTH_SQL, False))),
+    "string_repair_bounds_reversed": (_grammars(_both, True), _apart(repair_sql(_BOTH_SQL, True))),
+    "string_repair_searched": (_bounds(_both, False), _apart(repair_sql(_BOTH_SQL, False))),
+    "string_repair_users": (_grammars(_users, False), _apart(repair_sql(USERS_SQL, False))),
     "bound_quality_repair": (_repair_quality, quality_sql()),
 }

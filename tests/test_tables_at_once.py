@@ -6,8 +6,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from joinery.kernels.string_repair import repair
 from joinery.kernels.strings import solve
-from joinery.operators import frontier, ranks
+from joinery.operators import frontier, grammar, ranks
 
 TEXTS = [None, "", "x", "abcdef", "abab", "aaa", "aaaa", "abababab", "bbbabba", "baabaa", "abcxcba", "abba", "😀é😀é", "000001111122222"]
 
@@ -69,3 +70,25 @@ def test_no_duplicates_at_all(spark):
     none = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id long, text string")
     assert ranks.duplicate_classes(none).collect() == []
     assert {r["length"] for r in ranks.longest_duplicates(none).collect()} == {0}
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_grammar_rounds_equal_single_grammars(spark, reverse):
+    rows = texts(40, 25) + [(100, "abcd" * 6 + "dcba")]
+    strings = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: tuple(r)[1:] for r in grammar.repair_bounds(strings, reverse).collect()}
+    plain = {i: repair(t, reverse) for i, t in rows if t is not None}
+    assert got == {i: (None,) * 3 if t is None else (plain[i].bound, len(plain[i].rules), len(plain[i].residual)) for i, t in rows}
+    left, rules = grammar.repaired(strings, reverse)
+    pieces = defaultdict(list)
+    for r in left.collect():
+        pieces[r["id"]].append((r["at"], r["piece"]))
+    assert {i: "".join(p for _, p in sorted(x)) for i, x in pieces.items()} == {i: t for i, t in rows if t}
+    steps = defaultdict(list)
+    for r in rules.orderBy("round").collect():
+        steps[r["id"]].append(len(r["key"]))
+    assert steps == {i: [r.length for r in g.rules] for i, g in plain.items() if g.rules}
+
+
+def test_grammar_of_nothing(spark):
+    assert grammar.repair_bounds(spark.createDataFrame([], "id long, text string")).collect() == []
