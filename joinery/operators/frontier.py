@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from joinery.functions.scalars import canonical_text, packing_bound
 from joinery.kernels.chains import chain_length
 from joinery.operators.strings import chain_floor, repeated_runs
-from joinery.runtime import materialise
+from joinery.runtime import forget, materialise
 
 #: Keys over which one object's states meet its best index.
 SALTS = 32
@@ -96,6 +96,7 @@ def assembly_frontier(strings: DataFrame, accept_reversed: bool = False) -> Data
         found = materialise(unvisited(best_of_keys(moved(front, accept_reversed)), stored), "found")
         if found.isEmpty():
             return objects.select("id", (F.col("symbols") - 1 - F.col("best")).cast("int").alias("assembly_index"))
-        objects = materialise(bests(objects, found), "objects")
+        before, objects = objects, materialise(bests(objects, found), "objects")
         front = materialise(worth(found, objects, most), "front")
+        forget(before, found)
         stored = stored.unionByName(front)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from joinery.functions.scalars import bond_class
-from joinery.runtime import materialise, ship
+from joinery.operators import masks
+from joinery.runtime import forget, materialise
 
 
 def exploded(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +82,8 @@ def component_labels(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
         near = both.join(state.select("graph_id", F.col("atom_ix").alias("dst"), F.col("root").alias("r")), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("atom_ix")).agg(F.min("r").alias("r"))
         lower = state.join(near, ["graph_id", "atom_ix"], "left").withColumn("root", F.least("root", "r")).drop("r")
         up = lower.select("graph_id", F.col("atom_ix").alias("root"), F.col("root").alias("r"))
-        state = materialise(lower.join(up, ["graph_id", "root"], "left").select("graph_id", "atom_ix", F.least("root", "r").alias("root")), "roots")
+        before, state = state, materialise(lower.join(up, ["graph_id", "root"], "left").select("graph_id", "atom_ix", F.least("root", "r").alias("root")), "roots")
+        forget(before)
         now = state.agg(F.sum(F.col("root").cast("decimal(20,0)"))).first()[0]  # roots only fall
         if now == sum_:
             return state
@@ -93,39 +91,9 @@ def component_labels(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 
 
 def component_counts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """graph_id, components (isolated atoms included), bonded_components (only those with a bond).
-
-    A graph is one object of at most 32,767 atoms, so it meets in one row: one shuffle, then a union-find per graph.
-    component_labels does without that bound.
-    """
-    ship(atoms.sparkSession)
-    ends = atoms.select("graph_id", F.col("atom_ix").alias("a"), F.col("atom_ix").alias("b")).unionByName(bonds.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")))
-    rows = ends.groupBy("graph_id").agg(F.collect_list(F.col("a").cast("int")).alias("a"), F.collect_list(F.col("b").cast("int")).alias("b"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [_components(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            every, bonded = zip(*counts, strict=True) if counts else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("graph_id"), pa.array(every, pa.int64()), pa.array(bonded, pa.int64())], ["graph_id", "components", "bonded_components"])
-
-    return rows.mapInArrow(run, T.StructType([atoms.schema["graph_id"], T.StructField("components", T.LongType()), T.StructField("bonded_components", T.LongType())]))
-
-
-def _components(left: list[int], right: list[int]) -> tuple[int, int]:
-    root = {x: x for x in left}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    bonded = set()
-    for a, b in zip(left, right, strict=True):
-        if a != b:
-            bonded.add(a)
-            root[find(a)] = find(b)
-    return sum(x == r for x, r in root.items()), len({find(x) for x in bonded})
+    """graph_id, components (isolated atoms included), bonded_components (only those with a bond)."""
+    roots = component_labels(atoms, bonds).groupBy("graph_id", "root").agg(F.count("*").alias("n"))
+    return roots.groupBy("graph_id").agg(F.count("*").alias("components"), F.sum((F.col("n") > 1).cast("long")).alias("bonded_components"))
 
 
 def incident_pairs(bonds: DataFrame) -> DataFrame:
@@ -157,9 +125,9 @@ def disjoint_class_pairs(occ: DataFrame) -> DataFrame:
 
 
 def class_unions(occ: DataFrame) -> DataFrame:
-    """graph_id, canon and the union of the masks of each class."""
-    flat = occ.select("graph_id", "canon", F.explode("mask").alias("edge_ix"))
-    return flat.groupBy("graph_id", "canon").agg(F.array_sort(F.collect_set("edge_ix")).alias("mask"))
+    """graph_id, canon and the union of the masks of each class, by packed words."""
+    keys = ["graph_id", "canon"]
+    return masks.unpacked(masks.packed(occ, keys), keys)
 
 
 def first_seen_ids(occ: DataFrame, order: str) -> DataFrame:
@@ -201,7 +169,8 @@ def path_positions(graphs: DataFrame) -> DataFrame:
     reach, most = 1, state.agg(F.max("bonds")).first()[0] or 0
     while reach < most:
         to = state.select("graph_id", F.col("dart").alias("jump"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"))
-        state = materialise(state.join(to, ["graph_id", "jump"]).select("graph_id", "edge_ix", "dart", "bonds", F.col("_jump").alias("jump"), (F.col("steps") + F.col("_steps")).alias("steps"), "final"), "darts")
+        before, state = state, materialise(state.join(to, ["graph_id", "jump"]).select("graph_id", "edge_ix", "dart", "bonds", F.col("_jump").alias("jump"), (F.col("steps") + F.col("_steps")).alias("steps"), "final"), "darts")
+        forget(before)
         reach *= 2
     goal = state.where("final").select("graph_id", F.col("dart").alias("jump"))
     found = state.join(goal, ["graph_id", "jump"])

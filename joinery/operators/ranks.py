@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinery.functions.scalars import code_points
-from joinery.runtime import materialise
+from joinery.runtime import forget, materialise
 
 
 def _named(pairs: DataFrame, accept_reversed: bool) -> DataFrame:
@@ -98,7 +98,8 @@ def longest_duplicates(strings: DataFrame, accept_reversed: bool = False) -> Dat
     base, largest = None, 1
     for size, level in doubled(strings, accept_reversed):
         here = level.where("n > 1").select("id").distinct().withColumn("_now", F.lit(size))
-        sizes = materialise(sizes.join(here, "id", "left").select("id", F.coalesce("_now", "size").alias("size")), "sizes")
+        before, sizes = sizes, materialise(sizes.join(here, "id", "left").select("id", F.coalesce("_now", "size").alias("size")), "sizes")
+        forget(before)
         own = level.withColumn("size", F.lit(size))
         base, largest = own if base is None else base.unionByName(own), size
     best = sizes.withColumn("length", F.col("size"))

@@ -5,7 +5,7 @@ Strings come as (id, text), intervals as (id, offset, length) in scalars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,11 +89,37 @@ def interval_complement(wholes: DataFrame, intervals: DataFrame) -> DataFrame:
     return gaps.select("id", F.col("start").alias("offset"), (F.col("stop") - F.col("start")).alias("length"))
 
 
+def dyadic_cells(offset: Column, length: Column, levels: int) -> Column:
+    """The fewest cells [c 2^l, (c + 1) 2^l) that make up the positions offset to offset + length, that one included: level and cell, two a level at most."""
+    end = offset + length + 1
+
+    def of_level(level: Column) -> Column:
+        low = F.ceil(offset / F.pow(F.lit(2), level)).cast("long")
+        high = F.floor(end / F.pow(F.lit(2), level)).cast("long")
+        left = F.when((low < high) & (low % 2 == 1), low)
+        right = F.when((low < high) & (high % 2 == 1), high - 1)
+        return F.transform(F.filter(F.array(left, right), lambda c: c.isNotNull()), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level))
+
+
 def containing(parts: DataFrame, matches: DataFrame) -> DataFrame:
-    """Matches (id, offset, length) with the part that holds each; part columns are null where none does."""
-    p, m = parts.alias("p"), matches.alias("m")
-    inside = (F.col("p.id") == F.col("m.id")) & (F.col("p.offset") <= F.col("m.offset")) & (F.col("p.offset") + F.col("p.length") >= F.col("m.offset") + F.col("m.length"))
-    return m.join(p, inside, "left").select("m.id", "m.offset", "m.length", F.col("p.offset").alias("part_offset"), F.col("p.length").alias("part_length"))
+    """Matches (id, offset, length) with the part that holds each; part columns are null where none does.
+
+    A part is cut into dyadic cells, at most two of a size; a match's first position lies in one cell of each size, and in just one
+    of a part that holds it. So the join is on (id, level, cell): an id with many parts and matches is spread over its cells, and
+    candidates are only the parts that hold a match's first position. Offsets are not negative.
+    """
+    levels = (parts.agg(F.max("length")).first()[0] or 0) + 1
+    levels = int(levels).bit_length()
+    p = parts.select("id", F.col("offset").alias("part_offset"), F.col("length").alias("part_length"))
+    p = p.withColumn("_c", F.explode(dyadic_cells(F.col("part_offset"), F.col("part_length"), levels))).select("id", "part_offset", "part_length", "_c.level", "_c.cell")
+    m = matches.select("id", "offset", "length")
+    asked = m.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("cell", F.floor(F.col("offset") / F.pow(F.lit(2), F.col("level"))).cast("long"))
+    inside = F.col("part_offset") + F.col("part_length") >= F.col("offset") + F.col("length")
+    found = asked.join(p, ["id", "level", "cell"]).where(inside).select("id", "offset", "length", "part_offset", "part_length")
+    none = m.join(found, ["id", "offset", "length"], "left_anti")
+    return found.unionByName(none.withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in ("part_offset", "part_length")}))
 
 
 def next_occurrence(occ: DataFrame, asked: DataFrame) -> DataFrame:

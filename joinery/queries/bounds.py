@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from joinery.evaluation import stats
 from joinery.operators.grammar import repair_bounds
+from joinery.operators.graphs import path_strings
 from joinery.plans.options import GraphOptions, StringOptions
 from joinery.plans.solve import assembly_of_graphs, assembly_of_strings
 from joinery.queries.objects import NAMES_SQL, ORDERS_SQL, USERS_SQL, distinct_order_strings, names, path_graphs, user_strings
@@ -102,6 +103,12 @@ def _path_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solved.select(F.col("graph_id").alias("text"), F.col("assembly_index").alias("upper_bound"), "rule_count", "remaining_fragments")
 
 
+def _path_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in rounds over all paths' strings."""
+    strings = path_strings(path_graphs(spark, sf_dir)).select(F.col("graph_id").alias("id"), "text")
+    return repair_bounds(strings, True).withColumnRenamed("id", "text")
+
+
 def _repair_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far Re-Pair bounds are from exact indices, and how often they are better than trivial ones."""
     texts = distinct_order_strings(spark, sf_dir).select("text")
@@ -136,6 +143,7 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "graph_ring_index": (_rings, ring_sql(ORDERS_SQL)),
     "graph_repair_bounds": (_path_bounds, _apart(repair_sql(ORDERS_SQL, True))),
+    "graph_repair_paths": (_path_grammars, _apart(repair_sql(ORDERS_SQL, True))),
     "string_repair_bounds": (_grammars(_both, False), _apart(repair_sql(_BOTH_SQL, False))),
     "string_repair_bounds_reversed": (_grammars(_both, True), _apart(repair_sql(_BOTH_SQL, True))),
     "string_repair_searched": (_bounds(_both, False), _apart(repair_sql(_BOTH_SQL, False))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from joinery.kernels import graph_repair, graph_search
 from joinery.kernels.canon import Canonizer
 from joinery.kernels.graphs import Graph
-from joinery.operators import graphs as ops
+from joinery.operators import colours, graphs as ops
 from joinery.operators.frontier import assembly_frontier
 from joinery.plans.options import GraphOptions
 from joinery.plans.solve import assembly_of_graphs
@@ -172,6 +172,42 @@ SELECT DISTINCT graph_id, array_to_string(list_sort([x, y, z]), ',') AS mask FRO
 """
 
 
+def _refined(spark, sf_dir):
+    """Classes of atoms of the order graphs without hydrogens, and the rounds until they are stable."""
+    found = colours.refined(*_stripped(spark, sf_dir))
+    return found.select("graph_id", F.col("atom_ix").cast("bigint").alias("atom_ix"), F.col("class_atom").cast("bigint").alias("class_atom"), F.col("rounds").cast("bigint").alias("rounds"))
+
+
+_LISTS = f"""{_STRIPPED}, lists AS (SELECT k.graph_id, k.labels, coalesce(e.es, []) AS es FROM (SELECT graph_id, list(label ORDER BY atom_ix) AS labels FROM kept GROUP BY 1) k
+    LEFT JOIN (SELECT graph_id, list(struct_pack(s := src + 1, d := dst + 1, l := label)) AS es FROM kb GROUP BY 1) e USING (graph_id))"""
+REFINED_SQL = f"""
+WITH RECURSIVE {_LISTS}, r(graph_id, es, cols, rounds, more) AS (
+    SELECT graph_id, es, labels, 0, true FROM lists
+    UNION ALL
+    SELECT graph_id, es, CASE WHEN len(list_distinct(new)) > len(list_distinct(cols)) THEN new ELSE cols END, rounds + CASE WHEN len(list_distinct(new)) > len(list_distinct(cols)) THEN 1 ELSE 0 END, len(list_distinct(new)) > len(list_distinct(cols))
+    FROM (SELECT *, list_transform(range(1, len(cols) + 1), lambda i: md5(cols[i] || '|' || array_to_string(list_sort(list_transform(list_filter(es, lambda e: e.s = i OR e.d = i), lambda e: e.l || ':' || cols[e.s + e.d - i])), ','))) AS new FROM r WHERE more)
+), ended AS (SELECT * FROM r WHERE NOT more)
+SELECT graph_id, i - 1 AS atom_ix, list_position(cols, cols[i]) - 1 AS class_atom, CAST(rounds AS BIGINT) AS rounds FROM ended, unnest(range(1, len(cols) + 1)) t(i)
+"""
+
+
+def _peeled(spark, sf_dir):
+    """Layers of leaves of the order graphs without hydrogens."""
+    found = colours.peeled(*_stripped(spark, sf_dir))
+    return found.select("graph_id", F.col("atom_ix").cast("bigint").alias("atom_ix"), F.col("layer").cast("bigint").alias("layer"))
+
+
+PEELED_SQL = f"""
+WITH RECURSIVE {_LISTS}, r(graph_id, es, layers, layer, more) AS (
+    SELECT graph_id, es, list_transform(labels, lambda x: CAST(NULL AS BIGINT)), 0, true FROM lists
+    UNION ALL
+    SELECT graph_id, list_filter(es, lambda e: new[e.s] IS NULL AND new[e.d] IS NULL), new, layer + 1, len(list_filter(new, lambda x: x IS NOT NULL)) > len(list_filter(layers, lambda x: x IS NOT NULL))
+    FROM (SELECT *, list_transform(range(1, len(layers) + 1), lambda i: CASE WHEN layers[i] IS NULL AND len(list_filter(es, lambda e: e.s = i OR e.d = i)) <= 1 THEN layer + 1 ELSE layers[i] END) AS new FROM r WHERE more)
+), ended AS (SELECT * FROM r WHERE NOT more)
+SELECT graph_id, i - 1 AS atom_ix, layers[i] AS layer FROM ended, unnest(range(1, len(layers) + 1)) t(i)
+"""
+
+
 def _graph(row) -> Graph:
     return Graph.of(list(row["labels"]), [(e["src"], e["dst"], e["label"]) for e in row["edges"]])
 
@@ -275,6 +311,8 @@ QUERIES = {
     "graph_degrees": (_degrees, DEGREE_SQL),
     "graph_components": (_components, COMPONENTS_SQL),
     "graph_component_labels": (_labels, f"SELECT graph_id, components FROM ({COMPONENTS_SQL})"),
+    "graph_refined_classes": (_refined, REFINED_SQL),
+    "graph_peeled_layers": (_peeled, PEELED_SQL),
     "graph_incident_pairs": (_incident, INCIDENT_SQL),
     "graph_connected_subsets": (_subsets, SUBSETS_SQL),
     "graph_checks": (_checks, f"SELECT text, true AS replays, true AS not_below_exact, true AS pathway_replays, true AS renumbering_keeps_class FROM ({DISTINCT_SQL})"),

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from joinery.functions import scalars as fn
 from joinery.operators import graphs as graph_ops
+from joinery.operators import masks
 from joinery.operators import strings as string_ops
+from joinery.operators.selection import first_disjoint
 from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, distinct_order_strings, order_graph
 from joinery.runtime import table
 
@@ -143,6 +145,35 @@ def _class_unions(spark, sf_dir):
 CLASS_UNIONS_SQL = f"WITH {_OCC} SELECT graph_id, canon, array_to_string(list_sort(list_distinct(flatten(list(mask)))), ',') AS mask FROM occ GROUP BY 1, 2"
 
 
+def _words(spark, sf_dir):
+    """Parts of each customer's lines modulo 200 as packed sets: how many, the first, the first from 100 on."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 200).alias("member"))
+    owned = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_custkey", F.array("member").alias("mask"))
+    words = masks.packed(owned, ["o_custkey"])
+    first, later = masks.next_member(words, ["o_custkey"], 0), masks.next_member(words, ["o_custkey"], 100)
+    out = masks.sizes(words, ["o_custkey"]).join(first, "o_custkey").join(later.withColumnRenamed("next", "next_from_100"), "o_custkey", "left")
+    return out.select("o_custkey", "members", F.col("next").alias("first_member"), "next_from_100")
+
+
+WORDS_SQL = """SELECT o_custkey, count(DISTINCT l_partkey % 200) AS members, min(l_partkey % 200) AS first_member, min(l_partkey % 200) FILTER (l_partkey % 200 >= 100) AS next_from_100 FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"""
+
+
+def _overlaps(spark, sf_dir):
+    words = masks.packed(_occurrences(spark, sf_dir), ["graph_id", "canon", "ix"])
+    return masks.overlapping_pairs(words, ["graph_id", "canon"]).select("graph_id", "canon", F.col("left").alias("left_ix"), F.col("right").alias("right_ix"))
+
+
+def _selected(spark, sf_dir):
+    """Of each class of bond pairs of an order graph, the pairs a greedy choice takes, by their number, so that no bond is in two."""
+    occ = _occurrences(spark, sf_dir)
+    pairs = occ.select(F.struct("graph_id", "canon").alias("id"), F.col("ix").alias("rank"), F.col("mask").alias("members"))
+    return first_disjoint(pairs).select("id.graph_id", "id.canon", big(F.col("rank")).alias("ix"))
+
+
+SELECTED_SQL = f"""WITH {_OCC}, sorted AS (SELECT graph_id, canon, list_transform(list(mask ORDER BY ix), lambda m: [m]) AS pairs FROM occ GROUP BY 1, 2)
+SELECT graph_id, canon, p[1] * 100 + p[2] AS ix FROM (SELECT graph_id, canon, unnest(list_reduce(pairs, lambda a, x: CASE WHEN list_has_any(flatten(a), x[1]) THEN a ELSE list_concat(a, x) END)) AS p FROM sorted)"""
+
+
 def _first_seen(spark, sf_dir):
     return graph_ops.first_seen_ids(_occurrences(spark, sf_dir), "ix").select("graph_id", "canon", big(F.col("class_id")).alias("class_id"))
 
@@ -209,6 +240,9 @@ QUERIES = {
     "mask_operations": (_masks, MASKS_SQL),
     "class_disjoint_pairs": (_class_pairs, CLASS_PAIRS_SQL),
     "class_unions": (_class_unions, CLASS_UNIONS_SQL),
+    "mask_words": (_words, WORDS_SQL),
+    "class_overlapping_pairs": (_overlaps, CLASS_PAIRS_SQL.replace("AND NOT list_has_any", "AND list_has_any")),
+    "class_disjoint_selection": (_selected, SELECTED_SQL),
     "class_first_seen": (_first_seen, FIRST_SEEN_SQL),
     "state_dominance": (_dominance, DOMINANCE_SQL),
     "running_best": (_running, RUNNING_SQL),

@@ -47,7 +47,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df once as Parquet in the shared folder and read it back.
 
-    The files outlive any executor and are removed when the driver's JVM ends.
+    The files outlive any executor and are removed by forget(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/joinery/{name}-{uuid.uuid4().hex}"
@@ -55,7 +55,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove what materialise wrote for these frames, once nothing that is still to run reads them; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            there = context._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+            df._written_to = None
 
 
 def spread(df: DataFrame) -> DataFrame:
