@@ -10,7 +10,8 @@ from joinery.plans.options import StringOptions
 from joinery.plans.solve import assembly_of_strings
 from joinery.queries.objects import ORDERS_SQL, distinct_order_strings
 from joinery.queries.strings import _all_true, _checked, index_sql
-from joinery.runtime import table
+from joinery.runtime import materialise, table
+from joinery.sources import reports
 
 SAMPLES_SQL = """samples AS (SELECT event_type AS suite, CAST(user_id % 12 AS VARCHAR) AS "case", CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS role, CAST((event_id // 2) % 9 AS INTEGER) AS round,
     value + 1 AS wall_seconds, CAST(floor(value * 1000) AS BIGINT) + 1 AS clock_ticks, CAST(pow(2, event_id % 4) AS INTEGER) AS workers FROM events)"""
@@ -155,7 +156,65 @@ def ablation(text: str) -> dict:
     return {f"same_with_{b}": solve(text, bounds=(b,)).index == full for b in BOUNDS} | {"same_with_none": solve(text, bounds=()).index == full}
 
 
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, value: a report for each type of event; its cases are users modulo 12, samples the largest value of a round."""
+    rows = samples(spark, sf_dir).groupBy("suite", "case", "role", (F.col("round") + 1).alias("round")).agg(F.max("wall_seconds").alias("wall_seconds"), F.sum("clock_ticks").alias("clock_ticks"))
+    return reports.documents(rows.withColumn("workers", F.when(F.col("role") == "baseline", 1).otherwise(4))).select(F.concat(F.lit("plain "), "suite").alias("path"), "value")
+
+
+def _report_summary(spark, sf_dir):
+    """Summaries of what is read back from reports."""
+    read = reports.samples(reports.case_roles(reports.parsed(_reports(spark, sf_dir))))
+    by = stats.summary(read, ["suite", "case", "role", "workers"], "wall_seconds")
+    ticks = read.groupBy("suite", "case", "role").agg(F.sum("clock_ticks").alias("ticks"))
+    return _rounded(by.join(ticks, ["suite", "case", "role"]))
+
+
+_REPORTED = f"""{SAMPLES_SQL}, cells AS (SELECT suite, "case", role, round + 1 AS round, max(wall_seconds) AS wall_seconds, sum(clock_ticks) AS clock_ticks FROM samples GROUP BY ALL),
+counted AS (SELECT *, count(*) OVER (PARTITION BY suite, "case", role) AS n, row_number() OVER (PARTITION BY suite, "case", role ORDER BY round) AS place FROM cells),
+rated AS (SELECT *, max(n) OVER (PARTITION BY suite) AS runs FROM counted),
+good AS (SELECT * FROM rated QUALIFY bool_and(n = runs AND place = round) OVER (PARTITION BY suite, "case"))"""
+REPORT_SUMMARY_SQL = f"""
+WITH {_REPORTED}, m AS (SELECT *, quantile_cont(wall_seconds, 0.5) OVER (PARTITION BY suite, "case", role) AS med FROM good)
+SELECT suite, "case", role, CASE role WHEN 'baseline' THEN 1 ELSE 4 END AS workers, count(*) AS n, round(min(wall_seconds), 6) AS minimum, round(any_value(med), 6) AS median, round(avg(wall_seconds), 6) AS mean, round(quantile_cont(abs(wall_seconds - med), 0.5), 6) AS mad, round(quantile_cont(wall_seconds, 0.95), 6) AS p95, CAST(sum(clock_ticks) AS BIGINT) AS ticks
+FROM m GROUP BY suite, "case", role
+"""
+
+
+def _report_errors(spark, sf_dir):
+    """Reports with faults beside good ones: all faults are rows, and what is good is counted."""
+    plain = _reports(spark, sf_dir)
+    value = F.col("value")
+    faulty = {
+        "array": F.concat(F.lit("["), value, F.lit("]")),
+        "cut": F.left(value, F.floor(F.length(value) / 2).cast("int")),
+        "version": F.replace(value, F.lit('"schema_version":2,'), F.lit('"schema_version":2.0,')),
+        "wall": F.replace(value, F.lit('"wall_seconds":'), F.lit('"wall_seconds":-')),
+        "workers": F.replace(value, F.lit('"OMP_NUM_THREADS":"4"'), F.lit('"OMP_NUM_THREADS":"04"')),
+    }
+    files = plain
+    for name, broken in faulty.items():
+        files = files.unionByName(plain.select(F.replace("path", F.lit("plain"), F.lit(name)).alias("path"), broken.alias("value")))
+    files = materialise(files, "reports")
+    read = reports.parsed(files)
+    found = reports.errors(read, reports.case_roles(read))
+    return found.groupBy("path", "role", "error").agg(F.count("*").alias("n"))
+
+
+REPORT_ERRORS_SQL = f"""
+WITH {_REPORTED}, suites AS (SELECT DISTINCT suite FROM rated), roles AS (SELECT suite, "case", role, bool_and(n = runs) AS all_there, bool_and(place = round) AS in_order FROM rated GROUP BY 1, 2, 3),
+own AS (SELECT suite, "case", role, CASE WHEN NOT all_there THEN 'wrong number of samples' WHEN NOT in_order THEN 'invalid round order' END AS error FROM roles),
+found AS (
+    SELECT v || ' ' || suite AS path, NULL AS role, e AS error, 1 AS n FROM suites, (VALUES ('array', 'no object'), ('cut', 'no JSON document'), ('version', 'schema_version is not 2')) t(v, e)
+    UNION ALL SELECT 'plain ' || suite, role, error, 1 FROM own WHERE error IS NOT NULL
+    UNION ALL SELECT 'wall ' || suite, role, coalesce(error, 'invalid wall sample'), 1 FROM own
+    UNION ALL SELECT 'workers ' || suite, role, CASE WHEN error IS NULL AND role = 'candidate' THEN 'invalid number of workers' ELSE error END, 1 FROM own WHERE error IS NOT NULL OR role = 'candidate')
+SELECT path, role, error, CAST(sum(n) AS BIGINT) AS n FROM found GROUP BY 1, 2, 3
+"""
+
 QUERIES = {
+    "report_summary": (_report_summary, REPORT_SUMMARY_SQL),
+    "report_errors": (_report_errors, REPORT_ERRORS_SQL),
     "bound_ablation": (lambda s, d: _checked(s, d, ablation), _all_true(ablation)),
     "samples_summary": (_summary, SUMMARY_SQL),
     "samples_round_totals": (_totals, f"WITH {SAMPLES_SQL} SELECT suite, role, round, round(sum(wall_seconds), 6) AS total FROM samples GROUP BY 1, 2, 3"),
