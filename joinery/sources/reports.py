@@ -106,7 +106,7 @@ def samples(cases: DataFrame) -> DataFrame:
     A paired case in which one role is in error has none, since rounds are compared in pairs.
     """
     broken = cases.where("error IS NOT NULL").select("path", "case").distinct()
-    good = cases.join(broken, ["path", "case"], "left_anti")
+    good = cases.where("error IS NULL").join(broken, ["path", "case"], "left_anti")
     return good.select("path", "suite", "case", "role", F.explode("measurements").alias("s"), "workers").select("path", "suite", "case", "role", F.col("s.round").cast("int").alias("round"), "s.wall_seconds", "s.clock_ticks", F.col("workers").cast("int").alias("workers"))
 
 
