@@ -10,6 +10,9 @@ from joinery.functions.scalars import bond_class
 from joinery.operators import masks
 from joinery.runtime import forget, materialise
 
+#: Bonds of a vertex whose pairs are made under one key.
+HUB = 1_000
+
 
 def exploded(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """atoms and bonds of graphs (graph_id, labels, edges)."""
@@ -97,11 +100,18 @@ def component_counts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 
 
 def incident_pairs(bonds: DataFrame) -> DataFrame:
-    """graph_id, left_edge, right_edge: bonds that share a vertex, each pair once."""
+    """graph_id, left_edge, right_edge: bonds that share a vertex, each pair once.
+
+    A vertex of many bonds has a key for every HUB of them, and each of its bonds goes to all of these on the left and to one on
+    the right, so that its pairs are made in many tasks.
+    """
     ends = bonds.select("graph_id", "edge_ix", F.explode(F.array("src", "dst")).alias("vertex"))
-    a, b = ends.alias("a"), ends.alias("b")
-    same = (F.col("a.graph_id") == F.col("b.graph_id")) & (F.col("a.vertex") == F.col("b.vertex")) & (F.col("a.edge_ix") < F.col("b.edge_ix"))
-    return a.join(b, same).select("a.graph_id", F.col("a.edge_ix").alias("left_edge"), F.col("b.edge_ix").alias("right_edge")).distinct()
+    many = ends.groupBy("graph_id", "vertex").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    sized = ends.join(many, ["graph_id", "vertex"])
+    a = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("a")
+    b = sized.withColumn("part", F.pmod("edge_ix", "parts").cast("int")).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("graph_id", "vertex", "part")]
+    return a.join(b, [*same, F.col("a.edge_ix") < F.col("b.edge_ix")]).select("a.graph_id", F.col("a.edge_ix").alias("left_edge"), F.col("b.edge_ix").alias("right_edge")).distinct()
 
 
 def connected_subsets(bonds: DataFrame, size: int) -> DataFrame:

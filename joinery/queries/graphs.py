@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from joinery.plans.options import GraphOptions
 from joinery.plans.solve import assembly_of_graphs
 from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, ORDERS_SQL, distinct_order_strings, order_graph, path_graphs
 from joinery.queries.strings import index_sql
-from joinery.runtime import ship
+from joinery.runtime import scratch_dir, ship, until_exit
+from joinery.sources import molgraph
 from joinery.sources.files import parse_graphs
 
 
@@ -54,6 +57,16 @@ def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(parse_graphs(files))
 
 
+def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same paths written and read back by the data source."""
+    molgraph.register(spark)
+    folder = f"{scratch_dir(spark)}/joinery/graphs-{uuid.uuid4().hex}"
+    path_graphs(spark, sf_dir).select(F.col("graph_id").alias("name"), "labels", "edges").write.format("molgraph").mode("append").save(folder)
+    until_exit(spark, folder)
+    read = spark.read.format("molgraph").option("removeHydrogens", "false").load(folder)
+    return _shape(read.withColumn("text", F.regexp_extract("path", r"([^/]*)\.graph$", 1)))
+
+
 def _molfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same paths as V2000 molfiles."""
     rows = distinct_order_strings(spark, sf_dir)
@@ -302,6 +315,7 @@ QUERIES = {
     "graph_index_paths": (_paths, index_sql(ORDERS_SQL, True)),
     "graph_index_stars": (_stars, STARS_SQL),
     "graph_read_native": (_native, SHAPE_SQL),
+    "graph_source_files": (_source, SHAPE_SQL),
     "graph_read_molfile": (_molfile, SHAPE_SQL),
     "graph_without_hydrogens": (_bond_rows, f"WITH {_STRIPPED} SELECT graph_id, edge_ix, src, dst, label FROM kb"),
     "graph_edge_list": (_edge_rows, EDGES_SQL),

@@ -52,14 +52,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/joinery/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    until_exit(spark, path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_to = path
     return written
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have path removed when the driver's JVM ends."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove what materialise wrote for these frames, once nothing that is still to run reads them; other frames are left alone."""
     for df in frames:

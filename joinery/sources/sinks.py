@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,18 +69,47 @@ def incumbents(results: DataFrame, key: str) -> DataFrame:
     return results.select(key, F.posexplode("history").alias("step", "h")).select(key, "step", "h.cpu_ns", "h.index")
 
 
+def counters() -> dict[str, Column]:
+    """What metrics() and Phases count."""
+    return {
+        "objects": F.count("*"),
+        "succeeded": F.count_if("succeeded"),
+        "runtime_limited": F.count_if("runtime_limit_reached"),
+        "enumeration_limited": F.count_if("enumeration_limit_reached"),
+        "bounds_only": F.count_if("upper_bound_only"),
+        "states": F.sum("states"),
+        "most_states": F.max("states"),
+        "cpu_ns": F.sum("cpu_ns"),
+    }
+
+
 def metrics(results: DataFrame) -> DataFrame:
     """Counters over all objects: how many, proven, limited, failed, states, CPU."""
-    return results.agg(
-        F.count("*").alias("objects"),
-        F.count_if("succeeded").alias("succeeded"),
-        F.count_if("runtime_limit_reached").alias("runtime_limited"),
-        F.count_if("enumeration_limit_reached").alias("enumeration_limited"),
-        F.count_if("upper_bound_only").alias("bounds_only"),
-        F.sum("states").alias("states"),
-        F.max("states").alias("most_states"),
-        F.sum("cpu_ns").alias("cpu_ns"),
-    )
+    return results.agg(*[c.alias(n) for n, c in counters().items()])
+
+
+class Phases:
+    """Counters of phases taken while they run: each phase's rows are observed on their way to its own sink, so nothing runs twice.
+
+        phases = Phases()
+        phases.watch(results, "search").write.parquet(path)
+        phases.rows(spark)
+    """
+
+    def __init__(self) -> None:
+        self.observed: dict[str, Observation] = {}
+
+    def watch(self, results: DataFrame, phase: str, aggregates: dict[str, Column] | None = None) -> DataFrame:
+        """results, observed: the metrics() of result rows, or the given aggregates of any other rows."""
+        if phase in self.observed:
+            raise OutputError(f"phase {phase} is given twice")
+        self.observed[phase] = Observation(phase)
+        return results.observe(self.observed[phase], *[c.alias(n) for n, c in (aggregates or counters()).items()])
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """phase, counter, value of phases whose rows were written; waits for those that still run."""
+        found = [(phase, name, None if value is None else int(value)) for phase, seen in self.observed.items() for name, value in seen.get.items()]
+        return spark.createDataFrame(found, "phase string, counter string, value long")
 
 
 def peak_memory_kb() -> int:

@@ -211,3 +211,26 @@ def test_packed_words(spark):
     assert {tuple(r) for r in masks.overlapping_pairs(words, ["k"]).collect()} == pairs
     union = {r["k"]: r["mask"] for r in masks.unpacked(masks.united(words, ["k"]), ["k"]).collect()}
     assert union == {k: sorted({x for (h, _), m in some.items() if h == k for x in m}) for k in range(4)}
+
+
+def test_hubs_have_all_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ops, "HUB", 4)
+    bonds = [(0, k, 0, k + 1, 1) for k in range(30)] + [(0, 30, 1, 2, 1), (1, 0, 0, 1, 1)]
+    got = ops.incident_pairs(spark.createDataFrame(bonds, "graph_id int, edge_ix int, src int, dst int, label int")).collect()
+    want = {(g, i, j) for g, i, a, b, _ in bonds for h, j, c, d, _ in bonds if g == h and i < j and {a, b} & {c, d}}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_phases_are_counted_while_they_run(spark, tmp_path):
+    from joinery.plans.solve import assembly_of_strings
+    from joinery.sources import sinks
+
+    solved = assembly_of_strings(spark.createDataFrame([("abab",), ("abc",), (None,)], "text string"), "text")
+    phases = sinks.Phases()
+    phases.watch(solved, "search").write.parquet(f"{tmp_path}/out")
+    phases.watch(spark.read.parquet(f"{tmp_path}/out"), "report", {"rows": F.count("*"), "longest": F.max(F.length("text"))}).write.format("noop").mode("overwrite").save()
+    got = {(r["phase"], r["counter"]): r["value"] for r in phases.rows(spark).collect()}
+    assert got["search", "objects"] == 3 and got["search", "succeeded"] == 2 and got["report", "rows"] == 3 and got["report", "longest"] == 4
+    assert {k: v for (p, k), v in got.items() if p == "search"} == sinks.metrics(spark.read.parquet(f"{tmp_path}/out")).first().asDict()
+    with pytest.raises(sinks.OutputError):
+        phases.watch(solved, "search")
