@@ -283,22 +283,44 @@ def _let(value: Column, use) -> Column:
 _HIT = "struct<label string, priority int, weight double, number int, at int, stop int>"
 
 
+def _swept(items: Column, zero: Column, step, emit, out: str) -> Column:
+    """An array `out` of what emit(state, x) gives for each x, an array each; state is what step(state, x) made of zero and all x before.
+
+    In runs of about the root of the number of items, so that no array is copied more often than that: states of equal runs are merged
+    by step as well, so step(state, x) must take a state for x. Work is n^1.5 small steps and not n^2.
+    """
+    size = F.ceil(F.sqrt(F.size(items))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda k: F.slice(items, k * size + 1, size))
+
+    def over(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, zero, step))
+        none = F.struct(zero.alias("s"), F.array().cast(f"array<{out}>").alias("o"))
+        before = F.aggregate(totals, F.struct(zero.alias("s"), F.array(zero).alias("o")), lambda st, t: _let(step(st["s"], t), lambda now: F.struct(now.alias("s"), F.concat(st["o"], F.array(now)).alias("o"))))["o"]
+
+        def one(run: Column, start: Column) -> Column:
+            first = F.struct(start.alias("s"), none["o"].alias("o"))
+            return F.aggregate(run, first, lambda st, x: F.struct(step(st["s"], x).alias("s"), F.concat(st["o"], emit(st["s"], x)).alias("o")))["o"]
+
+        return _let(before, lambda starts: F.flatten(F.transform(runs, lambda run, k: one(run, F.get(starts, k)))))
+
+    return F.when(F.size(items) > 0, _let(runs, over)).otherwise(F.array().cast(f"array<{out}>"))
+
+
 def _spans(line: Column, rule: Column) -> Column:
     """The matches of a rule as an array of _HIT, with places in the line."""
 
     def located(found: Column) -> Column:
-        def walk(pieces: Column) -> Column:
-            start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(f"array<{_HIT}>").alias("out"))
-
-            def step(state: Column, match: Column) -> Column:
-                at = state["at"] + F.length(F.get(pieces, state["i"]))
-                stop = at + F.length(match)
-                hit = F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"), rule["number"].alias("number"), at.alias("at"), stop.alias("stop"))
-                return F.struct((state["i"] + 1).alias("i"), stop.alias("at"), F.concat(state["out"], F.array(hit)).alias("out"))
+        pieces = F.split(line, rule["pattern"])
+        # each match with the text before it: `gap` and `size` symbols
+        steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size")))
+        zero = F.struct(F.lit(0).alias("gap"), F.lit(0).alias("size"))
+        total = lambda st, x: F.struct((st["gap"] + x["gap"]).alias("gap"), (st["size"] + x["size"]).alias("size"))
 
-            return F.aggregate(found, start, step)["out"]
+        def hit(st: Column, x: Column) -> Column:
+            at = st["gap"] + st["size"] + x["gap"]
+            return F.array(F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"), rule["number"].alias("number"), at.alias("at"), (at + x["size"]).alias("stop")))
 
-        return F.when(F.size(found) == 0, F.array().cast(f"array<{_HIT}>")).otherwise(_let(F.split(line, rule["pattern"]), walk))
+        return F.when(F.size(found) == 0, F.array().cast(f"array<{_HIT}>")).otherwise(_let(steps, lambda items: _swept(items, zero, total, hit, _HIT)))
 
     return _let(F.regexp_extract_all(line, rule["pattern"], F.lit(0)), located)
 
@@ -310,14 +332,27 @@ def detections(line: Column) -> Column:
 
 
 def remaining(found: Column) -> Column:
-    """The detections that no other one suppresses."""
-
-    def beats(a: Column, b: Column) -> Column:
-        longer = (a["stop"] - a["at"]) - (b["stop"] - b["at"])
-        better = (a["priority"] > b["priority"]) | ((a["priority"] == b["priority"]) & ((longer > 0) | ((longer == 0) & (a["number"] < b["number"]))))
-        return (a["at"] <= b["at"]) & (a["stop"] >= b["stop"]) & better
-
-    return _let(found, lambda all_: F.filter(all_, lambda b: ~F.exists(all_, lambda a: beats(a, b))))
+    """The detections that no other one suppresses, by place.
+
+    Sorted by start, then longest, highest priority and earliest rule first, what suppresses a detection comes before it, has at
+    least its priority and ends no earlier. So one sweep with the furthest stop so far of each priority or higher ones decides.
+    """
+    levels = sorted({r["priority"] for r in rules()})
+    reach = lambda of: F.struct(*[of(p).alias(f"p{p}") for p in levels])
+    item = lambda d: F.struct(d["at"].alias("at"), (-d["stop"]).alias("back"), (-d["priority"]).alias("low"), d["number"].alias("number"), reach(lambda p: F.when(d["priority"] >= p, d["stop"]).otherwise(-1)).alias("reach"), d.alias("d"))
+    items = F.array_sort(F.transform(found, item))
+    further = lambda st, x: reach(lambda p: F.greatest(st[f"p{p}"], x[f"p{p}"]))
+    # a state for each detection, or a run's
+    zero = F.struct(reach(lambda p: F.lit(-1)).alias("reach"))
+    step = lambda st, x: F.struct(further(st["reach"], x["reach"]).alias("reach"))
+
+    def kept(st: Column, x: Column) -> Column:
+        held = F.lit(False)
+        for p in levels:
+            held = held | ((x["low"] == -p) & (st["reach"][f"p{p}"] >= x["d"]["stop"]))
+        return F.when(held, F.array().cast(f"array<{_HIT}>")).otherwise(F.array(x["d"]))
+
+    return _let(items, lambda all_: _swept(all_, zero, step, kept, _HIT))
 
 
 def scanned(docs: DataFrame) -> DataFrame:

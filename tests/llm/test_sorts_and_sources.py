@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from joinery.llm import contentsort, divergence, queries, resampling
+from joinery.llm import contentsort, divergence, licenses, queries, resampling
 
 NAMES = ["op11_content_sort", "op12_divergence", "op13_resampling"]
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -163,3 +163,16 @@ def test_content_sort_has_no_python(spark, edge_docs, saved):
     assert "Python" not in plan and "MapInArrow" not in plan and "rangepartitioning" in plan
     # of the sampled texts' counts only: runs and their sizes are found in the ranges as they are
     assert plan.count("hashpartitioning") == 1
+
+
+def test_long_license_dumps(spark):
+    from test_methods import scan_by_force
+
+    rng = random.Random(6)
+    parts = ["Released under the MIT License", "Apache License, Version 2.0", "CC BY-NC-SA 4.0", "GNU GPL v3", "all rights reserved", "SPDX-License-Identifier: BSD-3-Clause", "licensed under the terms of the GNU Lesser General Public License version 2.1", "word"]
+    long = ". ".join(rng.choices(parts, k=3000))
+    docs = spark.createDataFrame([(0, long), (1, long * 8), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: sorted((d["at"], d["stop"], d["label"]) for d in r["detections"]) for r in licenses.scanned(docs).collect()}
+    want = scan_by_force(long)
+    assert len(want) > 2000 and got[0] == want and got[2] == []
+    assert len(long) * 8 > 800_000 and 8 * len(want) - 8 <= len(got[1]) <= 8 * len(want) + 8
