@@ -54,6 +54,9 @@ BROADCAST_DROPPED = 1 << 19
 EXACT_RUN = 2048
 #: Wide fingerprints that differ in up to the mean and this many standard deviations are candidates, decided by the shingles.
 CANDIDATE_SD = 3.5
+#: Those of up to the mean and so many are linked without a look at the sets, so that a group of thousands of copies is not compared pair by
+#: pair: texts below the wanted similarity are hardly ever so near.
+LINKED_SD = -2.0
 #: Distinct texts and shingles of a block of candidates, at most about; each two blocks of a group of candidates meet in one task.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Candidates that are broadcast to find their texts; more are joined by key.
@@ -525,7 +528,7 @@ def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int =
 
     The latter are decided by the sets. Candidates share one of BANDS keys and have wide fingerprints of up to CANDIDATE_SD
     differing bits. First only keys travel; wide fingerprints follow for those keys that two texts share. estimate:
-    fingerprints of up to most_differing() bits are linked without a look at the sets.
+    fingerprints of LINKED_SD are linked without a look at the sets.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text")).withColumn("hash", F.xxhash64("_text"))
@@ -541,7 +544,7 @@ def similar_groups(docs: DataFrame, width: int = 3, radius: int = 2, wide: int =
     met = cut.withColumn("b", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     meeting = met.select("id", F.when(F.col("pieces") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("b", "k"), F.greatest("b", "k"))).alias("run"))
     rows = meeting.join(placed.select("id", "wide", F.col("of").alias("node")), "id").select("run", "wide", "node")
-    pairs = rows.repartition("run").sortWithinPartitions("run").mapInArrow(_near(most_differing(similarity), most_differing(similarity, CANDIDATE_SD)), "u long, v long, near boolean")
+    pairs = rows.repartition("run").sortWithinPartitions("run").mapInArrow(_near(most_differing(similarity, LINKED_SD), most_differing(similarity, CANDIDATE_SD)), "u long, v long, near boolean")
     same = placed.join(nodes, "wide").where("of <> node").select(F.col("of").alias("u"), F.col("node").alias("v"), F.lit(True).alias("near"))
     found = materialise(pairs.unionByName(same).where("u <> v").distinct(), "found")
     roots = materialise(components(found.where(F.col("near") & F.lit(estimate)).select("u", "v")), "roots")
