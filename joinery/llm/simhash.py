@@ -59,6 +59,8 @@ CANDIDATE_SD = 3.5
 LINKED_SD = -2.0
 #: Distinct texts and shingles of a block of candidates, at most about; each two blocks of a group of candidates meet in one task.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Texts whose sets are made together.
+SET_ROWS = 500
 #: Candidates that are broadcast to find their texts; more are joined by key.
 BROADCAST_ROWS = 1 << 16
 #: Pairs of rows whose bits are compared at a time.
@@ -466,7 +468,7 @@ def _similar(similarity: float):
 
 def _sets(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SET_ROWS) for b in batches for at in range(0, b.num_rows, SET_ROWS)):
             sets = pa.array([shingle_set(t, width).tobytes() for t in batch.column("_text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("group"), batch.column("hash"), batch.column("blocks"), sets], ["cell", "group", "hash", "blocks", "shingles"])
 
