@@ -11,6 +11,7 @@ from joinery.operators.graphs import path_strings
 from joinery.plans.options import GraphOptions, StringOptions
 from joinery.plans.solve import assembly_of_graphs, assembly_of_strings
 from joinery.queries.objects import NAMES_SQL, ORDERS_SQL, USERS_SQL, distinct_order_strings, names, path_graphs, user_strings
+from joinery.runtime import table
 
 
 def repair_sql(source: str, reverse: bool) -> str:
@@ -140,7 +141,22 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_strings(spark, sf_dir).select("text")
 
 
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-Pair bounds of whole user strings and benchmark texts (too long for exact search)."""
+    texts = user_strings(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
+    return assembly_of_strings(texts, "text", StringOptions(algorithm="repair")).select("text", "assembly_index", "trivial_bound", "rule_count", "remaining_fragments", "upper_bound_only")
+
+
+def long_sql(source: str) -> str:
+    """Re-Pair rows of each text of source, with what string_repair_long shows of them."""
+    return f"""
+WITH texts AS ({source}), r AS ({_apart(repair_sql(source, False))})
+SELECT text, upper_bound AS assembly_index, CAST(length(text) - 1 AS INTEGER) AS trivial_bound, rule_count, remaining_fragments, true AS upper_bound_only FROM texts JOIN r USING (text)
+"""
+
+
 QUERIES = {
+    "string_repair_long": (_long, long_sql(f"SELECT text FROM ({USERS_SQL}) UNION ALL SELECT text FROM benchmark")),
     "graph_ring_index": (_rings, ring_sql(ORDERS_SQL)),
     "graph_repair_bounds": (_path_bounds, _apart(repair_sql(ORDERS_SQL, True))),
     "graph_repair_paths": (_path_grammars, _apart(repair_sql(ORDERS_SQL, True))),

@@ -271,12 +271,6 @@ FROM (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN string_split(text,
 """
 
 
-def _repair_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Re-Pair bounds of whole user strings and benchmark texts (too long for exact search)."""
-    texts = user_strings(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
-    return assembly_of_strings(texts, "text", StringOptions(algorithm="repair")).select("text", "assembly_index", "trivial_bound", "rule_count", "remaining_fragments", "upper_bound_only")
-
-
 def _leftmost(spark, sf_dir):
     at = order_strings(spark, sf_dir).select("id", F.posexplode(F.split("text", "")).alias("pos", "symbol"))
     return ops.leftmost_apart(at.select(F.concat_ws(" ", "id", "symbol").alias("id"), "pos"))
@@ -332,7 +326,6 @@ QUERIES = {
     "string_repair_checks": (lambda s, d: _checked(s, d, check_repair), _all_true(check_repair)),
     "string_pathway_checks": (lambda s, d: _checked(s, d, check_pathway), _all_true(check_pathway)),
     "string_first_digram": (_first_digram, DIGRAM_SQL),
-    "string_repair_long": (_repair_bounds, None),
     "string_records": (_records, RECORDS_SQL),
     "string_leftmost": (_leftmost, LEFTMOST_SQL),
 }
