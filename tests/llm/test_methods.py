@@ -335,6 +335,29 @@ def test_pivot_search_is_exact():
             assert looked < 0.6 * len(queries) * len(ids)
 
 
+def test_pivot_cells_eliminate_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-300, 300, (12, 16))
+    near = (centres[np.r_[np.zeros(800, int), rng.integers(0, 12, 1600)]] + rng.integers(-9, 10, (2400, 16))).astype(int)
+    rows = [(i, v.tolist()) for i, v in enumerate(near)] + [(7, near[7].tolist())] * 2 + [(40, near[40].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(pivots, "BLOCK_QUERIES", 10)
+    asked = []
+    monkeypatch.setattr(pivots, "_searched", lambda r, q, g, f, real=pivots._searched: asked.append((r.select("b").distinct().count(), q.count())) or real(r, q, g, f))
+    got = sorted(map(tuple, pivots.top_k(vectors, vectors.where("vec_id % 20 = 0"), 5).collect()))
+    matrix = np.array([v for _, v in rows])
+    want = []
+    for i, q in rows:
+        if i % 20 == 0:
+            score = matrix @ np.array(q)
+            best = sorted((-int(s), j) for s, (j, _) in zip(score, rows, strict=True) if j != i)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    (blocks, queries), (_, met) = asked
+    assert queries == 120 and met < 0.5 * queries * (blocks - 1)
+
+
 def scan_by_force(text):
     line = " " + " ".join(re.findall(licenses.WORD, text.translate(str.maketrans(licenses._UPPER, licenses._LOWER)))) + " "
     found = [(r["priority"], m.end() - m.start(), -r["number"], m.start(), m.end(), r["label"]) for r in licenses.rules() for m in re.finditer(f"(?<= )(?:{r['pattern']})(?= )", line)]
