@@ -9,8 +9,10 @@ that sum's share.
 
 The model is fitted on the driver on a bounded sample: the ROWS labelled documents of each language that come first by a
 hash of doc_id and text; of a text over ROW_CHARS characters it is fitted on a window of that length, placed by that hash.
-Every language of the labelled rows is learned. Prediction reads whole texts; texts of many words go through
-forward-backward in blocks, so that a task's memory does not grow with the length of a text.
+All languages share DRIVER_CHARS characters: with more than 4 of them the windows are shorter. Every language of the
+labelled rows is learned; each step of the fit changes the weights of the features in its batch only. Prediction reads
+whole texts; texts of many words go through forward-backward in blocks, so that a task's memory does not grow with the
+length of a text.
 
 Defined results: letters are Unicode's categories L*; `und` with score 0 for null texts, texts without letters, and if
 there are no labelled rows at all; ties go to the language first in the alphabet; repeated rows are judged one by one.
@@ -31,14 +33,16 @@ from pyspark.sql.window import Window
 
 from joinery.llm.rows import added, map_texts, packed, unpacked
 
-ROWS, ROW_CHARS = 300, 50_000
-#: Feature weights, training sequences, runs in a sequence, words in a run.
-SPACE, SEQUENCES, RUNS, RUN_WORDS = 1 << 16, 2400, 4, (4, 40)
+ROWS, ROW_CHARS, DRIVER_CHARS = 300, 50_000, 60_000_000
+#: Feature weights, training sequences (in all, and at least for each language), runs in a sequence, words in a run.
+SPACE, SEQUENCES, OF_EACH, RUNS, RUN_WORDS = 1 << 16, 2400, 24, 4, (4, 40)
 LEXICON = 1500
 EPOCHS, BATCH, RATE, DECAY = 3, 48, 0.25, 1e-6
 SEED = 20240229
-#: Distinct words whose scores a worker remembers; when full, it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Distinct words whose scores a worker remembers, and these words times languages; when full, it forgets all and starts anew.
+REMEMBERED, REMEMBERED_SCORES = 400_000, 1 << 23
+#: Words times languages whose features' weights are summed up together.
+SUMMED = 1 << 18
 #: Words times languages that go through forward-backward together, about; longer texts go by themselves, in blocks of so many.
 TOGETHER = 1 << 22
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -72,10 +76,13 @@ class Model:
         self.move, self.start = np.zeros((n, n), np.float32), np.zeros(n, np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        found = [features(w, self.lexicon) for w in words]
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        starts = np.cumsum([0, *map(len, found[:-1])])
-        return np.add.reduceat(self.weight[flat], starts, axis=0) if len(words) else np.zeros((0, len(self.labels)), np.float32)
+        out = np.zeros((len(words), len(self.labels)), np.float32)
+        step = max(1, SUMMED // len(self.labels))
+        for at in range(0, len(words), step):
+            found = [features(w, self.lexicon) for w in words[at : at + step]]
+            flat = np.fromiter(chain.from_iterable(found), np.int64)
+            np.add.reduceat(self.weight[flat], np.cumsum([0, *map(len, found[:-1])]), axis=0, out=out[at : at + step])
+        return out
 
 
 def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -108,8 +115,9 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np
     inner = np.ones(total, bool)
     inner[np.cumsum(lengths) - 1] = False
     left = np.flatnonzero(inner)
-    joint = (before[left] * emit[left])[:, :, None] * move * (emit[left + 1] * after[left + 1])[:, None, :]
-    return each, (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    one, two = before[left] * emit[left], emit[left + 1] * after[left + 1]
+    # a pair's table is one x two times move; only its total is needed by itself, the tables' sum is one product
+    return each, move * ((one / ((one @ move) * two).sum(axis=1, keepdims=True)).T @ two)
 
 
 def long_shares(emit: Callable[[slice], np.ndarray], total: int, move: np.ndarray, start: np.ndarray, block: int) -> np.ndarray:
@@ -140,6 +148,14 @@ def long_shares(emit: Callable[[slice], np.ndarray], total: int, move: np.ndarra
     return out
 
 
+def _summed(keys: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in order, and for each the sum of its rows (which: the row of each key, else one row a key)."""
+    order = np.argsort(keys, kind="stable")
+    distinct, heads = np.unique(keys[order], return_index=True)
+    across = np.ascontiguousarray(rows.T)  # sums run along memory
+    return distinct, np.add.reduceat(across.take(order if which is None else which[order], axis=1), heads, axis=1).T
+
+
 def fit(samples: list[tuple[str, str]]) -> Model:
     """samples: (text, language)."""
     by: dict[str, list[list[str]]] = {}
@@ -159,7 +175,7 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     random = np.random.default_rng(SEED)
     number: dict[str, int] = {}
     sequences = []
-    for _ in range(SEQUENCES):
+    for _ in range(max(SEQUENCES, OF_EACH * len(labels))):
         ids, tags = [], []
         for _ in range(random.integers(1, RUNS + 1)):
             tag = int(random.integers(len(labels)))
@@ -179,8 +195,8 @@ def fit(samples: list[tuple[str, str]]) -> Model:
             ids, tags = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
             lengths = np.array([len(p[0]) for p in part])
             own, place = np.unique(ids, return_inverse=True)
-            flat, starts = np.concatenate([found[i] for i in own]), np.cumsum([0, *(len(found[i]) for i in own[:-1])])
-            score = np.add.reduceat(model.weight[flat], starts, axis=0)[place].astype(float)
+            flat, sizes = np.concatenate([found[i] for i in own]), np.array([len(found[i]) for i in own])
+            score = np.add.reduceat(model.weight[flat], np.cumsum(sizes) - sizes, axis=0)[place].astype(float)
             emit = np.exp(score - score.max(axis=1, keepdims=True))
             each, moved = marginals(emit, lengths, np.exp(model.move.astype(float)), np.exp(model.start.astype(float)), pairs=True)
             heads = np.cumsum(lengths) - lengths
@@ -189,17 +205,17 @@ def fit(samples: list[tuple[str, str]]) -> Model:
             left = np.flatnonzero(inner)
             off = -each
             off[np.arange(len(tags)), tags] += 1
-            by_word = np.zeros((len(own), len(labels)))
-            np.add.at(by_word, place, off)
-            slope = np.zeros_like(model.weight)
-            np.add.at(slope, flat, np.repeat(by_word, [len(found[i]) for i in own], axis=0))
+            _, by_word = _summed(place, off.astype(np.float32))
+            touched, slope = _summed(flat, by_word, np.repeat(np.arange(len(own)), sizes))
             step = -moved
             np.add.at(step, (tags[left], tags[left + 1]), 1)
             begin = off[heads].sum(axis=0)
-            for mine, total, change in zip((model.weight, model.move, model.start), grown, (slope, step, begin), strict=True):
-                change = change / len(part) - DECAY * mine
-                total += change**2
-                mine += (RATE * change / np.sqrt(total)).astype(np.float32)
+            for mine, total, rows, change in zip((model.weight, model.move, model.start), grown, (touched, ..., ...), (slope, step, begin), strict=True):
+                was = mine[rows]
+                change = (change / len(part)).astype(np.float32) - np.float32(DECAY) * was
+                squares = total[rows] + change**2
+                total[rows] = squares
+                mine[rows] = was + np.float32(RATE) * change / np.sqrt(squares)
     return model
 
 
@@ -213,7 +229,7 @@ class Labeller:
         self.emit = np.zeros((0, len(model.labels)), np.float32)
 
     def _ids(self, texts: list) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > min(REMEMBERED, REMEMBERED_SCORES // len(self.start)):
             self.number.clear()
             self.emit = self.emit[:0]
         number, have = self.number, len(self.emit)
@@ -285,8 +301,9 @@ def train(docs: DataFrame) -> Model:
     wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(range_, 2 * ROWS * range_ // r["n"]))])
     hashed = mine.withColumn("_at", F.xxhash64(F.lit(SEED), "doc_id", "text"))
     drawn = hashed.where(F.pmod("_at", F.lit(range_)) < F.element_at(wanted, F.col("lang")))
-    place = F.pmod(F.shiftright("_at", 20), F.greatest(F.length("text") - ROW_CHARS + 1, F.lit(1))) + 1
-    short = drawn.select(F.col("text").substr(place.cast("int"), F.lit(ROW_CHARS)).alias("text"), "lang", F.pmod("_at", F.lit(range_)).alias("_rank"), "_at")
+    chars = max(1, min(ROW_CHARS, DRIVER_CHARS // (ROWS * len(counts))))
+    place = F.pmod(F.shiftright("_at", 20), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    short = drawn.select(F.col("text").substr(place.cast("int"), F.lit(chars)).alias("text"), "lang", F.pmod("_at", F.lit(range_)).alias("_rank"), "_at")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_rank", "_at", "text"))
     rows = short.withColumn("_n", rank).where(F.col("_n") <= ROWS).select("text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in rows])
