@@ -1,19 +1,29 @@
-"""Duplicate substrings of texts of any length by prefix doubling; no Python in the plans.
+"""Duplicate substrings of texts of any length by prefix doubling.
 
 The class of a substring of 2^(k+1) symbols is the pair of classes of its halves, named anew by the least place of the pair, so
 no substring is ever spelled out. Only places whose class recurs go on to the next size, and the rounds end when none
-does. Rows are dealt by (id, place) and (id, class), so a long text is spread over all tasks.
+does. `duplicate_classes` doubles texts of up to IN_ROW symbols where their rows are, so that no place is shuffled or written. Longer
+ones go in rounds over the table without Python: rows are dealt by (id, place) and (id, class), so a long text is spread over all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joinery.functions.scalars import code_points
-from joinery.runtime import forget, materialise
+from joinery.kernels.repeats import recurring
+from joinery.runtime import forget, materialise, ship, spread
+
+#: Symbols of a text that is doubled in its row (about 200 bytes each while it is worked on).
+IN_ROW = 1 << 20
+#: Classes of a batch that a task gives on.
+GIVEN = 200_000
 
 
 def _named(pairs: DataFrame, accept_reversed: bool) -> DataFrame:
@@ -77,14 +87,43 @@ def summary(level: DataFrame, length: int) -> DataFrame:
     return out.select("id", F.lit(length).alias("length"), "class", "n", "first", "last", (F.col("last") - F.col("first") >= length).alias("valid"))
 
 
+def _in_rows(strings: DataFrame, accept_reversed: bool) -> DataFrame:
+    """summary() of all sizes, from each text's own row."""
+    ship(strings.sparkSession)
+    schema = T.StructType([strings.schema["id"], *T.StructType.fromDDL("length int, class long, n long, first long, last long, valid boolean").fields])
+    names = schema.fieldNames()
+
+    def given(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        at, size, n, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+        columns = [ids.take(pa.array(at)), pa.array(size), pa.array(2 * first), pa.array(n), pa.array(first), pa.array(last), pa.array(last - first >= size)]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, rows = batch.column("id"), [], 0
+            for i, text in enumerate(batch.column("text")):
+                for size, n, first, last in recurring(text.as_py(), accept_reversed):
+                    found.append((np.full(len(n), i), np.full(len(n), size, np.int32), n, first, last))
+                    rows += len(n)
+                if rows >= GIVEN:
+                    yield given(ids, found)
+                    found, rows = [], 0
+            if found:
+                yield given(ids, found)
+
+    return spread(strings.select("id", "text")).mapInArrow(run, schema)
+
+
 def duplicate_classes(strings: DataFrame, accept_reversed: bool = False) -> DataFrame:
     """summary() of all sizes 2, 4, 8, ... at which a text of the table has duplicates."""
-    out = None
-    for size, level in doubled(strings, accept_reversed):
-        now = summary(level, size)
-        out = now if out is None else out.unionByName(now)
-    if out is None:
-        return strings.select("id", F.lit(0).alias("length"), *[F.lit(0).cast("long").alias(c) for c in ("class", "n", "first", "last")], F.lit(False).alias("valid")).limit(0)
+    n = F.length("text")
+    out, before = _in_rows(strings.where(n <= IN_ROW), accept_reversed), None
+    for size, level in doubled(strings.where(n > IN_ROW), accept_reversed):
+        if before is not None:
+            forget(before)
+        out, before = out.unionByName(materialise(summary(level, size), "classes")), level
+    if before is not None:
+        forget(before)
     return out
 
 
