@@ -81,12 +81,16 @@ def covered_length(intervals: DataFrame) -> DataFrame:
 
 
 def interval_complement(wholes: DataFrame, intervals: DataFrame) -> DataFrame:
-    """id, offset, length: what `intervals` leave of the wholes (id, length), which start at 0."""
-    walls = intervals.select("id", "offset", "length").unionByName(wholes.select("id", F.lit(0).alias("offset"), F.lit(0).alias("length")))
-    merged = interval_union(walls.unionByName(wholes.select("id", F.col("length").alias("offset"), F.lit(0).alias("length"))))
-    nxt = F.lead("offset").over(Window.partitionBy("id").orderBy("offset"))
-    gaps = merged.select("id", (F.col("offset") + F.col("length")).alias("start"), nxt.alias("stop")).where("stop > start")
-    return gaps.select("id", F.col("start").alias("offset"), (F.col("stop") - F.col("start")).alias("length"))
+    """id, offset, length: what `intervals` leave of the wholes (id, length), which start at 0.
+
+    A gap is where an interval begins after all before it have ended, so one sort by id and offset finds all.
+    """
+    wall = lambda at: F.struct(at.cast("int").alias("offset"), F.lit(0).alias("length"))
+    ends = wholes.select("id", F.explode(F.array(wall(F.lit(0)), wall(F.col("length")))).alias("e")).select("id", "e.offset", "e.length")
+    before = Window.partitionBy("id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    walls = intervals.select("id", "offset", "length").unionByName(ends)
+    reached = walls.select("id", "offset", F.max(F.col("offset") + F.col("length")).over(before).alias("_reached"))
+    return reached.where(F.col("offset") > F.col("_reached")).select("id", F.col("_reached").alias("offset"), (F.col("offset") - F.col("_reached")).alias("length"))
 
 
 def dyadic_cells(offset: Column, length: Column, levels: int) -> Column:
