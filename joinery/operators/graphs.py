@@ -10,7 +10,7 @@ from joinery.functions.scalars import bond_class
 from joinery.operators import masks
 from joinery.runtime import forget, materialise
 
-#: Bonds of a vertex whose pairs are made under one key.
+#: Edge numbers of a block: bonds of a vertex whose pairs are made in one row.
 HUB = 1_000
 
 
@@ -35,6 +35,28 @@ def without_label(atoms: DataFrame, bonds: DataFrame, label: str = "H") -> tuple
     )
 
 
+def held(graphs: DataFrame, **columns) -> DataFrame:
+    """graph_id and these columns, worked out once: a projection above would work them out anew for each element that refers to them."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return graphs.select("graph_id", F.explode(F.array(made)).alias("_g")).select("graph_id", *[F.col(f"_g.{n}").alias(n) for n in columns])
+
+
+def stripped(graphs: DataFrame, label: str = "H") -> DataFrame:
+    """without_label() and without_zero_order() of graphs that are rows (graph_id, labels, edges), each in its row: no sort and no join."""
+    other = lambda x: x != label
+    ix = lambda end: F.size(F.filter(F.slice("labels", F.lit(1), end), other))
+    kept = F.filter("edges", lambda e: other(F.get("labels", e["src"])) & other(F.get("labels", e["dst"])) & (e["label"] != 0))
+    moved = F.transform(kept, lambda e: F.struct(ix(e["src"]).alias("src"), ix(e["dst"]).alias("dst"), e["label"].alias("label")))
+    return held(graphs, labels=F.filter("labels", other), edges=moved)
+
+
+def exploded_with_class(graphs: DataFrame) -> DataFrame:
+    """bonds with `bond_class` of graphs (graph_id, labels, edges), as with_class() of their tables."""
+    end = lambda e, c: F.get("labels", e[c])
+    each = F.transform("edges", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), e["label"].alias("label"), bond_class(end(e, "src"), end(e, "dst"), e["label"]).alias("bond_class")))
+    return graphs.select("graph_id", F.posexplode(each).alias("edge_ix", "e")).select("graph_id", "edge_ix", "e.src", "e.dst", "e.label", "e.bond_class")
+
+
 def without_zero_order(bonds: DataFrame) -> DataFrame:
     return bonds.where(F.col("label") != 0)
 
@@ -99,19 +121,31 @@ def component_counts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return roots.groupBy("graph_id").agg(F.count("*").alias("components"), F.sum((F.col("n") > 1).cast("long")).alias("bonded_components"))
 
 
-def incident_pairs(bonds: DataFrame) -> DataFrame:
-    """graph_id, left_edge, right_edge: bonds that share a vertex, each pair once.
+def incident_pairs(bonds: DataFrame, kept: str | None = None) -> DataFrame:
+    """graph_id, left_edge, right_edge: bonds that share a vertex, each pair once; with `kept`, a column of the bonds, also left_ and right_ of it.
 
-    A vertex of many bonds has a key for every HUB of them, and each of its bonds goes to all of these on the left and to one on
-    the right, so that its pairs are made in many tasks.
+    A vertex's bonds lie in blocks of HUB edge numbers. The pairs of a block are made in its row. Only bonds numbered HUB or more have
+    others in an earlier block; each block of a vertex has its own key, so that the pairs of a hub are made in many tasks. Bonds that share
+    both vertices meet at the lesser one only.
     """
-    ends = bonds.select("graph_id", "edge_ix", F.explode(F.array("src", "dst")).alias("vertex"))
-    many = ends.groupBy("graph_id", "vertex").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
-    sized = ends.join(many, ["graph_id", "vertex"])
-    a = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("a")
-    b = sized.withColumn("part", F.pmod("edge_ix", "parts").cast("int")).alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("graph_id", "vertex", "part")]
-    return a.join(b, [*same, F.col("a.edge_ix") < F.col("b.edge_ix")]).select("a.graph_id", F.col("a.edge_ix").alias("left_edge"), F.col("b.edge_ix").alias("right_edge")).distinct()
+    more = [kept] if kept else []
+    ends = bonds.select("graph_id", "edge_ix", *more, F.explode(F.array_distinct(F.array(F.struct(F.col("src").alias("vertex"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("vertex"), F.col("src").alias("other"))))).alias("v"))
+    ends = ends.select("graph_id", "edge_ix", *more, "v.vertex", "v.other", F.floor(F.col("edge_ix") / HUB).cast("int").alias("block"))
+    member = F.struct("edge_ix", "other", *more)
+    blocks = ends.groupBy("graph_id", "vertex", "block").agg(F.array_sort(F.collect_list(member)).alias("all"))
+    first = lambda a, b: (a["other"] != b["other"]) | (a["other"] >= F.col("vertex"))
+
+    def told(pairs: DataFrame) -> DataFrame:
+        out = pairs.where(first(F.col("a"), F.col("b")))
+        return out.select("graph_id", F.col("a.edge_ix").alias("left_edge"), F.col("b.edge_ix").alias("right_edge"), *[F.col(f"{x}.{kept}").alias(f"{n}_{kept}") for x, n in (("a", "left"), ("b", "right")) if kept])
+
+    rest = F.transform("all", lambda a, i: F.struct(a.alias("a"), F.slice("all", i + 2, F.size("all")).alias("rest")))
+    inside = blocks.where(F.size("all") > 1).select("graph_id", "vertex", F.explode(rest).alias("e")).select("graph_id", "vertex", "e.a", F.explode("e.rest").alias("b"))
+    later = ends.where("block > 0").select("graph_id", "vertex", "block", member.alias("b"))
+    goals = later.groupBy("graph_id", "vertex").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    asked = ends.join(goals, ["graph_id", "vertex"]).select("graph_id", "vertex", member.alias("a"), F.explode(F.filter("blocks", lambda x: x > F.col("block"))).alias("block"))
+    across = asked.join(later, ["graph_id", "vertex", "block"]).select("graph_id", "vertex", "a", "b")
+    return told(inside).unionByName(told(across))
 
 
 def connected_subsets(bonds: DataFrame, size: int) -> DataFrame:

@@ -14,7 +14,7 @@ from joinery.operators import colours, graphs as ops
 from joinery.operators.frontier import assembly_frontier
 from joinery.plans.options import GraphOptions
 from joinery.plans.solve import assembly_of_graphs
-from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, ORDERS_SQL, distinct_order_strings, order_graph, path_graphs
+from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, ORDERS_SQL, distinct_order_strings, order_graph, order_graphs, path_graphs
 from joinery.queries.strings import index_sql
 from joinery.runtime import scratch_dir, ship, until_exit
 from joinery.sources import molgraph
@@ -88,8 +88,7 @@ CAST(list_sum(list_transform(range(1, length(text) + 1), lambda i: instr('ANR',
 
 
 def _stripped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    atoms, bonds = order_graph(spark, sf_dir)
-    return ops.without_label(atoms, ops.without_zero_order(bonds))
+    return ops.exploded(ops.stripped(order_graphs(spark, sf_dir)))
 
 
 _STRIPPED = f"""{GRAPH_SQL}, kept AS (SELECT graph_id, atom_ix AS old, row_number() OVER (PARTITION BY graph_id ORDER BY atom_ix) - 1 AS atom_ix, label FROM atoms WHERE label <> 'H'),
@@ -115,7 +114,7 @@ def _named(classed: DataFrame) -> DataFrame:
 
 
 def _classed(spark, sf_dir):
-    return ops.with_class(*_stripped(spark, sf_dir))
+    return ops.exploded_with_class(ops.stripped(order_graphs(spark, sf_dir)))
 
 
 def _class_counts(spark, sf_dir):

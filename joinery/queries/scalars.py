@@ -120,11 +120,9 @@ FROM s
 def _occurrences(spark, sf_dir) -> DataFrame:
     """Runs of two bonds of the order graphs with their labels' classes."""
     _, bonds = order_graph(spark, sf_dir)
-    pairs = graph_ops.incident_pairs(bonds)
-    label = lambda n: bonds.select("graph_id", F.col("edge_ix").alias(f"{n}_edge"), F.col("label").alias(n))
-    named = pairs.join(label("left"), ["graph_id", "left_edge"]).join(label("right"), ["graph_id", "right_edge"])
-    canon = F.concat_ws("-", F.least("left", "right").cast("string"), F.greatest("left", "right").cast("string"))
-    return named.select("graph_id", canon.alias("canon"), (F.col("left_edge") * 100 + F.col("right_edge")).alias("ix"), F.array(big(F.col("left_edge")), big(F.col("right_edge"))).alias("mask"))
+    pairs = graph_ops.incident_pairs(bonds, "label")
+    canon = F.concat_ws("-", F.least("left_label", "right_label").cast("string"), F.greatest("left_label", "right_label").cast("string"))
+    return pairs.select("graph_id", canon.alias("canon"), (F.col("left_edge") * 100 + F.col("right_edge")).alias("ix"), F.array(big(F.col("left_edge")), big(F.col("right_edge"))).alias("mask"))
 
 
 _OCC = f"""{GRAPH_SQL}, occ AS (SELECT DISTINCT a.graph_id, CAST(least(a.label, b.label) AS VARCHAR) || '-' || CAST(greatest(a.label, b.label) AS VARCHAR) AS canon, a.edge_ix * 100 + b.edge_ix AS ix, [a.edge_ix, b.edge_ix] AS mask

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from joinery.operators import ranks
+from joinery.operators import graphs as ops
+from joinery.operators import ranks, strings
 
 
 def exchanges(df):
@@ -25,3 +26,57 @@ def test_duplicates_in_rows_shuffle_no_places(spark, monkeypatch, reverse):
     plain = sorted(map(tuple, rounds.collect()))
     assert len(plain) > 100 and plain == sorted(map(tuple, found.collect())) == sorted(map(tuple, mixed.collect()))
     assert found.schema.simpleString() == rounds.schema.simpleString()
+
+
+def graph_rows(spark, n=40):
+    rng = random.Random(11)
+    rows = []
+    for g in range(n):
+        size = rng.randrange(1, 9)
+        pairs = sorted({tuple(sorted(rng.sample(range(size), 2))) for _ in range(rng.randrange(0, 2 * size))}) if size > 1 else []
+        rows.append((g, rng.choices("CNH", k=size), [(u, v, rng.randrange(0, 3)) for u, v in pairs]))
+    return spark.createDataFrame(rows, "graph_id int, labels array<string>, edges array<struct<src:int,dst:int,label:int>>")
+
+
+def sorted_rows(df, *columns):
+    return sorted(map(repr, df.select(*(columns or df.columns)).collect()))
+
+
+def test_graphs_are_stripped_in_their_rows(spark):
+    graphs = graph_rows(spark)
+    atoms, bonds = ops.exploded(graphs)
+    want = ops.without_label(atoms, ops.without_zero_order(bonds))
+    rows = ops.stripped(graphs)
+    got = ops.exploded(rows)
+    assert all(sorted_rows(g) == sorted_rows(w) for g, w in zip(got, want, strict=True))
+    assert sorted_rows(ops.exploded_with_class(rows), "graph_id", "edge_ix", "bond_class") == sorted_rows(ops.with_class(*want), "graph_id", "edge_ix", "bond_class")
+    assert exchanges(rows) == 0  # before, windows and two joins
+
+
+def test_incident_pairs_of_loops_and_parallel_bonds(spark, monkeypatch):
+    rng = random.Random(2)
+    bonds = [(g, k, rng.randrange(6), rng.randrange(6), rng.randrange(3)) for g in range(5) for k in range(25)]
+    label = {(g, k): x for g, k, _, _, x in bonds}
+    want = sorted((g, i, j, label[g, i], label[g, j]) for g, i, a, b, _ in bonds for h, j, c, d, _ in bonds if g == h and i < j and {a, b} & {c, d})
+    frame = spark.createDataFrame(bonds, "graph_id int, edge_ix int, src int, dst int, label int")
+    for hub in (1_000, 7, 1):
+        monkeypatch.setattr(ops, "HUB", hub)
+        assert sorted(map(tuple, ops.incident_pairs(frame, "label").collect())) == want
+
+
+def test_complement_sorts_once(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), rng.randrange(60), rng.randrange(1, 12)) for _ in range(40)]
+    intervals = spark.createDataFrame(rows, "id int, offset int, length int")
+    wholes = spark.createDataFrame([(i, 50 + i) for i in range(8)], "id int, length int")
+    found = strings.interval_complement(wholes, intervals)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Window") <= 2  # before, three windows and an aggregate
+    want = []
+    for i in range(8):
+        used = {p for j, o, n in rows if i == j for p in range(o, o + n)} | {-1}
+        free = [p for p in range(max(50 + i, max(used))) if p not in used]
+        starts = [p for p in free if p - 1 not in free or p == 50 + i]
+        for p in [q for q in starts if q - 1 not in free]:
+            n = next(k for k in range(1, 99) if p + k not in free)
+            want += [(i, p, n)] if not p < 50 + i < p + n else [(i, p, 50 + i - p), (i, 50 + i, p + n - 50 - i)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
