@@ -1,4 +1,4 @@
-"""Re-Pair of all strings of a table at once, in rounds; no Python in the plans.
+"""Re-Pair of all strings of a table at once: long ones in rounds without Python, others in their rows.
 
 A token is named by the place of its first symbol and knows the next one's place, so joining tokens changes only the rows of
 those joined and nothing is numbered anew. A round picks for each text the neighbours whose joined text saves most (the
@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from joinery.functions.scalars import canonical_text, code_points
+from joinery.plans.options import StringOptions
+from joinery.plans.solve import assembly_of_strings
 from joinery.runtime import materialise
 
+#: Symbols of a text that is repaired in its row.
+IN_ROW = 1 << 17
+
 
 def tokens_of(strings: DataFrame) -> DataFrame:
     """id, at, next, piece: a token for each symbol of strings (id, text); next is null at the end."""
@@ -78,7 +83,19 @@ def repaired(strings: DataFrame, accept_reversed: bool = False) -> tuple[DataFra
 
 
 def repair_bounds(strings: DataFrame, accept_reversed: bool = False) -> DataFrame:
-    """id, upper_bound, rule_count, remaining_fragments: -1, 0 and 0 for an empty text, nulls for a null one."""
+    """id, upper_bound, rule_count, remaining_fragments: -1, 0 and 0 for an empty text, nulls for a null one.
+
+    Texts of up to IN_ROW symbols are repaired in their rows, dealt over tasks by cost; so none of their tokens is shuffled. Longer ones go in rounds.
+    """
+    n = F.coalesce(F.length("text"), F.lit(0))
+    solved = assembly_of_strings(strings.where(n <= IN_ROW), "text", StringOptions(algorithm="repair", accept_reversed=accept_reversed))
+    out = solved.select("id", F.col("assembly_index").alias("upper_bound"), "rule_count", "remaining_fragments")
+    long = strings.where(n > IN_ROW)
+    return out if long.isEmpty() else out.unionByName(bounds_in_rounds(long, accept_reversed))
+
+
+def bounds_in_rounds(strings: DataFrame, accept_reversed: bool = False) -> DataFrame:
+    """repair_bounds() of texts of any size, by repaired()."""
     tokens, rules = repaired(strings, accept_reversed)
     left = tokens.groupBy("id").agg(F.count("*").alias("_left"))
     built = rules.groupBy("id").agg(F.count("*").alias("_rules"))
