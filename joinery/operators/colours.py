@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinery.operators import graphs
+from joinery.operators.graphs import gathered, held, let
 from joinery.runtime import materialise
 
 
@@ -13,16 +15,50 @@ def _both(bonds: DataFrame) -> DataFrame:
     return materialise(bonds.select("graph_id", "src", "dst", "label").unionByName(turned), "both")
 
 
+def _first(label: Column) -> Column:
+    return F.sha2(F.concat(F.lit("label "), F.coalesce(label.cast("string"), F.lit(""))), 256)
+
+
+def _next(colour: Column, around: Column) -> Column:
+    """An atom's new colour from its own and those around it (array of label:colour)."""
+    return F.sha2(F.concat_ws("|", colour, F.array_join(F.array_sort(around), ",")), 256)
+
+
+def _refined_in_rows(rows: DataFrame) -> DataFrame:
+    """refined() of graphs that are rows, as gathered() gives them: all rounds of a graph in its row."""
+    rows = held(rows, ixs=F.transform("atoms", lambda a: a["atom_ix"]), colours=F.transform("atoms", lambda a: _first(a["label"])), bonds=F.col("bonds"))
+    place = lambda end: (F.array_position("ixs", end) - 1).cast("int")
+    side = lambda x, a, b: F.transform(F.filter("bonds", lambda e: (e[a] == x) & F.array_contains("ixs", e[b])), lambda e: F.struct(e["label"].alias("label"), place(e[b]).alias("at")))
+    rows = held(rows, ixs=F.col("ixs"), colours=F.col("colours"), near=F.transform("ixs", lambda x: F.concat(side(x, "src", "dst"), side(x, "dst", "src"))))
+    kinds = lambda colours: F.size(F.array_distinct(colours))
+    state = lambda colours, n, rounds, more: F.struct(colours.alias("colours"), n.alias("n"), rounds.alias("rounds"), F.lit(more).alias("more"))
+    new = lambda s: F.transform("near", lambda ns, i: _next(F.get(s["colours"], i), F.transform(ns, lambda m: F.concat_ws(":", m["label"], F.get(s["colours"], m["at"])))))
+    split = lambda s, c: F.when(kinds(c) > s["n"], state(c, kinds(c), s["rounds"] + 1, True)).otherwise(state(s["colours"], s["n"], s["rounds"], False))
+    step = lambda s, _: F.when(s["more"], let(new(s), lambda c: split(s, c))).otherwise(s)
+    ended = F.aggregate(F.sequence(F.lit(1), F.size("ixs")), state(F.col("colours"), kinds("colours"), F.lit(0), True), step)
+    rows = held(rows, ixs=F.col("ixs"), s=ended).where(F.size("ixs") > 0)
+    rows = rows.select("graph_id", "ixs", F.col("s.colours").alias("colours"), "s.rounds")
+    atom = F.transform("ixs", lambda x, i: F.struct(x.alias("atom_ix"), F.get("colours", i).alias("colour"), F.get("ixs", (F.array_position("colours", F.get("colours", i)) - 1).cast("int")).alias("class_atom")))
+    return rows.select("graph_id", F.explode(atom).alias("a"), "rounds").select("graph_id", "a.atom_ix", "a.colour", "a.class_atom", "rounds")
+
+
 def refined(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """graph_id, atom_ix, colour, class_atom, rounds: the coarsest stable partition of each graph's atoms that refines their labels.
 
     In a round an atom's new colour is the SHA-256 of its own and its neighbours' bond labels and colours in order, so equal
     colours mean the same in all graphs, and graphs with different colours are not isomorphic. A graph is done when a round splits none
     of its classes; `rounds` counts those that did, class_atom is the least atom of a class. A hub's neighbours meet in one row
-    as digests, as they must to be compared; isolated atoms keep their label's colour's class; empty tables give no rows.
+    as digests, as they must to be compared; isolated atoms keep their label's colour's class; empty tables give no rows. Graphs of up
+    to IN_ROW atoms and bonds go through their rounds in their rows, larger ones in rounds over the table.
     """
+    rows, large = gathered(atoms, bonds, graphs.IN_ROW)
+    found = _refined_in_rows(rows)
+    return found if large is None else found.unionByName(_refined_in_rounds(*large))
+
+
+def _refined_in_rounds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     near = _both(bonds)
-    state = materialise(atoms.select("graph_id", "atom_ix", F.sha2(F.concat(F.lit("label "), F.coalesce(F.col("label").cast("string"), F.lit(""))), 256).alias("colour")), "colours")
+    state = materialise(atoms.select("graph_id", "atom_ix", _first(F.col("label")).alias("colour")), "colours")
     classes = lambda s: s.groupBy("graph_id").agg(F.countDistinct("colour").alias("classes"))
     sizes, done, rounds = materialise(classes(state), "classes"), None, 0
     while True:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,8 @@ from joinery.functions.scalars import bond_class
 from joinery.operators import masks
 from joinery.runtime import forget, materialise
 
+#: Atoms and bonds of a graph that is worked on in one row.
+IN_ROW = 64
 #: Edge numbers of a block: bonds of a vertex whose pairs are made in one row.
 HUB = 1_000
 
@@ -96,8 +98,50 @@ def degrees(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return atoms.select("graph_id", "atom_ix").join(ends, ["graph_id", "atom_ix"], "left").select("graph_id", "atom_ix", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
 
 
+def gathered(atoms: DataFrame, bonds: DataFrame, most: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Graphs of up to `most` atoms and bonds as rows (graph_id, atoms, bonds: arrays of structs with labels as strings), and atoms and bonds of the larger ones, if there are any.
+
+    The tables are written once, so that neither is worked out again for its sizes.
+    """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    text = F.col("label").cast("string").alias("label") if "label" in bonds.columns else F.lit(None).cast("string").alias("label")
+    a = atoms.select("graph_id", "atom_ix", none(bonds, "src").alias("src"), none(bonds, "dst").alias("dst"), F.col("label").cast("string").alias("label") if "label" in atoms.columns else text, F.lit(True).alias("atom"))
+    b = bonds.select("graph_id", none(atoms, "atom_ix").alias("atom_ix"), "src", "dst", text, F.lit(False).alias("atom"))
+    rows = materialise(a.unionByName(b), "graphs")
+    big = materialise(rows.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("graph_id"), "large")
+    large = None
+    if not big.isEmpty():
+        those = rows.join(big, "graph_id", "left_semi")
+        large = (those.where("atom").select("graph_id", "atom_ix", "label"), those.where("not atom").select("graph_id", "src", "dst", "label"))
+        rows = rows.join(big, "graph_id", "left_anti")
+    all_ = lambda here, *c: F.array_sort(F.collect_list(F.when(here, F.struct(*c))))
+    is_atom = F.col("atom")
+    return rows.groupBy("graph_id").agg(all_(is_atom, "atom_ix", "label").alias("atoms"), all_(~is_atom, "src", "dst", "label").alias("bonds")), large
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def component_labels(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """graph_id, atom_ix, root (the least atom of its component), by label propagation with pointer jumping.
+    """graph_id, atom_ix, root (the least atom of its component).
+
+    A graph of up to IN_ROW atoms and bonds is labelled in its row: each bond gives both ends' components the lesser root. Larger ones go in rounds.
+    """
+    rows, large = gathered(atoms.select("graph_id", "atom_ix"), bonds.select("graph_id", "src", "dst"), IN_ROW)
+    rows = held(rows, ixs=F.transform("atoms", lambda a: a["atom_ix"]), bonds=F.col("bonds"))
+    root = lambda roots, end: F.get(roots, (F.array_position("ixs", end) - 1).cast("int"))
+    lower = lambda roots, p: F.transform(roots, lambda r: F.when(r == F.greatest(p["a"], p["b"]), F.least(p["a"], p["b"])).otherwise(r))
+    at = lambda roots, e: F.struct(F.when(F.array_contains("ixs", e["src"]), root(roots, e["src"])).alias("a"), F.when(F.array_contains("ixs", e["dst"]), root(roots, e["dst"])).alias("b"))
+    joined = F.aggregate("bonds", F.col("ixs"), lambda roots, e: let(at(roots, e), lambda p: F.when(p["a"] != p["b"], lower(roots, p)).otherwise(roots)))
+    rows = held(rows, found=F.arrays_zip(F.col("ixs").alias("atom_ix"), joined.alias("root")))
+    found = rows.select("graph_id", F.explode("found").alias("f")).select("graph_id", "f.atom_ix", "f.root")
+    return found if large is None else found.unionByName(propagated_labels(*large))
+
+
+def propagated_labels(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """component_labels() of graphs of any size, by label propagation with pointer jumping.
 
     The state is written between rounds; the number of rounds is logarithmic in the longest path for most graphs.
     """

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from joinery.operators import graphs as ops
-from joinery.operators import ranks, strings
+from joinery.operators import colours, grammar, ranks, strings
 
 
 def exchanges(df):
@@ -80,3 +80,33 @@ def test_complement_sorts_once(spark):
             n = next(k for k in range(1, 99) if p + k not in free)
             want += [(i, p, n)] if not p < 50 + i < p + n else [(i, p, 50 + i - p), (i, 50 + i, p + n - 50 - i)]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_small_graphs_need_no_rounds(spark, monkeypatch):
+    atoms, bonds = ops.exploded(graph_rows(spark))
+    extra = spark.createDataFrame([(0, 90, 0, 77, 1), (1, 91, 0, 0, 2)], bonds.schema)  # a bond to no atom, and a loop
+    bonds = bonds.unionByName(extra)
+    calls = []
+    plain = ops.propagated_labels
+    monkeypatch.setattr(ops, "propagated_labels", lambda *a: calls.append(1) or plain(*a))
+    rounds = colours._refined_in_rounds
+    monkeypatch.setattr(colours, "_refined_in_rounds", lambda *a: calls.append(2) or rounds(*a))
+    labels, classes = ops.component_labels(atoms, bonds), colours.refined(atoms, bonds)
+    assert calls == []  # before, all graphs went through joins in rounds
+    want = sorted_rows(plain(atoms, bonds)), sorted_rows(rounds(atoms, bonds))
+    assert (sorted_rows(labels), sorted_rows(classes)) == want
+    monkeypatch.setattr(ops, "IN_ROW", 6)
+    assert (sorted_rows(ops.component_labels(atoms, bonds)), sorted_rows(colours.refined(atoms, bonds))) == want and calls == [1, 2]
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_short_texts_are_repaired_in_their_rows(spark, monkeypatch, reverse):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abc", k=rng.randrange(0, 30)))) for i in range(20)] + [(50, None), (51, ""), (52, "é😀" * 9)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    plain = grammar.repaired
+    monkeypatch.setattr(grammar, "repaired", None)  # before, every text went through rounds
+    found = sorted_rows(grammar.repair_bounds(texts, reverse))
+    monkeypatch.setattr(grammar, "repaired", plain)
+    monkeypatch.setattr(grammar, "IN_ROW", 15)
+    assert found == sorted_rows(grammar.repair_bounds(texts, reverse)) == sorted_rows(grammar.bounds_in_rounds(texts, reverse))
