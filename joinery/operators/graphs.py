@@ -59,6 +59,18 @@ def exploded_with_class(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph_id", F.posexplode(each).alias("edge_ix", "e")).select("graph_id", "edge_ix", "e.src", "e.dst", "e.label", "e.bond_class")
 
 
+def parted(graphs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Graphs of up to IN_ROW atoms and bonds, which are worked on in their rows, and the larger ones, written once, if there are any."""
+    fits = (F.size("labels") <= IN_ROW) & (F.size("edges") <= IN_ROW)
+    large = materialise(graphs.where(~fits), "large")
+    return graphs.where(fits), None if large.isEmpty() else large
+
+
+def joined_by(found: DataFrame, large: DataFrame | None, made) -> DataFrame:
+    """found, and made(large) if there are large graphs."""
+    return found if large is None else found.unionByName(made(large))
+
+
 def without_zero_order(bonds: DataFrame) -> DataFrame:
     return bonds.where(F.col("label") != 0)
 
@@ -192,6 +204,19 @@ def incident_pairs(bonds: DataFrame, kept: str | None = None) -> DataFrame:
     return told(inside).unionByName(told(across))
 
 
+def _meet(a: Column, b: Column) -> Column:
+    return (a["src"] == b["src"]) | (a["src"] == b["dst"]) | (a["dst"] == b["src"]) | (a["dst"] == b["dst"])
+
+
+def pairs_in_rows(graphs: DataFrame, kept: str | None = None) -> DataFrame:
+    """graph_id, edges, pairs: small graphs that are rows with their incident_pairs() as an array."""
+    bonds = F.transform("edges", lambda e, i: F.struct(i.alias("edge_ix"), e["src"].alias("src"), e["dst"].alias("dst"), *[e[c].alias(c) for c in (kept,) if c]))
+    later = lambda a: F.filter("bonds", lambda b: (b["edge_ix"] > a["edge_ix"]) & _meet(a, b))
+    told = lambda a, b: F.struct(a["edge_ix"].alias("left_edge"), b["edge_ix"].alias("right_edge"), *[x[kept].alias(f"{n}_{kept}") for x, n in ((a, "left"), (b, "right")) if kept])
+    pairs = F.flatten(F.transform("bonds", lambda a: F.transform(later(a), lambda b: told(a, b))))
+    return held(held(graphs, edges=F.col("edges"), bonds=bonds), edges=F.col("edges"), pairs=pairs)
+
+
 def connected_subsets(bonds: DataFrame, size: int) -> DataFrame:
     """graph_id, mask: all connected sets of `size` bonds, grown bond by bond along shared vertices."""
     near = incident_pairs(bonds)
@@ -218,6 +243,13 @@ def class_unions(occ: DataFrame) -> DataFrame:
     return masks.unpacked(masks.packed(occ, keys), keys)
 
 
+def first_seen_in_rows(rows: DataFrame, order: str) -> DataFrame:
+    """first_seen_ids() of graphs that are rows (graph_id, occ: structs of canon and `order`)."""
+    placed = F.array_sort(F.transform("occ", lambda o: F.struct(o[order].alias("at"), o["canon"].alias("canon"))))
+    names = F.array_distinct(F.transform(placed, lambda o: o["canon"]))
+    return rows.select("graph_id", F.posexplode(names).alias("class_id", "canon"))
+
+
 def first_seen_ids(occ: DataFrame, order: str) -> DataFrame:
     """Dense class numbers from 0 by first appearance in `order`."""
     first = occ.groupBy("graph_id", "canon").agg(F.min(order).alias("_first"))

@@ -19,6 +19,12 @@ def packed(sets: DataFrame, keys: list[str], mask: str = "mask") -> DataFrame:
     return each.groupBy(*keys, word.alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
+def word(members: Column) -> Column:
+    """An array of members below WORD as one word."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    return F.aggregate(members, F.lit(0).cast("long"), lambda bits, i: bits.bitwiseOR(bit(i)))
+
+
 def united(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys, word, bits: the union of the sets of each key."""
     return words.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))

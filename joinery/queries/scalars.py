@@ -11,7 +11,7 @@ from joinery.operators import graphs as graph_ops
 from joinery.operators import masks
 from joinery.operators import strings as string_ops
 from joinery.operators.selection import first_disjoint
-from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, distinct_order_strings, order_graph
+from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, distinct_order_strings, order_graphs
 from joinery.runtime import table
 
 big = lambda c: c.cast("bigint")
@@ -117,12 +117,32 @@ FROM s
 """
 
 
+def _occurrence(at) -> dict:
+    """A run of two bonds with its labels' class; at gives the columns of the pair."""
+    low, high = F.least(at("left_label"), at("right_label")), F.greatest(at("left_label"), at("right_label"))
+    canon = F.concat_ws("-", low.cast("string"), high.cast("string"))
+    return {"canon": canon, "ix": at("left_edge") * 100 + at("right_edge"), "mask": F.array(big(at("left_edge")), big(at("right_edge")))}
+
+
+def _occurrence_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame | None]:
+    """Runs of two bonds of the order graphs: of small graphs as rows (graph_id, occ) with their masks' words, of larger ones, if any, as a table."""
+    small, large = graph_ops.parted(order_graphs(spark, sf_dir))
+    each = lambda p: [c.alias(n) for n, c in _occurrence(lambda c: p[c]).items()]
+    word = lambda p: masks.word(F.array(p["left_edge"], p["right_edge"])).alias("bits")
+    rows = graph_ops.held(graph_ops.pairs_in_rows(small, "label"), occ=F.transform("pairs", lambda p: F.struct(*each(p), word(p))))
+    return rows, None if large is None else _occurrence_table(large)
+
+
+def _occurrence_table(graphs: DataFrame) -> DataFrame:
+    """Runs of two bonds of graphs of any size."""
+    pairs = graph_ops.incident_pairs(graph_ops.exploded(graphs)[1], "label")
+    return pairs.select("graph_id", *[c.alias(n) for n, c in _occurrence(F.col).items()])
+
+
 def _occurrences(spark, sf_dir) -> DataFrame:
-    """Runs of two bonds of the order graphs with their labels' classes."""
-    _, bonds = order_graph(spark, sf_dir)
-    pairs = graph_ops.incident_pairs(bonds, "label")
-    canon = F.concat_ws("-", F.least("left_label", "right_label").cast("string"), F.greatest("left_label", "right_label").cast("string"))
-    return pairs.select("graph_id", canon.alias("canon"), (F.col("left_edge") * 100 + F.col("right_edge")).alias("ix"), F.array(big(F.col("left_edge")), big(F.col("right_edge"))).alias("mask"))
+    """All runs of _occurrence_rows() as a table."""
+    rows, others = _occurrence_rows(spark, sf_dir)
+    return graph_ops.joined_by(rows.select("graph_id", F.explode("occ").alias("o")).select("graph_id", "o.canon", "o.ix", "o.mask"), others, lambda o: o)
 
 
 _OCC = f"""{GRAPH_SQL}, occ AS (SELECT DISTINCT a.graph_id, CAST(least(a.label, b.label) AS VARCHAR) || '-' || CAST(greatest(a.label, b.label) AS VARCHAR) AS canon, a.edge_ix * 100 + b.edge_ix AS ix, [a.edge_ix, b.edge_ix] AS mask
@@ -173,7 +193,9 @@ SELECT graph_id, canon, p[1] * 100 + p[2] AS ix FROM (SELECT graph_id, canon, un
 
 
 def _first_seen(spark, sf_dir):
-    return graph_ops.first_seen_ids(_occurrences(spark, sf_dir), "ix").select("graph_id", "canon", big(F.col("class_id")).alias("class_id"))
+    rows, others = _occurrence_rows(spark, sf_dir)
+    found = graph_ops.joined_by(graph_ops.first_seen_in_rows(rows, "ix"), others, lambda o: graph_ops.first_seen_ids(o, "ix"))
+    return found.select("graph_id", "canon", big(F.col("class_id")).alias("class_id"))
 
 
 FIRST_SEEN_SQL = f"WITH {_OCC} SELECT graph_id, canon, row_number() OVER (PARTITION BY graph_id ORDER BY min(ix)) - 1 AS class_id FROM occ GROUP BY graph_id, canon"

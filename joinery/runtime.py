@@ -84,6 +84,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, key: str, rows: int = 1_500_000) -> DataFrame:
+    """df by key over partitions of about so many rows, however large it is; a small one is left to the session's settings."""
+    spark = df.sparkSession
+    n = -(-df.count() // rows)
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key) if n > few else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

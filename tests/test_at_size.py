@@ -5,7 +5,10 @@ import random
 import pytest
 
 from joinery.operators import graphs as ops
-from joinery.operators import colours, grammar, ranks, strings
+from joinery.operators import colours, grammar, masks, ranks, strings
+from joinery.queries import graphs as queries
+from joinery.queries import scalars
+from joinery.runtime import dealt
 
 
 def exchanges(df):
@@ -110,3 +113,35 @@ def test_short_texts_are_repaired_in_their_rows(spark, monkeypatch, reverse):
     monkeypatch.setattr(grammar, "repaired", plain)
     monkeypatch.setattr(grammar, "IN_ROW", 15)
     assert found == sorted_rows(grammar.repair_bounds(texts, reverse)) == sorted_rows(grammar.bounds_in_rounds(texts, reverse))
+
+
+def some_graphs(spark, monkeypatch):
+    """Graphs with repeated bonds, loops, isolated atoms and none at all; those over 6 atoms or bonds count as large."""
+    monkeypatch.setattr(ops, "IN_ROW", 6)
+    extra = [(90, [], []), (91, ["C"] * 5, []), (92, ["C", "N"], [(0, 1, 1), (1, 0, 1), (0, 0, 2)]), (93, ["C"] * 40, [(0, i, i % 3) for i in range(1, 40)])]
+    graphs = graph_rows(spark)
+    return graphs.unionByName(spark.createDataFrame(extra, graphs.schema))
+
+
+def occurrences(spark, monkeypatch, graphs):
+    """Rows and table of scalars._occurrence_rows() over these graphs, and all as a table made by keys."""
+    monkeypatch.setattr(scalars, "order_graphs", lambda *a: graphs)
+    rows, others = scalars._occurrence_rows(spark, None)
+    return rows, others, scalars._occurrence_table(graphs)
+
+
+def test_first_seen_needs_no_window(spark, monkeypatch):
+    rows, others, plain = occurrences(spark, monkeypatch, some_graphs(spark, monkeypatch))
+    found = ops.first_seen_in_rows(rows, "ix")
+    assert exchanges(found) == 0  # before, pairs by keys, an aggregate and a window
+    both = found.unionByName(ops.first_seen_ids(others, "ix"))
+    assert sorted_rows(both, "graph_id", "canon", "class_id") == sorted_rows(ops.first_seen_ids(plain, "ix"), "graph_id", "canon", "class_id")
+    assert sorted_rows(scalars._occurrences(spark, None)) == sorted_rows(plain)
+
+
+def test_rows_of_a_task_do_not_grow_with_the_input(spark):
+    lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
+    assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone
+    many = dealt(lines, "key", 100)
+    assert many.rdd.getNumPartitions() == 50 and max(many.rdd.glom().map(len).collect()) < 200
+    assert exchanges(many.groupBy("key").count()) == 1
