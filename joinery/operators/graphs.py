@@ -237,6 +237,14 @@ def disjoint_class_pairs(occ: DataFrame) -> DataFrame:
     return pairs.select("a.graph_id", "a.canon", F.col("a.ix").alias("left"), F.col("b.ix").alias("right"))
 
 
+def class_pairs_in_rows(rows: DataFrame, meeting: bool) -> DataFrame:
+    """graph_id, canon, left, right: each two occurrences of a class that share a bond (`meeting`) or share none, of small graphs that are
+    rows (graph_id, occ: structs of canon, ix and bits, a word of bonds)."""
+    later = lambda a: F.filter("occ", lambda b: (b["canon"] == a["canon"]) & (b["ix"] > a["ix"]) & ((a["bits"].bitwiseAND(b["bits"]) != 0) == meeting))
+    met = F.flatten(F.transform("occ", lambda a: F.transform(later(a), lambda b: F.struct(a["canon"].alias("canon"), a["ix"].alias("left"), b["ix"].alias("right")))))
+    return rows.select("graph_id", F.explode(met).alias("p")).select("graph_id", "p.*")
+
+
 def class_unions(occ: DataFrame) -> DataFrame:
     """graph_id, canon and the union of the masks of each class, by packed words."""
     keys = ["graph_id", "canon"]

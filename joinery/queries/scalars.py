@@ -150,7 +150,9 @@ _OCC = f"""{GRAPH_SQL}, occ AS (SELECT DISTINCT a.graph_id, CAST(least(a.label,
 
 
 def _class_pairs(spark, sf_dir):
-    return graph_ops.disjoint_class_pairs(_occurrences(spark, sf_dir)).select("graph_id", "canon", big(F.col("left")).alias("left_ix"), big(F.col("right")).alias("right_ix"))
+    rows, others = _occurrence_rows(spark, sf_dir)
+    found = graph_ops.joined_by(graph_ops.class_pairs_in_rows(rows, meeting=False), others, graph_ops.disjoint_class_pairs)
+    return found.select("graph_id", "canon", big(F.col("left")).alias("left_ix"), big(F.col("right")).alias("right_ix"))
 
 
 CLASS_PAIRS_SQL = f"WITH {_OCC} SELECT a.graph_id, a.canon, a.ix AS left_ix, b.ix AS right_ix FROM occ a JOIN occ b ON a.graph_id = b.graph_id AND a.canon = b.canon AND a.ix < b.ix AND NOT list_has_any(a.mask, b.mask)"
@@ -177,8 +179,10 @@ WORDS_SQL = """SELECT o_custkey, count(DISTINCT l_partkey % 200) AS members, min
 
 
 def _overlaps(spark, sf_dir):
-    words = masks.packed(_occurrences(spark, sf_dir), ["graph_id", "canon", "ix"])
-    return masks.overlapping_pairs(words, ["graph_id", "canon"]).select("graph_id", "canon", F.col("left").alias("left_ix"), F.col("right").alias("right_ix"))
+    rows, others = _occurrence_rows(spark, sf_dir)
+    keys = ["graph_id", "canon"]
+    found = graph_ops.joined_by(graph_ops.class_pairs_in_rows(rows, meeting=True), others, lambda o: masks.overlapping_pairs(masks.packed(o, [*keys, "ix"]), keys))
+    return found.select("graph_id", "canon", F.col("left").alias("left_ix"), F.col("right").alias("right_ix"))
 
 
 def _selected(spark, sf_dir):

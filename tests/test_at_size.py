@@ -139,6 +139,16 @@ def test_first_seen_needs_no_window(spark, monkeypatch):
     assert sorted_rows(scalars._occurrences(spark, None)) == sorted_rows(plain)
 
 
+def test_pairs_of_a_class_are_met_in_rows(spark, monkeypatch):
+    rows, others, plain = occurrences(spark, monkeypatch, some_graphs(spark, monkeypatch))
+    keys = ["graph_id", "canon"]
+    for meeting, table in ((True, lambda o: masks.overlapping_pairs(masks.packed(o, [*keys, "ix"]), keys)), (False, ops.disjoint_class_pairs)):
+        found = ops.class_pairs_in_rows(rows, meeting)
+        assert exchanges(found) == 0  # before, occurrences were joined by class
+        want = sorted_rows(table(plain), *keys, "left", "right")
+        assert want and sorted_rows(found.unionByName(table(others)), *keys, "left", "right") == want
+
+
 def test_rows_of_a_task_do_not_grow_with_the_input(spark):
     lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
     assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone
