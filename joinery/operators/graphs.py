@@ -251,6 +251,13 @@ def class_unions(occ: DataFrame) -> DataFrame:
     return masks.unpacked(masks.packed(occ, keys), keys)
 
 
+def unions_in_rows(rows: DataFrame) -> DataFrame:
+    """class_unions() of small graphs that are rows, as class_pairs_in_rows() takes them."""
+    union = lambda c: F.aggregate(F.filter("occ", lambda o: o["canon"] == c), F.lit(0).cast("long"), lambda bits, o: bits.bitwiseOR(o["bits"]))
+    each = F.transform(F.array_distinct(F.transform("occ", lambda o: o["canon"])), lambda c: F.struct(c.alias("canon"), union(c).alias("bits")))
+    return rows.select("graph_id", F.explode(each).alias("c")).select("graph_id", "c.canon", masks.members(F.col("c.bits"), F.lit(0).cast("long")).alias("mask"))
+
+
 def first_seen_in_rows(rows: DataFrame, order: str) -> DataFrame:
     """first_seen_ids() of graphs that are rows (graph_id, occ: structs of canon and `order`)."""
     placed = F.array_sort(F.transform("occ", lambda o: F.struct(o[order].alias("at"), o["canon"].alias("canon"))))

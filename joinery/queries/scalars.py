@@ -159,7 +159,9 @@ CLASS_PAIRS_SQL = f"WITH {_OCC} SELECT a.graph_id, a.canon, a.ix AS left_ix, b.i
 
 
 def _class_unions(spark, sf_dir):
-    return graph_ops.class_unions(_occurrences(spark, sf_dir)).select("graph_id", "canon", F.array_join(F.transform("mask", lambda x: x.cast("string")), ",").alias("mask"))
+    rows, others = _occurrence_rows(spark, sf_dir)
+    found = graph_ops.joined_by(graph_ops.unions_in_rows(rows), others, graph_ops.class_unions)
+    return found.select("graph_id", "canon", F.array_join(F.transform("mask", lambda x: x.cast("string")), ",").alias("mask"))
 
 
 CLASS_UNIONS_SQL = f"WITH {_OCC} SELECT graph_id, canon, array_to_string(list_sort(list_distinct(flatten(list(mask)))), ',') AS mask FROM occ GROUP BY 1, 2"

@@ -149,6 +149,13 @@ def test_pairs_of_a_class_are_met_in_rows(spark, monkeypatch):
         assert want and sorted_rows(found.unionByName(table(others)), *keys, "left", "right") == want
 
 
+def test_unions_of_classes_in_rows(spark, monkeypatch):
+    rows, others, plain = occurrences(spark, monkeypatch, some_graphs(spark, monkeypatch))
+    found = ops.unions_in_rows(rows)
+    assert exchanges(found) == 0  # before, words were aggregated by class
+    assert sorted_rows(found.unionByName(ops.class_unions(others))) == sorted_rows(ops.class_unions(plain))
+
+
 def test_rows_of_a_task_do_not_grow_with_the_input(spark):
     lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
     assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone
