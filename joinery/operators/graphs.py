@@ -284,6 +284,14 @@ def children(transitions: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(transitions, ["graph_id", "level", "node"]).where(F.expr("array_contains(part, edge)")).select("graph_id", (F.col("level") + 1).alias("level"), F.col("child").alias("node"), "part").distinct()
 
 
+def children_in_rows(rows: DataFrame) -> DataFrame:
+    """children() without the parts, of graphs that are rows (graph_id, part, nodes, transitions: arrays of structs) and whose nodes have one part."""
+    from_node = lambda t: F.exists("nodes", lambda n: (n["level"] == t["level"]) & (n["node"] == t["node"]))
+    taken = F.filter("transitions", lambda t: F.array_contains("part", t["edge"]) & from_node(t))
+    new = F.array_distinct(F.transform(taken, lambda t: F.struct((t["level"] + 1).alias("level"), t["child"].alias("node"))))
+    return rows.select("graph_id", F.explode(new).alias("c")).select("graph_id", "c.level", "c.node")
+
+
 def path_positions(graphs: DataFrame) -> DataFrame:
     """graph_id, edge_ix, position along the path from its lesser end; only graphs that are one path (labels, edges arrays).
 

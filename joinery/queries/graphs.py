@@ -14,7 +14,7 @@ from joinery.operators import colours, graphs as ops
 from joinery.operators.frontier import assembly_frontier
 from joinery.plans.options import GraphOptions
 from joinery.plans.solve import assembly_of_graphs
-from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, ORDERS_SQL, distinct_order_strings, order_graph, order_graphs, path_graphs
+from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, ORDERS_SQL, distinct_order_strings, order_graphs, path_graphs
 from joinery.queries.strings import index_sql
 from joinery.runtime import scratch_dir, ship, until_exit
 from joinery.sources import molgraph
@@ -273,19 +273,40 @@ def _positions(spark, sf_dir):
     return ops.path_positions(path_graphs(spark, sf_dir)).select(F.col("graph_id").alias("text"), F.col("edge_ix").cast("bigint").alias("edge_ix"), F.col("position").cast("bigint").alias("position"))
 
 
+def _without():
+    """A row for each label whose bonds a part leaves out."""
+    return F.explode(F.array(*map(F.lit, range(3)))).alias("without")
+
+
 def _children(spark, sf_dir):
     """From single bonds to pairs: transitions of the order graphs, each inside the three parts that the bonds of one label leave."""
-    _, bonds = order_graph(spark, sf_dir)
+    small, large = ops.parted(order_graphs(spark, sf_dir))
+    found = ops.joined_by(ops.children_in_rows(_transition_rows(small)), large, lambda g: ops.children(*_transitions(ops.exploded(g)[1])).drop("part"))
+    return found.select("graph_id", F.col("level").cast("bigint").alias("level"), F.col("node").cast("bigint").alias("node"))
+
+
+def _transition_rows(graphs: DataFrame) -> DataFrame:
+    """A row (graph_id, part, nodes, transitions) per graph and part."""
+    step = lambda a, b: F.struct(F.lit(1).alias("level"), a.alias("node"), (F.least(a, b) * 100 + F.greatest(a, b)).alias("child"), b.alias("edge"))
+    there, back = F.transform("pairs", lambda p: step(p["left_edge"], p["right_edge"])), F.transform("pairs", lambda p: step(p["right_edge"], p["left_edge"]))
+    labels = F.transform("edges", lambda e: e["label"])
+    rows = ops.held(ops.pairs_in_rows(graphs), transitions=F.concat(there, back), edge_labels=labels).select("*", _without())
+    left = F.filter(F.transform("edge_labels", lambda x, i: F.when(x != F.col("without"), i)), lambda i: i.isNotNull())
+    rows = rows.select((F.col("graph_id") * 3 + F.col("without")).alias("graph_id"), "transitions", left.alias("left"))
+    return ops.held(rows, part=F.col("left"), nodes=F.transform("left", lambda i: F.struct(F.lit(1).alias("level"), i.alias("node"))), transitions=F.col("transitions"))
+
+
+def _transitions(bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """transitions and nodes of graphs of any size."""
     near = ops.incident_pairs(bonds)
     both = near.unionByName(near.select("graph_id", F.col("right_edge").alias("left_edge"), F.col("left_edge").alias("right_edge")))
     pair = F.least("left_edge", "right_edge") * 100 + F.greatest("left_edge", "right_edge")
-    each = F.explode(F.array(*map(F.lit, range(3)))).alias("without")
-    both, bonds = (t.select("*", each).withColumn("graph_id", F.col("graph_id") * 3 + F.col("without")) for t in (both, bonds))
+    both, bonds = (t.select("*", _without()).withColumn("graph_id", F.col("graph_id") * 3 + F.col("without")) for t in (both, bonds))
     transitions = both.select("graph_id", F.lit(1).alias("level"), F.col("left_edge").alias("node"), pair.alias("child"), F.col("right_edge").alias("edge"))
     left = bonds.where("label <> without")
     parts = left.groupBy("graph_id").agg(F.array_sort(F.collect_list("edge_ix")).alias("part"))
     nodes = left.join(parts, "graph_id").select("graph_id", F.lit(1).alias("level"), F.col("edge_ix").alias("node"), "part")
-    return ops.children(transitions, nodes).select("graph_id", F.col("level").cast("bigint").alias("level"), F.col("node").cast("bigint").alias("node"))
+    return transitions, nodes
 
 
 CHILDREN_SQL = f"""WITH {GRAPH_SQL} SELECT DISTINCT a.graph_id * 3 + w AS graph_id, CAST(2 AS BIGINT) AS level, a.edge_ix * 100 + b.edge_ix AS node FROM unnest(range(3)) t(w), bonds a JOIN bonds b ON a.graph_id = b.graph_id AND a.edge_ix < b.edge_ix AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst)) WHERE a.label <> w AND b.label <> w"""

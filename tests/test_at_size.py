@@ -156,6 +156,15 @@ def test_unions_of_classes_in_rows(spark, monkeypatch):
     assert sorted_rows(found.unionByName(ops.class_unions(others))) == sorted_rows(ops.class_unions(plain))
 
 
+def test_children_in_rows(spark, monkeypatch):
+    graphs = some_graphs(spark, monkeypatch)
+    monkeypatch.setattr(queries, "order_graphs", lambda *a: graphs)
+    found = ops.children_in_rows(queries._transition_rows(ops.parted(graphs)[0]))
+    assert exchanges(found) == 0  # before, transitions and nodes were joined
+    want = ops.children(*queries._transitions(ops.exploded(graphs)[1])).selectExpr("graph_id", "CAST(level AS bigint) AS level", "CAST(node AS bigint) AS node")
+    assert sorted_rows(queries._children(spark, None)) == sorted_rows(want) != []
+
+
 def test_rows_of_a_task_do_not_grow_with_the_input(spark):
     lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
     assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone
