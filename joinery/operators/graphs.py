@@ -229,6 +229,23 @@ def connected_subsets(bonds: DataFrame, size: int) -> DataFrame:
     return level
 
 
+def subsets_in_rows(graphs: DataFrame, size: int) -> DataFrame:
+    """connected_subsets() of graphs (graph_id, labels, edges): sets of up to 3 bonds of small graphs are words, grown in their rows; others go by joins."""
+    if size > 3:
+        return connected_subsets(exploded(graphs)[1], size)
+    small, large = parted(graphs)
+    bonds = F.transform("edges", lambda e, i: F.struct(masks.word(F.array(i)).alias("bit"), e["src"].alias("src"), e["dst"].alias("dst")))
+    near = lambda a: F.aggregate(F.filter("bonds", lambda b: (a["bit"] != b["bit"]) & _meet(a, b)), F.lit(0).cast("long"), lambda bits, b: bits.bitwiseOR(b["bit"]))
+    rows = held(held(small, bonds=bonds), near=F.transform("bonds", lambda a: F.struct(a["bit"].alias("bit"), near(a).alias("near"))))
+    rows = rows.withColumn("level", F.transform("near", lambda n: n["bit"]))
+    for _ in range(size - 1):
+        new = lambda m: F.filter("near", lambda n: (n["bit"].bitwiseAND(m) == 0) & (n["near"].bitwiseAND(m) != 0))
+        grown = F.array_distinct(F.flatten(F.transform("level", lambda m: F.transform(new(m), lambda n: n["bit"].bitwiseOR(m)))))
+        rows = held(rows, near=F.col("near"), level=grown)
+    found = rows.select("graph_id", F.explode("level").alias("bits")).select("graph_id", masks.members(F.col("bits"), F.lit(0)).alias("mask"))
+    return joined_by(found, large, lambda g: connected_subsets(exploded(g)[1], size))
+
+
 def disjoint_class_pairs(occ: DataFrame) -> DataFrame:
     """Pairs (graph_id, canon, left, right) of occurrences (graph_id, canon, ix, mask) of a class without a common bond."""
     a, b = occ.alias("a"), occ.alias("b")

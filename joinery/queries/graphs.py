@@ -87,8 +87,12 @@ SHAPE_SQL = f"""SELECT text, length(text) + 1 AS atoms, length(text) AS bonds,
 CAST(list_sum(list_transform(range(1, length(text) + 1), lambda i: instr('ANR', substr(text, i, 1)) * i + i)) AS BIGINT) AS weight, false AS failed FROM ({DISTINCT_SQL})"""
 
 
+def _rows(spark, sf_dir) -> DataFrame:
+    return ops.stripped(order_graphs(spark, sf_dir))
+
+
 def _stripped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return ops.exploded(ops.stripped(order_graphs(spark, sf_dir)))
+    return ops.exploded(_rows(spark, sf_dir))
 
 
 _STRIPPED = f"""{GRAPH_SQL}, kept AS (SELECT graph_id, atom_ix AS old, row_number() OVER (PARTITION BY graph_id ORDER BY atom_ix) - 1 AS atom_ix, label FROM atoms WHERE label <> 'H'),
@@ -114,7 +118,7 @@ def _named(classed: DataFrame) -> DataFrame:
 
 
 def _classed(spark, sf_dir):
-    return ops.exploded_with_class(ops.stripped(order_graphs(spark, sf_dir)))
+    return ops.exploded_with_class(_rows(spark, sf_dir))
 
 
 def _class_counts(spark, sf_dir):
@@ -173,8 +177,7 @@ INCIDENT_SQL = f"WITH {_STRIPPED} SELECT DISTINCT a.graph_id, a.edge_ix AS left_
 
 
 def _subsets(spark, sf_dir):
-    _, bonds = _stripped(spark, sf_dir)
-    return ops.connected_subsets(bonds, 3).select("graph_id", F.array_join(F.transform("mask", lambda e: e.cast("string")), ",").alias("mask"))
+    return ops.subsets_in_rows(_rows(spark, sf_dir), 3).select("graph_id", F.array_join(F.transform("mask", lambda e: e.cast("string")), ",").alias("mask"))
 
 
 SUBSETS_SQL = f"""

@@ -165,6 +165,21 @@ def test_children_in_rows(spark, monkeypatch):
     assert sorted_rows(queries._children(spark, None)) == sorted_rows(want) != []
 
 
+def test_words_hold_a_whole_row_of_bonds(spark):
+    path = [(i, i + 1, 1) for i in range(64)]  # bonds 0 to 63: the sign bit too
+    graphs = spark.createDataFrame([(1, ["C"] * 64, path[:-1] + [(63, 0, 1)])], graph_rows(spark, 1).schema)
+    small, large = ops.parted(graphs)
+    assert small.count() == 1 and large is None
+    masks_ = sorted(r.mask for r in ops.subsets_in_rows(graphs, 3).collect())
+    assert masks_ == sorted(sorted([i, (i + 1) % 64, (i + 2) % 64]) for i in range(64))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_connected_subsets_in_rows(spark, monkeypatch, size):
+    graphs = some_graphs(spark, monkeypatch).where("graph_id <> 93 OR %d < 4" % size)
+    assert sorted_rows(ops.subsets_in_rows(graphs, size)) == sorted_rows(ops.connected_subsets(ops.exploded(graphs)[1], size)) != []
+
+
 def test_rows_of_a_task_do_not_grow_with_the_input(spark):
     lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
     assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone
