@@ -110,6 +110,15 @@ def degrees(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return atoms.select("graph_id", "atom_ix").join(ends, ["graph_id", "atom_ix"], "left").select("graph_id", "atom_ix", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
 
 
+def degrees_in_rows(graphs: DataFrame) -> DataFrame:
+    """degrees() of graphs (graph_id, labels, edges): small graphs in their rows, others by a join."""
+    small, large = parted(graphs)
+    ends = F.flatten(F.transform("edges", lambda e: F.array(e["src"], e["dst"])))
+    counted = held(small, n=F.size("labels"), ends=ends)
+    each = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.size(F.filter("ends", lambda x: x == i)).cast("bigint")))
+    return joined_by(counted.select("graph_id", F.posexplode(each).alias("atom_ix", "degree")), large, lambda g: degrees(*exploded(g)))
+
+
 def gathered(atoms: DataFrame, bonds: DataFrame, most: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
     """Graphs of up to `most` atoms and bonds as rows (graph_id, atoms, bonds: arrays of structs with labels as strings), and atoms and bonds of the larger ones, if there are any.
 

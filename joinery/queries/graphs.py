@@ -144,7 +144,7 @@ UNIQUE_SQL = f"WITH {_STRIPPED} SELECT graph_id, src, dst FROM kb QUALIFY count(
 
 
 def _degrees(spark, sf_dir):
-    return ops.degrees(*_stripped(spark, sf_dir)).withColumn("atom_ix", F.col("atom_ix").cast("bigint"))
+    return ops.degrees_in_rows(_rows(spark, sf_dir)).withColumn("atom_ix", F.col("atom_ix").cast("bigint"))
 
 
 DEGREE_SQL = f"WITH {_STRIPPED} SELECT k.graph_id, k.atom_ix, count(b.edge_ix) AS degree FROM kept k LEFT JOIN kb b ON b.graph_id = k.graph_id AND (b.src = k.atom_ix OR b.dst = k.atom_ix) GROUP BY 1, 2"

@@ -180,6 +180,11 @@ def test_connected_subsets_in_rows(spark, monkeypatch, size):
     assert sorted_rows(ops.subsets_in_rows(graphs, size)) == sorted_rows(ops.connected_subsets(ops.exploded(graphs)[1], size)) != []
 
 
+def test_degrees_in_rows(spark, monkeypatch):
+    graphs = some_graphs(spark, monkeypatch)
+    assert sorted_rows(ops.degrees_in_rows(graphs)) == sorted_rows(ops.degrees(*ops.exploded(graphs)))
+
+
 def test_rows_of_a_task_do_not_grow_with_the_input(spark):
     lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
     assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone
