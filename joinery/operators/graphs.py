@@ -82,6 +82,12 @@ def edge_list(bonds: DataFrame) -> DataFrame:
     return turned.select("graph_id", (F.row_number().over(w) - 1).alias("edge_ix"), "src", "dst", "label")
 
 
+def edge_list_in_rows(graphs: DataFrame) -> DataFrame:
+    """edge_list() of graphs that are rows (graph_id, labels, edges): a row's bonds are sorted in it."""
+    turned = F.transform("edges", lambda e, i: F.struct(F.least(e["src"], e["dst"]).alias("src"), i.alias("old"), F.greatest(e["src"], e["dst"]).alias("dst"), e["label"].alias("label")))
+    return graphs.select("graph_id", F.posexplode(F.array_sort(turned)).alias("edge_ix", "e")).select("graph_id", "edge_ix", "e.src", "e.dst", "e.label")
+
+
 def with_class(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """bonds with `bond_class`."""
     ends = lambda c, n: atoms.select("graph_id", F.col("atom_ix").alias(c), F.col("label").alias(n))

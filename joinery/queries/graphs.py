@@ -106,8 +106,7 @@ def _bond_rows(spark, sf_dir):
 
 
 def _edge_rows(spark, sf_dir):
-    _, bonds = _stripped(spark, sf_dir)
-    return ops.edge_list(bonds).select("graph_id", *[F.col(c).cast("bigint").alias(c) for c in ("edge_ix", "src", "dst", "label")])
+    return ops.edge_list_in_rows(_rows(spark, sf_dir)).select("graph_id", *[F.col(c).cast("bigint").alias(c) for c in ("edge_ix", "src", "dst", "label")])
 
 
 EDGES_SQL = f"WITH {_STRIPPED} SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY src, edge_ix) - 1 AS edge_ix, src, dst, label FROM kb"
