@@ -232,6 +232,13 @@ def pairs_in_rows(graphs: DataFrame, kept: str | None = None) -> DataFrame:
     return held(held(graphs, edges=F.col("edges"), bonds=bonds), edges=F.col("edges"), pairs=pairs)
 
 
+def graph_pairs(graphs: DataFrame) -> DataFrame:
+    """incident_pairs() of graphs (graph_id, labels, edges): small graphs in their rows, others by keys."""
+    small, large = parted(graphs)
+    inside = pairs_in_rows(small).select("graph_id", F.explode("pairs").alias("p")).select("graph_id", "p.left_edge", "p.right_edge")
+    return joined_by(inside, large, lambda g: incident_pairs(exploded(g)[1]))
+
+
 def connected_subsets(bonds: DataFrame, size: int) -> DataFrame:
     """graph_id, mask: all connected sets of `size` bonds, grown bond by bond along shared vertices."""
     near = incident_pairs(bonds)

@@ -168,8 +168,7 @@ def _labels(spark, sf_dir):
 
 
 def _incident(spark, sf_dir):
-    _, bonds = _stripped(spark, sf_dir)
-    return ops.incident_pairs(bonds).select("graph_id", F.col("left_edge").cast("bigint").alias("left_edge"), F.col("right_edge").cast("bigint").alias("right_edge"))
+    return ops.graph_pairs(_rows(spark, sf_dir)).select("graph_id", F.col("left_edge").cast("bigint").alias("left_edge"), F.col("right_edge").cast("bigint").alias("right_edge"))
 
 
 INCIDENT_SQL = f"WITH {_STRIPPED} SELECT DISTINCT a.graph_id, a.edge_ix AS left_edge, b.edge_ix AS right_edge FROM kb a JOIN kb b ON a.graph_id = b.graph_id AND a.edge_ix < b.edge_ix AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))"

@@ -123,6 +123,14 @@ def some_graphs(spark, monkeypatch):
     return graphs.unionByName(spark.createDataFrame(extra, graphs.schema))
 
 
+def test_incident_pairs_are_made_in_rows(spark, monkeypatch):
+    graphs = some_graphs(spark, monkeypatch)
+    want = sorted_rows(ops.incident_pairs(ops.exploded(graphs)[1]))
+    assert want and sorted_rows(ops.graph_pairs(graphs)) == want
+    small, _ = ops.parted(graphs)
+    assert exchanges(ops.pairs_in_rows(small, "label")) == 0  # before, two aggregates and two joins
+
+
 def occurrences(spark, monkeypatch, graphs):
     """Rows and table of scalars._occurrence_rows() over these graphs, and all as a table made by keys."""
     monkeypatch.setattr(scalars, "order_graphs", lambda *a: graphs)
