@@ -110,6 +110,22 @@ def unique_bonds(classed: DataFrame) -> DataFrame:
     return classed.withColumn("_n", F.count("*").over(Window.partitionBy("graph_id", "bond_class"))).where("_n = 1").select("graph_id", "src", "dst")
 
 
+def _classes_in_rows(graphs: DataFrame, holds) -> DataFrame:
+    """Bonds (edge_ix, src, dst, bond_class) of small graphs that are rows, whose class occurs so often in its graph that holds(how often)."""
+    end = lambda e, c: F.get("labels", e[c])
+    each = F.transform("edges", lambda e, i: F.struct(i.alias("edge_ix"), e["src"].alias("src"), e["dst"].alias("dst"), bond_class(end(e, "src"), end(e, "dst"), e["label"]).alias("bond_class")))
+    often = lambda e: F.size(F.filter("bonds", lambda x: x["bond_class"].eqNullSafe(e["bond_class"])))
+    kept = F.filter("bonds", lambda e: holds(often(e)))
+    return held(graphs, bonds=each).select("graph_id", F.explode(kept).alias("e")).select("graph_id", "e.*")
+
+
+def repeated_in_rows(graphs: DataFrame) -> DataFrame:
+    """graph_id, edge_ix of repeated_classes() of graphs (graph_id, labels, edges): small graphs in their rows, others by a window."""
+    small, large = parted(graphs)
+    found = _classes_in_rows(small, lambda n: n >= 2).select("graph_id", "edge_ix")
+    return joined_by(found, large, lambda g: repeated_classes(exploded_with_class(g)).select("graph_id", "edge_ix"))
+
+
 def degrees(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """graph_id, atom_ix, degree; isolated atoms have 0."""
     ends = bonds.select("graph_id", F.explode(F.array("src", "dst")).alias("atom_ix")).groupBy("graph_id", "atom_ix").agg(F.count("*").alias("degree"))

@@ -129,7 +129,7 @@ CLASS_SQL = f"WITH {_STRIPPED} SELECT graph_id, {_CLASS} AS bond_class, count(*)
 
 
 def _repeated(spark, sf_dir):
-    return ops.repeated_classes(_classed(spark, sf_dir)).select("graph_id", F.col("edge_ix").cast("bigint").alias("edge_ix"))
+    return ops.repeated_in_rows(_rows(spark, sf_dir)).select("graph_id", F.col("edge_ix").cast("bigint").alias("edge_ix"))
 
 
 REPEATED_SQL = f"WITH {_STRIPPED} SELECT graph_id, edge_ix FROM kb QUALIFY count(*) OVER (PARTITION BY graph_id, {_CLASS}) >= 2"
