@@ -126,6 +126,13 @@ def repeated_in_rows(graphs: DataFrame) -> DataFrame:
     return joined_by(found, large, lambda g: repeated_classes(exploded_with_class(g)).select("graph_id", "edge_ix"))
 
 
+def unique_in_rows(graphs: DataFrame) -> DataFrame:
+    """unique_bonds() of graphs (graph_id, labels, edges): small graphs in their rows, others by a window."""
+    small, large = parted(graphs)
+    found = _classes_in_rows(small, lambda n: n == 1).select("graph_id", "src", "dst")
+    return joined_by(found, large, lambda g: unique_bonds(exploded_with_class(g)))
+
+
 def degrees(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """graph_id, atom_ix, degree; isolated atoms have 0."""
     ends = bonds.select("graph_id", F.explode(F.array("src", "dst")).alias("atom_ix")).groupBy("graph_id", "atom_ix").agg(F.count("*").alias("degree"))

@@ -136,7 +136,7 @@ REPEATED_SQL = f"WITH {_STRIPPED} SELECT graph_id, edge_ix FROM kb QUALIFY count
 
 
 def _unique(spark, sf_dir):
-    return ops.unique_bonds(_classed(spark, sf_dir)).select("graph_id", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    return ops.unique_in_rows(_rows(spark, sf_dir)).select("graph_id", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
 
 
 UNIQUE_SQL = f"WITH {_STRIPPED} SELECT graph_id, src, dst FROM kb QUALIFY count(*) OVER (PARTITION BY graph_id, {_CLASS}) = 1"

@@ -205,6 +205,11 @@ def test_repeated_classes_in_rows(spark, monkeypatch):
     assert sorted_rows(ops.repeated_in_rows(graphs)) == sorted_rows(ops.repeated_classes(ops.exploded_with_class(graphs)), "graph_id", "edge_ix") != []
 
 
+def test_unique_bonds_in_rows(spark, monkeypatch):
+    graphs = some_graphs(spark, monkeypatch)
+    assert sorted_rows(ops.unique_in_rows(graphs)) == sorted_rows(ops.unique_bonds(ops.exploded_with_class(graphs))) != []
+
+
 def test_rows_of_a_task_do_not_grow_with_the_input(spark):
     lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
     assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone
