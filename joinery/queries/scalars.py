@@ -10,7 +10,7 @@ from joinery.functions import scalars as fn
 from joinery.operators import graphs as graph_ops
 from joinery.operators import masks
 from joinery.operators import strings as string_ops
-from joinery.operators.selection import first_disjoint
+from joinery.operators.selection import first_disjoint, first_disjoint_in_rows
 from joinery.queries.objects import DISTINCT_SQL, GRAPH_SQL, distinct_order_strings, order_graphs
 from joinery.runtime import table
 
@@ -189,9 +189,11 @@ def _overlaps(spark, sf_dir):
 
 def _selected(spark, sf_dir):
     """Of each class of bond pairs of an order graph, the pairs a greedy choice takes, by their number, so that no bond is in two."""
-    occ = _occurrences(spark, sf_dir)
-    pairs = occ.select(F.struct("graph_id", "canon").alias("id"), F.col("ix").alias("rank"), F.col("mask").alias("members"))
-    return first_disjoint(pairs).select("id.graph_id", "id.canon", big(F.col("rank")).alias("ix"))
+    rows, others = _occurrence_rows(spark, sf_dir)
+    pairs = lambda occ: occ.select(F.struct("graph_id", "canon").alias("id"), F.col("ix").alias("rank"), F.col("mask").alias("members"))
+    in_rounds = lambda occ: first_disjoint(pairs(occ)).select("id.graph_id", "id.canon", F.col("rank").alias("ix"))
+    found = graph_ops.joined_by(first_disjoint_in_rows(rows), others, in_rounds)
+    return found.select("graph_id", "canon", big(F.col("ix")).alias("ix"))
 
 
 SELECTED_SQL = f"""WITH {_OCC}, sorted AS (SELECT graph_id, canon, list_transform(list(mask ORDER BY ix), lambda m: [m]) AS pairs FROM occ GROUP BY 1, 2)

@@ -1,11 +1,12 @@
 """Steps whose disk, memory or rounds grew too fast: what they do now, and that both ways of each give the same rows."""
 
 import random
+from collections import defaultdict
 
 import pytest
 
 from joinery.operators import graphs as ops
-from joinery.operators import colours, grammar, masks, ranks, strings
+from joinery.operators import colours, grammar, masks, ranks, selection, strings
 from joinery.queries import graphs as queries
 from joinery.queries import scalars
 from joinery.runtime import dealt
@@ -164,6 +165,39 @@ def test_unions_of_classes_in_rows(spark, monkeypatch):
     assert sorted_rows(found.unionByName(ops.class_unions(others))) == sorted_rows(ops.class_unions(plain))
 
 
+def test_greedy_selection_in_rows(spark, monkeypatch):
+    rows, others, plain = occurrences(spark, monkeypatch, some_graphs(spark, monkeypatch))
+    assert exchanges(selection.first_disjoint_in_rows(rows)) == 0
+    want = set()
+    classes_ = defaultdict(list)
+    for r in plain.collect():
+        classes_[r["graph_id"], r["canon"]].append((r["ix"], r["mask"]))
+    for key, runs in classes_.items():
+        used = set()
+        for ix, mask in sorted(runs):
+            if not used & set(mask):
+                used |= set(mask)
+                want.add((*key, ix))
+    assert {tuple(r) for r in scalars._selected(spark, None).collect()} == want != set()
+    small, _ = ops.parted(graph_rows(spark))
+    monkeypatch.setattr(scalars, "order_graphs", lambda *a: small)
+    monkeypatch.setattr(selection, "materialise", None)
+    assert scalars._selected(spark, None).count() > 0  # before, all classes went in rounds
+
+
+def test_rounds_of_the_greedy_selection_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, write = [], selection.materialise
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(selection, "materialise", seen)
+    pairs = spark.createDataFrame([(1, r, [r, r + 1]) for r in range(6)] + [(2, 0, [])], "id int, rank int, members array<int>")
+    assert sorted(map(tuple, selection.first_disjoint(pairs).select("id", "rank").collect())) == [(1, 0), (1, 2), (1, 4), (2, 0)]
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)  # before, each round's small files were broadcast
+
+
 def test_children_in_rows(spark, monkeypatch):
     graphs = some_graphs(spark, monkeypatch)
     monkeypatch.setattr(queries, "order_graphs", lambda *a: graphs)
