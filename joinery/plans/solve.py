@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from joinery.kernels import graph_repair, graph_search, string_repair, strings
+from joinery.kernels import graph_repair, graph_search, repair_bounds, string_repair, strings
 from joinery.kernels.graphs import FormatError, Graph, checked, parse
 from joinery.kernels.outcome import Outcome
 from joinery.plans.options import GraphOptions, StringOptions
@@ -85,6 +85,26 @@ def solve_string(text: str | None, options: StringOptions) -> dict:
     return _row(out, cpu_ns=time.process_time_ns() - began, pathway=json.dumps(document) if document else None, **more)
 
 
+def solve_strings(texts: list[str | None], options: StringOptions) -> list[dict]:
+    """Result rows of strings. Re-Pair bounds without certificates are worked out side by side; a row's CPU time is its share by length."""
+    if options.algorithm != "repair" or options.with_pathway:
+        return [solve_string(t, options) for t in texts]
+    out, there = [_row(error="no string") if t is None else None for t in texts], [i for i, t in enumerate(texts) if t is not None]
+    for block in repair_bounds.blocks([len(texts[i]) for i in there]):
+        some = [texts[i] for i in there[block]]
+        began = time.process_time_ns()
+        found = repair_bounds.counted(some, options.accept_reversed) if repair_bounds.alike(some) else [None] * len(some)
+        each = (time.process_time_ns() - began) / max(1, sum(map(len, some)))
+        for i, text, bound in zip(there[block], some, found, strict=True):
+            if bound is None:
+                out[i] = solve_string(text, options)
+                continue
+            rules, fragments = bound
+            outcome = Outcome(index=rules + fragments - 1, upper_bound_only=True)
+            out[i] = _row(outcome, cpu_ns=int(each * len(text)), rule_count=rules, remaining_fragments=fragments, trivial_bound=len(text) - 1)
+    return out
+
+
 def solve_graph(graph: Graph, options: GraphOptions) -> dict:
     """Result row of one graph, hydrogens still in it."""
     began = time.process_time_ns()
@@ -115,10 +135,10 @@ def calculate_content(content: bytes | str, path: str = "", options: GraphOption
         return _row(error=str(e))
 
 
-def _mapped(solve: Callable[[pd.Series], dict], keep: list[str]):
+def _mapped(solve: Callable[[list[dict]], list[dict]], keep: list[str]):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [solve(r) for r in batch.to_dict("records")]
+            rows = solve(batch.to_dict("records"))
             solved = pd.DataFrame(rows, columns=[f.name for f in RESULT.fields], index=batch.index)
             for column in ("assembly_index", "trivial_bound", "cpu_ns", "rule_count", "remaining_fragments"):
                 solved[column] = solved[column].astype("Int64")
@@ -127,8 +147,28 @@ def _mapped(solve: Callable[[pd.Series], dict], keep: list[str]):
     return run
 
 
-def _once(df: DataFrame, key: Column, columns: list[Column], cost: Column, solve: Callable[[dict], dict]) -> DataFrame:
-    """df with the columns of RESULT: each object solved once, wherever it occurs.
+def _dealt_alike(each: DataFrame, size: Column, symbols: dict[int, int]) -> DataFrame:
+    """Texts over tasks of about one block of symbols each, those of one class of lengths together: a step of a block costs much the same
+    for a few texts as for many, and its longest one has the most. symbols: how many each class has, at least."""
+    cores = each.sparkSession.sparkContext.defaultParallelism
+    share = max(1, min(repair_bounds.SYMBOLS, sum(symbols.values()) // (2 * cores)))
+    first, tasks, total = {}, {}, 0
+    for c in sorted(symbols, reverse=True):
+        first[c], tasks[c] = total, max(1, -(-symbols[c] // share))
+        total += tasks[c]
+    if not total:
+        return each
+    of = lambda table: F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), _length_class(size))
+    return each.repartitionById(total, (of(first) + F.pmod(F.xxhash64(_KEY), of(tasks))).cast("int"))
+
+
+def _length_class(size: Column) -> Column:
+    """Lengths up to 4,095 are one class, each further class is twice as wide."""
+    return F.floor(F.log2(F.greatest(F.coalesce(size, F.lit(0)), F.lit(2048)))).cast("int")
+
+
+def _once(df: DataFrame, key: Column, columns: list[Column], cost: Column, solve: Callable[[list[dict]], list[dict]], alike: bool = False) -> DataFrame:
+    """df with the columns of RESULT: each object solved once, wherever it occurs; `alike` ones are dealt by _dealt_alike().
 
     Objects are known by a digest; neither the solved rows nor the join carry the objects themselves. They are dealt
     over many tasks, so that one hard object holds up few others.
@@ -138,8 +178,12 @@ def _once(df: DataFrame, key: Column, columns: list[Column], cost: Column, solve
     tasks = TASKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn(_KEY, key)
     each = keyed.where(F.col(_KEY).isNotNull()).select(_KEY, *columns).dropDuplicates([_KEY])
-    dealt = each.repartition(tasks, _KEY).sortWithinPartitions(cost.desc())
-    solved = dealt.mapInPandas(_mapped(solve, [_KEY]), T.StructType([T.StructField(_KEY, T.StringType()), *RESULT.fields]))
+    if alike:
+        sizes = df.select(*columns).groupBy(_length_class(cost).alias("c")).agg(F.sum(cost).alias("n")).collect()
+        dealt = _dealt_alike(each, cost, {r["c"]: r["n"] or 0 for r in sizes})
+    else:
+        dealt = each.repartition(tasks, _KEY)
+    solved = dealt.sortWithinPartitions(cost.desc()).mapInPandas(_mapped(solve, [_KEY]), T.StructType([T.StructField(_KEY, T.StringType()), *RESULT.fields]))
     return keyed.join(solved, _KEY, "left").select(*[keyed[c] for c in df.columns], *[solved[f.name] for f in RESULT.fields])
 
 
@@ -147,7 +191,7 @@ def assembly_of_strings(df: DataFrame, column: str, options: StringOptions = Str
     """df with the columns of RESULT for its string column."""
     text = F.col(column)
     key = F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null"))
-    return _once(df, key, [text.alias("_text")], F.length("_text"), lambda r: solve_string(r["_text"], options))
+    return _once(df, key, [text.alias("_text")], F.length("_text"), lambda rows: solve_strings([r["_text"] for r in rows], options), options.algorithm == "repair" and not options.with_pathway)
 
 
 def _solve_row(row: dict, options: GraphOptions) -> dict:
@@ -162,7 +206,7 @@ def assembly_of_graphs(df: DataFrame, options: GraphOptions = GraphOptions(), la
     """df with the columns of RESULT for its graphs (labels array<string>, edges array<struct<src,dst,label>>)."""
     both = F.col(labels).isNotNull() & F.col(edges).isNotNull()
     key = F.when(both, F.sha2(F.to_json(F.struct(F.col(labels).alias("a"), F.col(edges).alias("b"))).cast("binary"), 256))
-    return _once(df, key, [F.col(labels).alias("_labels"), F.col(edges).alias("_edges")], F.size("_edges"), lambda r: _solve_row(r, options))
+    return _once(df, key, [F.col(labels).alias("_labels"), F.col(edges).alias("_edges")], F.size("_edges"), lambda rows: [_solve_row(r, options) for r in rows])
 
 
 def register(spark: SparkSession) -> None:

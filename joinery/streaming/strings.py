@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinery.plans.options import StringOptions
-from joinery.plans.solve import RESULT, _mapped, solve_string
+from joinery.plans.solve import RESULT, _mapped, solve_string, solve_strings
 from joinery.runtime import ship
 
 
@@ -18,7 +18,7 @@ def assembly_stream(stream: DataFrame, column: str, options: StringOptions = Str
     """Stateless: each record's result as it arrives; a failed record has an error and the stream goes on."""
     ship(stream.sparkSession)
     schema = T.StructType([*stream.schema.fields, *RESULT.fields])
-    return stream.mapInPandas(_mapped(lambda r: solve_string(r[column], options), stream.columns), schema)
+    return stream.mapInPandas(_mapped(lambda rows: solve_strings([r[column] for r in rows], options), stream.columns), schema)
 
 
 def index_windows(stream: DataFrame, when: str, key: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -4,9 +4,12 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from joinery.kernels import repair_bounds
 from joinery.operators import graphs as ops
 from joinery.operators import colours, grammar, masks, ranks, selection, strings
+from joinery.plans import solve
 from joinery.queries import graphs as queries
 from joinery.queries import scalars
 from joinery.runtime import dealt
@@ -244,6 +247,17 @@ def test_unique_bonds_in_rows(spark, monkeypatch):
     assert sorted_rows(ops.unique_in_rows(graphs)) == sorted_rows(ops.unique_bonds(ops.exploded_with_class(graphs))) != []
 
 
+def test_texts_of_like_lengths_are_repaired_together(spark, monkeypatch):
+    monkeypatch.setattr(repair_bounds, "SYMBOLS", 20_000)
+    texts = spark.createDataFrame([(str(i), "ab" * (3_000 if i % 10 == 0 else 5 + i % 200)) for i in range(400)] + [("none", None), ("empty", "")], "__object string, t string")
+    size = F.length("t")
+    sums = {r["c"]: r["n"] or 0 for r in texts.groupBy(solve._length_class(size).alias("c")).agg(F.sum(size).alias("n")).collect()}
+    tasks = solve._dealt_alike(texts, size, sums).rdd.glom().map(lambda rows: [len(r["t"] or "") for r in rows]).collect()
+    assert sum(map(len, tasks)) == 402 and max(map(sum, tasks)) < 60_000
+    assert all(max(t) < 4_096 or min(t) >= 4_096 for t in tasks if t)  # before, dealt by a hash of the text
+    assert solve._dealt_alike(texts.limit(0), size, {}).count() == 0
+
+
 def test_rows_of_a_task_do_not_grow_with_the_input(spark):
     lines = spark.range(0, 5_000, 1, 3).withColumnRenamed("id", "key")
     assert dealt(lines, "key", 5_000).rdd.getNumPartitions() == 3  # left alone

@@ -5,10 +5,13 @@ import random
 from functools import lru_cache
 from itertools import combinations, permutations, product
 
+import numpy as np
 import pytest
 
-from joinery.kernels import canon, chains, graph_repair, graph_search, graphs, string_repair, strings
+from joinery.kernels import canon, chains, graph_repair, graph_search, graphs, repair_bounds, string_repair, strings
 from joinery.kernels.graphs import FormatError, Graph
+from joinery.plans import solve
+from joinery.plans.options import StringOptions
 
 
 def string_index(text, turned):
@@ -75,6 +78,48 @@ def test_repair_as_a_full_scan(turned):
         assert [word[o : o + n] for _, _, o, n in grammar.residual] == parts
 
 
+def odd_texts(n, seed=6):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcd", k=rng.randrange(1, 6))) for _ in range(8)]
+    texts = ["", "x", "aaaa", "a" * 300, "ab" * 90 + "a" * 20, "baabaa", "abcxcba", "😀é😀é😀", "ab\0" * 9, "\ud800a\ud800a", "abc" * 3 + "cba" * 3]
+    texts += ["".join(rng.choices("abcdefgh"[: rng.choice([1, 2, 3, 8])], k=rng.randrange(0, 90))) for _ in range(n)]
+    return texts + [" ".join(rng.choices(words, k=rng.randrange(1, 80))) for _ in range(n // 10)]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_bounds_side_by_side_are_those_of_single_texts(turned, monkeypatch):
+    texts = odd_texts(300)
+    want = [(len(g.rules), len(g.residual)) for g in (string_repair.repair(t, turned) for t in texts)]
+    assert repair_bounds.counted(texts, turned) == want
+    assert repair_bounds.counted([]) == [] and repair_bounds.counted(["", ""]) == [(0, 0), (0, 0)]
+    options = StringOptions(algorithm="repair", accept_reversed=turned)
+    rows = [solve.solve_string(t, options) for t in [None, *texts]]
+    monkeypatch.setattr(repair_bounds, "SYMBOLS", 500)
+    monkeypatch.setattr(repair_bounds, "LONGEST", 0)
+    monkeypatch.setattr(string_repair, "repair", None)  # before, each text was repaired alone
+    got = solve.solve_strings([None, *texts], options)
+    assert [r | {"cpu_ns": 0} for r in got] == [r | {"cpu_ns": 0} for r in rows]
+
+
+def test_blocks_of_texts():
+    sizes = [repair_bounds.SYMBOLS + 1, 5, repair_bounds.SYMBOLS - 5, 1, 0]
+    assert [(b.start, b.stop) for b in repair_bounds.blocks(sizes)] == [(0, 1), (1, 3), (3, 5)] and not list(repair_bounds.blocks([]))
+    assert repair_bounds.alike(["abc"] * 3) and not repair_bounds.alike(["abc" * 3, "ab"])
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_texts_that_share_a_hash_are_repaired_alone(turned, monkeypatch):
+    texts = odd_texts(100)
+    want = [string_repair.repair(t, turned) for t in texts]
+    mixed = repair_bounds._mixed
+    for bits in (3, 8):
+        monkeypatch.setattr(repair_bounds, "_mixed", lambda x, bits=np.uint64(64 - bits): mixed(x) >> bits << bits)
+        got = repair_bounds.counted(texts, turned)
+        assert None in got and all(g in (None, (len(w.rules), len(w.residual))) for g, w in zip(got, want, strict=True))
+        rows = solve.solve_strings(texts, StringOptions(algorithm="repair", accept_reversed=turned))
+        assert [r["assembly_index"] for r in rows] == [w.bound for w in want]
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_all_short_strings(turned):
     words = [w for n in range(8) for w in product("ab", repeat=n)] + [w for n in range(6) for w in product("abc", repeat=n)]
