@@ -13,6 +13,8 @@ import numpy as np
 
 #: Places of a block: what is best in a block is looked up, not searched for.
 BLOCK = 32
+#: Pairs that enter their groups at once at the start.
+AT_ONCE = 1 << 16
 #: Symbols that are worked on side by side; a longer text goes alone.
 SYMBOLS = 1 << 21
 #: A step costs about as much for one text as for some: so many times the longest text's symbols make it worth while.
@@ -147,7 +149,9 @@ class _Texts:
             setattr(self, name, np.zeros(room, bool if name == "known" else np.int32))
         self.pool, self.used = np.zeros(n, np.int32), 0
         self.touched: list[np.ndarray] = []
-        self._enter(places[self.next[places] >= 0])
+        pairs = places[self.next[places] >= 0]
+        for i in range(0, len(pairs), AT_ONCE):
+            self._enter(pairs[i : i + AT_ONCE])
         self._refresh()
 
     def _hash(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
